@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing
+from . import bpe, near_dup, packing, sharding, telephony, token_counts
 from .common import table
 
 
@@ -20,12 +20,29 @@ def op1_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op2_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.shard(table(spark, sf_dir, "documents"), 8))
+
+
+def op3_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.digests(telephony.store_audio(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe_speculative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op7_bpe_speculative)}
+    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op7_bpe_speculative, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
