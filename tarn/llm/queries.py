@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, near_dup, packing, sharding, telephony, token_counts
+from . import bpe, near_dup, packing, pii, sharding, telephony, token_counts
 from .common import table
 
 
@@ -41,8 +41,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op7_bpe_speculative, op8_token_counts)}
+    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op7_bpe_speculative, op8_token_counts, op9_pii_weak_supervision)}
 
 
 def oracle_sql() -> dict[str, str]:
