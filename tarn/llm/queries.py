@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, near_dup, packing, pii, sharding, telephony, token_counts
+from . import bpe, line_dedup, near_dup, packing, pii, sharding, telephony, token_counts
 from .common import table
 
 
@@ -45,8 +45,13 @@ def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    return line_dedup.digests(line_dedup.dedup_lines(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op7_bpe_speculative, op8_token_counts, op9_pii_weak_supervision)}
+    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op7_bpe_speculative, op8_token_counts, op9_pii_weak_supervision, op10_line_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
