@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, near_dup, packing, phrase_prints, pii, sharding, telephony, token_counts
+from . import bpe, line_dedup, near_dup, packing, phrase_prints, pii, sharding, telephony, token_counts, toxicity
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digests(telephony.store_audio(table(spark, sf_dir, "documents")))
 
 
+def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digests(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_prints.digests(phrase_prints.fingerprint_documents(table(spark, sf_dir, "documents")))
 
@@ -55,7 +60,7 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op6_phrase_fingerprints, op7_bpe_speculative, op8_token_counts, op9_pii_weak_supervision, op10_line_winnowing)}
+    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op5_toxicity_neighbours, op6_phrase_fingerprints, op7_bpe_speculative, op8_token_counts, op9_pii_weak_supervision, op10_line_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
