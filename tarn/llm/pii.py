@@ -52,6 +52,8 @@ CALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58
 FOR = r"(?i)(?:mail|phone|tel|mobile|call|contact|card|visa|address|ip|user|name|fax|from|host)\W*$"
 AGAINST = r"(?i)(?:token|key|hash|sha|md5|version|isbn|order|part|serial|id|commit)\W*$"
 LABELERS = ("base", "gazetteer", "context", "shape")
+#: Cuts that a broadcast may hold (16 MB); more are joined by a shuffle.
+BROADCAST_CUTS = 500_000
 EM_ROUNDS, FIT_ROUNDS = 30, 200
 
 
@@ -234,6 +236,9 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     runs = find_spans(found).withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(upto))
     runs = runs.groupBy("tk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"))).alias("kind"))
     cuts = runs.groupBy("tk").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+    cuts = stored(cuts)
+    if (cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= BROADCAST_CUTS:
+        cuts = F.broadcast(cuts)
     text = F.col(text_col)
     pieces = F.transform(
         F.col("cuts"),

@@ -24,6 +24,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -234,8 +235,6 @@ def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
 
 def not_toxic(docs: DataFrame, scorer: Scorer, *, text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is under THRESHOLD, with all their columns."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.pandas_udf("double")
