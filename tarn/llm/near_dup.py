@@ -33,7 +33,7 @@ from .common import binary_array, stored, text_slices
 
 WORDS = 5
 HASHES, ROWS, STEP = 128, 4, 32
-BLOCK = 256
+BLOCK = 1024
 #: Ids that a broadcast may carry (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _RANDOM = np.random.default_rng(20240229)
