@@ -31,22 +31,42 @@ from pyspark.sql import DataFrame, functions as F
 from .common import text_slices
 
 MAX_EXAMPLES, MAX_TERMS = 20_000, 2048
-NEIGHBOURS, BLOCK, EVIDENCE = 24, 64, 5
+NEIGHBOURS, BLOCK, FEW, EVIDENCE = 24, 64, 8, 5
 BEGINNINGS = (5, 7)
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
-def term_counts(text: str, known: dict[str, int] | None = None) -> dict:
-    """Terms of a text with their counts; with `known`, only those, by their numbers."""
-    out: Counter = Counter()
-    for word, n in Counter(_WORDS(text.lower())).items():
-        for term in (word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)):
-            if known is None:
-                out[term] += n
-            elif term in known:
-                out[known[term]] += n
-    return out
+def all_terms(text: str) -> set[str]:
+    words = set(_WORDS(text.lower()))
+    return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in BEGINNINGS))
+
+
+class TermFinder:
+    """Counts of the known terms of texts, by number. Words without a known term are
+    remembered (up to `limit`), so most words of a text cost one set operation."""
+
+    def __init__(self, known: dict[str, int], limit: int = 500_000):
+        self.known, self.limit, self.dull = known, limit, set()
+
+    def __getstate__(self):
+        return {"known": self.known, "limit": self.limit, "dull": set()}
+
+    def __call__(self, text: str) -> dict[int, int]:
+        words = Counter(_WORDS(text.lower()))
+        out: dict[int, int] = {}
+        if len(self.dull) > self.limit:
+            self.dull = set()
+        for word in words.keys() - self.dull:
+            n, found = words[word], False
+            for term in (word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)):
+                number = self.known.get(term)
+                if number is not None:
+                    out[number] = out.get(number, 0) + n
+                    found = True
+            if not found:
+                self.dull.add(word)
+        return out
 
 
 def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,14 +95,28 @@ class BlockMaxIndex:
             self.top[terms, b] = dense.max(axis=0)
             self.blocks.append(dense)
             self.members.append(members)
+        self.place = np.argsort(self.order)
+        # postings: for each term, places (in block order) and weights
+        sizes = np.array([len(t) for t, _ in vectors])
+        place = np.repeat(self.place, sizes)
+        term = np.concatenate([t for t, _ in vectors])
+        weight = np.concatenate([w for _, w in vectors])
+        by = np.lexsort((place, term))
+        cuts = np.searchsorted(term[by], np.arange(1, n_terms))
+        self.postings = list(zip(np.split(place[by], cuts), np.split(weight[by], cuts), strict=True))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples (of cosine over 0) and their cosines, best first; ties by block order."""
+        """The k nearest examples (of cosine over 0) and their cosines, best first.
+
+        Blocks are scored while their bound can beat the k-th best; where more than FEW blocks
+        could, one pass over the terms' postings scores them all at once."""
         bound = weights @ self.top[terms]
         found, cosines, least, size = [], [], 0.0, 0
-        for b in np.argsort(-bound, kind="stable").tolist():
+        for seen, b in enumerate(np.argsort(-bound, kind="stable").tolist()):
             if bound[b] <= least + 1e-6 and (size >= k or bound[b] <= 0):
                 break
+            if seen % FEW == FEW - 1 and np.count_nonzero(bound > least + 1e-6) > seen + FEW:
+                return self._all_at_once(terms, weights, k, without)
             column = self.column[b, terms]
             has = column >= 0
             c = self.blocks[b][:, column[has]] @ weights[has]
@@ -102,6 +136,20 @@ class BlockMaxIndex:
         best = np.argsort(-every, kind="stable")[:k]
         return ids[best], every[best]
 
+    def _all_at_once(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        total = np.zeros(len(self.order), np.float32)
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            at, own = self.postings[t]
+            total[at] += own * np.float32(w)
+        if without >= 0:
+            total[self.place[without]] = 0
+        at = np.flatnonzero(total > 0)
+        if len(at) > k:
+            least = np.partition(total[at], len(at) - k)[len(at) - k]
+            at = at[total[at] >= least]
+        best = at[np.argsort(-total[at], kind="stable")[:k]]
+        return self.order[best], total[best]
+
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares rising steps through (x, y), as points for interpolation."""
@@ -120,7 +168,7 @@ class Scorer:
     """A fitted model; small enough to broadcast (see MAX_EXAMPLES, MAX_TERMS)."""
 
     def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
-        self.terms, self.idf = terms, idf
+        self.terms, self.idf, self.find = terms, idf, TermFinder(terms)
         share = [y for _, y, _ in examples]
         self.prior = float(np.mean(share)) if share else 0.0
         blank = [y for _, y, c in examples if not c]
@@ -129,7 +177,7 @@ class Scorer:
         self.ids = np.array([i for i, _, _ in used], np.int64)
         self.toxic = np.array([y for _, y, _ in used], np.float64)
         self.index = None
-        if used and 0 < self.toxic.sum() < len(used):
+        if used:
             vectors = [weigh(c, idf) for _, _, c in used]
             self.index = BlockMaxIndex(vectors, len(terms))
             votes = np.array([self.vote(*self.index.nearest(*v, NEIGHBOURS, without=i)) for i, v in enumerate(vectors)])
@@ -140,7 +188,7 @@ class Scorer:
         return float(((weight * self.toxic[ids]).sum() + self.prior) / (weight.sum() + 1))
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        counts = term_counts(text, self.terms) if self.index else {}
+        counts = self.find(text) if self.index else {}
         if not counts:
             return self.blank, []
         ids, cosines = self.index.nearest(*weigh(counts, self.idf), NEIGHBOURS)
@@ -169,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
         for batch in batches:
             for part, texts in text_slices(batch):
                 for text, y in zip(texts, part.column("toxic").to_pylist(), strict=True):
-                    terms = term_counts(text).keys()
+                    terms = all_terms(text)
                     n.update(terms)
                     seen += 1
                     if y:
@@ -192,11 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
     frequent.unpersist()
 
     def frequencies(batches):
-        df, seen = Counter(), 0
+        df, seen, find = Counter(), 0, TermFinder(terms)
         for batch in batches:
             for _, texts in text_slices(batch):
                 for text in texts:
-                    df.update(term_counts(text, terms).keys())
+                    df.update(find(text).keys())
                 seen += len(texts)
         df[-1] = seen
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
@@ -205,9 +253,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
     idf = np.log((df.pop(-1, 0) + 1) / (np.array([df.get(i, 0) for i in range(len(terms))], np.float64) + 1)) + 1
 
     def vectors(batches):
+        find = TermFinder(terms)
         for batch in batches:
             for part, texts in text_slices(batch):
-                found = [term_counts(t, terms) for t in texts]
+                found = [find(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
                     ["doc_id", "toxic", "terms", "counts"],
