@@ -39,11 +39,11 @@ class WordIds(ChunkIds):
     other chunk (special tokens, combining marks, other scripts) goes to the library.
     """
 
-    def __init__(self, path: str, **kw):
+    def __init__(self, path: str, limit: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__(**kw)
+        super().__init__(limit)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
