@@ -8,9 +8,8 @@ cut into 32 bands of 4; a pair of similarity 0.75 shares no bucket with probabil
 Candidates of a bucket are verified without emitting all its pairs:
 1. every member against the bucket's centre (a random member, another in each bucket);
 2. after joining what was confirmed into components, every member outside the bucket's
-   largest component against members of other components, in blocks of bounded size; of
-   one text and component only the most promising pairs are confirmed at first,
-3. then all that remain. Pairs inside one component need no check: they cannot change it.
+   largest component against members of other components, in blocks of bounded size.
+   Pairs inside one component need no check: they cannot change it.
 Signatures are compared 32 minima at a time, and a pair is dropped as soon as the posterior
 probability of similarity 0.75 or more falls below `miss`. Survivors are confirmed on full
 sets, in whole numbers. Components come from alternating large-star and small-star steps.
@@ -27,7 +26,6 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
 
 from .common import binary_array, stored, text_slices
 
@@ -158,40 +156,44 @@ def prune(pairs: DataFrame, classes: DataFrame, least: list[int]) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs a, b with 100 * intersection >= percent * union of their full sets.
+def enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    merged = np.concatenate([x, y])
+    merged.sort(kind="stable")
+    common = int(np.count_nonzero(merged[1:] == merged[:-1]))
+    return 100 * common >= percent * (len(merged) - common)
+
 
-    Only the texts that pairs name are read into sets; their ids are broadcast while they
-    are few enough, and joined by a shuffle otherwise."""
+def full_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles of the texts named. Their ids are broadcast while they are few enough,
+    and joined by a shuffle otherwise."""
 
-    def sets(batches):
+    def run(batches):
         for batch in batches:
             for part, texts in text_slices(batch):
                 found = [shingles(t) for t in texts]
                 ends = np.cumsum([0, *map(len, found)]) * 8
                 yield pa.RecordBatch.from_arrays([part.column("node"), binary_array(b"".join(s.tobytes() for s in found), ends)], ["node", "shingles"])
 
+    needed = stored(nodes.distinct())
+    if needed.count() <= BROADCAST_IDS:
+        needed = F.broadcast(needed)
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(needed, "node", "left_semi")
+    return stored(texts.mapInArrow(run, "node long, shingles binary"))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs a, b that are similar enough on their full sets."""
+
     def check(batches):
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
-            ok = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                # fewer than this share of the longer set cannot be enough
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                merged = np.concatenate([x, y])
-                merged.sort(kind="stable")
-                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                ok.append(100 * common >= percent * (len(merged) - common))
+            ok = [enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    if needed.count() <= BROADCAST_IDS:
-        needed = F.broadcast(needed)
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(needed, "node", "left_semi")
-    found = stored(texts.mapInArrow(sets, "node long, shingles binary"))
+    found = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, id_col, text_col)
     both = pairs.select("a", "b").join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
     return both.mapInArrow(check, "a long, b long").distinct()
 
@@ -214,51 +216,78 @@ def components(edges: DataFrame) -> DataFrame:
         edges = stored(small.distinct())
 
 
-def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, least: list[int], best: int | None) -> DataFrame:
-    """Plausible pairs of one bucket and different components: a, b, matches.
+def _by_group(batches, solve):
+    """Feed solve() whole groups of batches that are sorted by group."""
+    pending = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        pending = pa.concat_tables([pending, table]) if pending is not None else table
+        group = pending.column("group").to_numpy()
+        if not len(group) or group[0] == group[-1]:
+            continue
+        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1
+        yield from solve(pending.slice(0, cut))
+        pending = pending.slice(cut)
+    if pending is not None and pending.num_rows:
+        yield from solve(pending)
+
+
+def _open_pairs(table: pa.Table, least: list[int]):
+    """For each group of the table: plausible pairs (row outside the largest component, other
+    row) of different components, and their matches. A pair counts only in the first band
+    that it shares, so that no two buckets take it up."""
+    group, label, minor, key = (table.column(c).to_numpy() for c in ("group", "label", "minor", "key"))
+    sig = _signatures(table.column("sig"))
+    starts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+    for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+        m, o = lo + np.flatnonzero(minor[lo:hi]), lo + np.flatnonzero(~minor[lo:hi])
+        if not len(m) or not len(o):
+            continue
+        band = int(np.flatnonzero(bucket_keys(sig[lo : lo + 1])[0] == key[lo])[0])
+        i, j = np.nonzero(label[m][:, None] != label[o][None, :])
+        i, j = m[i], o[j]
+        for at in range(0, len(i), 65536):
+            x, y = i[at : at + 65536], j[at : at + 65536]
+            ok, matches = plausible(sig[x], sig[y], least)
+            x, y = x[ok], y[ok]
+            first = (sig[x].reshape(-1, HASHES // ROWS, ROWS) == sig[y].reshape(-1, HASHES // ROWS, ROWS)).all(axis=2).argmax(axis=1) == band
+            yield x[first], y[first], matches[first]
+
+
+def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, least: list[int], docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) between texts of one bucket and different components, at least one for
+    every text outside a bucket's largest component and every component that it is linked with.
 
     A bucket's rows are dealt into blocks of about BLOCK; rows outside its largest component
-    are also sent to every block, in blocks of their own. A task holds one pair of blocks."""
+    are also sent to every block, in blocks of their own. A task holds one pair of blocks.
+    Signatures come first; full sets go only to rows with a plausible partner, and pairs are
+    checked where they meet: none but confirmed links become rows."""
 
-    def run(batches):
-        kept, pending = [], None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            pending = pa.concat_tables([pending, table]) if pending is not None else table
-            group = pending.column("group").to_numpy()
-            if not len(group) or group[0] == group[-1]:
-                continue
-            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1
-            yield from solve(pending.slice(0, cut))
-            pending = pending.slice(cut)
-        if pending is not None and pending.num_rows:
-            yield from solve(pending)
-
-    def solve(table):
-        group, node, label, minor = (table.column(c).to_numpy() for c in ("group", "node", "label", "minor"))
-        sig = _signatures(table.column("sig"))
-        starts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
-        out = []
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            m, o = lo + np.flatnonzero(minor[lo:hi]), lo + np.flatnonzero(~minor[lo:hi])
-            if not len(m) or not len(o):
-                continue
-            i, j = np.nonzero(label[m][:, None] != label[o][None, :])
-            i, j = m[i], o[j]
-            for at in range(0, len(i), 65536):
-                x, y = i[at : at + 65536], j[at : at + 65536]
-                ok, matches = plausible(sig[x], sig[y], least)
-                out.append((node[x[ok]], node[y[ok]], matches, label[y[ok]]))
-        if out:
-            x, y, matches, other = (np.concatenate(c) for c in zip(*out, strict=True))
-            if best is not None and len(x):
-                order = np.lexsort((-matches, other, x))
-                x, y, matches, other = x[order], y[order], matches[order], other[order]
-                fresh = np.concatenate([[True], (x[1:] != x[:-1]) | (other[1:] != other[:-1])])
-                at = np.arange(len(x))
-                keep = at - np.maximum.accumulate(np.where(fresh, at, 0)) < best
-                x, y, matches = x[keep], y[keep], matches[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(matches)], ["a", "b", "matches"])
+    def who(batches):
+        def solve(table):
+            found = [np.unique(np.concatenate([x, y])) for x, y, _ in _open_pairs(table, least)]
+            if found:
+                rows = pa.array(np.unique(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(rows) for c in ("group", "node")], ["group", "node"])
+
+        yield from _by_group(batches, solve)
+
+    def check(batches):
+        def solve(table):
+            node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+            linked, out = set(), []
+            for x, y, matches in _open_pairs(table, least):
+                for k in np.argsort(-matches, kind="stable").tolist():
+                    a, b = int(x[k]), int(y[k])
+                    known = (int(node[a]), int(label[b]))
+                    if known not in linked and enough(sets[a], sets[b], percent):
+                        linked.add(known)
+                        out.append((int(node[a]), int(node[b])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
+
+        yield from _by_group(batches, solve)
 
     labelled = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
@@ -276,15 +305,19 @@ def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame,
 
     def dealt(own: str, others: str, minor: bool) -> DataFrame:
         side = rows.filter("outside") if minor else rows
-        block = F.pmod(F.xxhash64("node"), F.col(own))
+        block = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")  # of the type of "to": equal numbers must hash alike
         spread = side.withColumn("block", block).withColumn("to", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
         pair = ("to", "block") if minor else ("block", "to")
-        return spread.select(F.xxhash64("key", *pair).alias("group"), "node", "label", F.lit(minor).alias("minor"))
+        return spread.select(F.xxhash64("key", *pair).alias("group"), "node", "label", F.lit(minor).alias("minor"), "key")
 
-    both = dealt("minor_blocks", "blocks", True).unionByName(dealt("blocks", "minor_blocks", False))
-    ready = both.join(classes.select("node", "sig"), "node").repartition("group").sortWithinPartitions("group")
-    pairs = ready.select("group", "node", "label", "minor", "sig").mapInArrow(run, "a long, b long, matches long")
-    return pairs.filter("a <> b").groupBy("a", "b").agg(F.max("matches").alias("matches"))
+    both = stored(dealt("minor_blocks", "blocks", True).unionByName(dealt("blocks", "minor_blocks", False)))
+    columns = ["group", "node", "label", "minor", "key", "sig"]
+    ready = both.join(classes.select("node", "sig"), "node").select(*columns).repartition("group").sortWithinPartitions("group")
+    open_ = stored(ready.mapInArrow(who, "group long, node long").distinct())
+    found = full_sets(open_.select("node"), docs, id_col, text_col)
+    again = both.join(open_, ["group", "node"], "left_semi").join(classes.select("node", "sig"), "node").join(found, "node")
+    again = again.select(*columns, "shingles").repartition("group").sortWithinPartitions("group")
+    return again.mapInArrow(check, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,22 +333,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5, i
     shared = stored(buckets.join(centres.select("key", F.col("c").bitwiseXOR(F.col("key")).alias("centre")), "key"))
     spokes = shared.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     likely = stored(prune(spokes, classes, least))
-    # the two best centres of each text first; the later steps see to the rest
+    # the best centre of each text first; the next step sees to the rest
     ends = likely.select(F.explode(F.array("a", "b")).alias("node"), F.struct(F.col("matches"), "a", "b").alias("p"))
     first = ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
     links = stored(confirm(first, docs, percent, id_col, text_col))
     labels = stored(components(links))
-    checked = first
-    for best in (2, None):
-        rest = stored(between_components(shared.select("key", "node"), labels, classes, least, best).join(checked, ["a", "b"], "left_anti"))
-        if rest.isEmpty():
-            if best is None:
-                break
-            continue
-        new = confirm(rest, docs, percent, id_col, text_col)
-        links = stored(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new))
-        labels = stored(components(links))
-        checked = checked.unionByName(rest.select("a", "b"))
+    new = between_components(shared.select("key", "node"), labels, classes, least, docs, percent, id_col, text_col)
+    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
+    labels = stored(components(links))
 
     found = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("class_label"))
     placed = sets.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")
