@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..sources.scratch import stored
 
 K1, B = 1.5, 0.75
 #: Vectors in a block of the corpus, and in a block of the queries.
@@ -34,7 +35,7 @@ def top_k(scored: DataFrame, k: int, *, by: str = "query_id", score: str = "scor
 
 def build_bm25(spans: DataFrame) -> BM25:
     """From span_id, text. Postings carry their span's length, so scoring needs no join for it."""
-    words = spans.select("span_id", T.tokens(F.col("text")).alias("words"))
+    words = stored(spans.select("span_id", T.tokens(F.col("text")).alias("words")))  # tokens once
     lengths = words.select("span_id", F.size("words").cast("long").alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     counted = words.select("span_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).groupBy("span_id", "term", "dl").agg(F.count("*").alias("tf"))

@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search
 from ..sources import corpora
-from ..sources.scratch import stored
+from ..sources.scratch import spread, stored
 from ..streaming import trace
 
 SETTINGS = Settings()
@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spans(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("span_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("span_id"), F.coalesce("text", F.lit("")).alias("text")))
 
 
 def asked(spark, sf_dir) -> DataFrame:
@@ -63,7 +63,7 @@ def hard_windows(spark, sf_dir):
 
 
 def chunk_documents(spark, sf_dir):
-    c = chunking.chunk(table(spark, sf_dir, "documents"))
+    c = chunking.chunk(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return c.select("doc_id", "ord", "span_id", "start", "stop", F.md5("text").alias("md5"))
 
 
@@ -110,7 +110,7 @@ def _vectors(spark, sf_dir):
 
 def dense_topk(spark, sf_dir):
     """The stated queries are every hundredth vector, against all."""
-    v = _vectors(spark, sf_dir)
+    v = spread(_vectors(spark, sf_dir))
     return search.dense_search(v, v.filter("span_id % 100 = 0").withColumnRenamed("span_id", "query_id"), 10).select("query_id", "span_id", "score", "rk")
 
 
@@ -369,7 +369,7 @@ def route_queries(spark, sf_dir):
 
 
 def calculator(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("*("), F.col("l_partkey").cast("string"), F.lit("+"), F.col("l_suppkey").cast("string"), F.lit(")-7")).alias("x"))
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_suppkey")).select("l_orderkey", "l_linenumber", F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit("*("), F.col("l_partkey").cast("string"), F.lit("+"), F.col("l_suppkey").cast("string"), F.lit(")-7")).alias("x"))
     return li.select("l_orderkey", "l_linenumber", reason.calculate("x").cast("long").alias("value"))
 
 

@@ -19,3 +19,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{base}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the input has fewer partitions than cores (a few small
+    files); large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
