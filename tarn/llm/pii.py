@@ -235,19 +235,19 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     fresh = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True))
     runs = find_spans(found).withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(upto))
     runs = runs.groupBy("tk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"))).alias("kind"))
-    cuts = runs.groupBy("tk").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+    cuts = runs.groupBy(F.col("tk").alias("__tk")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("__cuts"))
     cuts = stored(cuts)
-    if (cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= BROADCAST_CUTS:
+    if (cuts.agg(F.sum(F.size("__cuts"))).first()[0] or 0) <= BROADCAST_CUTS:
         cuts = F.broadcast(cuts)
     text = F.col(text_col)
     pieces = F.transform(
-        F.col("cuts"),
+        F.col("__cuts"),
         lambda c, i: F.concat(
-            text.substr((F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)["end"]) + 1).cast("int"), (c["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("cuts", i - 1)["end"])).cast("int")),
+            text.substr((F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["end"]) + 1).cast("int"), (c["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["end"])).cast("int")),
             F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]")),
         ),
     )
-    rest = text.substr((F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length(text))
-    keys = docs.withColumn("tk", F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
-    new = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return keys.join(cuts, "tk", "left").withColumn(text_col, new).select(*docs.columns)
+    rest = text.substr((F.element_at("__cuts", -1)["end"] + 1).cast("int"), F.length(text))
+    keys = docs.withColumn("__tk", F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    new = F.when(F.col("__cuts").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return keys.join(cuts, "__tk", "left").withColumn(text_col, new).select(*docs.columns)

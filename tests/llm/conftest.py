@@ -15,13 +15,13 @@ ODD = [
     (9, "start " + PASSAGE + " tail words"), (10, "other beginning " + PASSAGE + " and more of it"), (10, "other beginning " + PASSAGE + " and more of it"),
     (None, "row without an id " + PASSAGE), (11, "word " * 6000), (12, "z" * 30_000), (13, "<s> ▁▁ double  space ▁"), (14, "\0 zero"),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, `group` string, ids string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, `group` string, ids string, doc long, version long, cut string, tk string, cuts string, line int, fp long, score double, label int, start long"
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
     """Odd rows, with extra columns whose names the operators use inside."""
-    rows = [(i, t, "en" if (i or 0) % 2 else None, "src0", len(t) if t is not None else None, "k", 1, "g", "z") for i, t in ODD]
+    rows = [(i, t, "en" if (i or 0) % 2 else None, "src0", len(t) if t is not None else None, "k", 1, "g", "z", 1, 2, "c", "t", "u", 3, 4, 0.5, 1, 9) for i, t in ODD]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
