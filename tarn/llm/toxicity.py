@@ -32,6 +32,7 @@ from .common import text_slices
 
 MAX_EXAMPLES, MAX_TERMS = 20_000, 2048
 NEIGHBOURS, BLOCK, FEW, EVIDENCE = 24, 64, 8, 5
+TALLY_TERMS = 100_000
 BEGINNINGS = (5, 7)
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W_]+").findall
@@ -46,7 +47,7 @@ class TermFinder:
     """Counts of the known terms of texts, by number. Words without a known term are
     remembered (up to `limit`), so most words of a text cost one set operation."""
 
-    def __init__(self, known: dict[str, int], limit: int = 500_000):
+    def __init__(self, known: dict[str, int], limit: int = 200_000):
         self.known, self.limit, self.dull = known, limit, set()
 
     def __getstate__(self):
@@ -213,19 +214,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
     examples = rows.join(F.broadcast(sample), "doc_id")
 
     def tally(batches):
-        n, n1, seen, toxic = Counter(), Counter(), 0, 0
+        n, n1 = Counter(), Counter()
+
+        def counted():
+            names = list(n)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[t] for t in names], pa.int64()), pa.array([n1[t] for t in names], pa.int64())], ["term", "n", "n1"])
+
         for batch in batches:
             for part, texts in text_slices(batch):
                 for text, y in zip(texts, part.column("toxic").to_pylist(), strict=True):
                     terms = all_terms(text)
+                    terms.add("")  # counts the rows
                     n.update(terms)
-                    seen += 1
                     if y:
                         n1.update(terms)
-                        toxic += 1
-        n[""], n1[""] = seen, toxic
-        names = list(n)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[t] for t in names], pa.int64()), pa.array([n1[t] for t in names], pa.int64())], ["term", "n", "n1"])
+                    if len(n) > TALLY_TERMS:  # sums are made later; a worker holds so many at most
+                        yield counted()
+                        n.clear()
+                        n1.clear()
+        yield counted()
 
     counts = examples.mapInArrow(tally, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
     frequent = counts.filter("n >= 8").cache()
