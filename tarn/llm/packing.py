@@ -39,7 +39,7 @@ class WordIds(ChunkIds):
     other chunk (special tokens, combining marks, other scripts) goes to the library.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
