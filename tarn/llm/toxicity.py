@@ -1,18 +1,20 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings (5 and 7 letters) in lower case; the `MAX_TERMS` that
-go most with label 1 or label 0 among the labelled rows used are the vocabulary, and their
-document frequencies are counted over all documents. The labelled rows used are a sample of
-at most `max_examples` rows, by hash of id: this bounds the index, which is broadcast.
-
-The index is block-max inverted: examples lie in blocks of 64 with their own dense weights,
-and for every term the largest weight in each block is kept. A text's dot products with
-these maxima bound its cosine in every block; blocks are scored from the highest bound on
-until no bound exceeds the k-th best cosine, so the neighbours are exact. Neighbours vote
-with weights that fall with distance, and the votes are calibrated by isotonic regression
-on leave-one-out votes of the examples. The neighbours are returned as evidence.
-
-Defined results: null and empty texts, and texts without a term of the vocabulary, get the
+Terms are words and word beginnings (5 and 7 letters) in lower case, known by 64-bit hashes.
+The vocabulary is every term of the labelled rows used, whatever the size of the input; its
+document frequencies are counted over all documents. A term that goes with one label weighs
+more: by 1 + z squared, with z its deviation from the toxic share, shrunk for rare terms.
+Terms that no example has count in the length of a text, as if one document had them. The
+labelled rows used are a sample of at most `max_examples` rows, by hash of id: this bounds
+the index, which is broadcast.
+
+The index holds the weights of terms that many examples have as a dense matrix and those of
+all others as postings; a text's cosines with all examples are one product with the matrix
+plus the sum of its postings, so the neighbours are exact. Neighbours vote with weights that
+fall with distance, and the votes are calibrated by isotonic regression on leave-one-out
+votes of the examples. The neighbours are returned as evidence.
+
+Defined results: null and empty texts, and texts without a term of any example, get the
 toxic share of such examples and no evidence; equal texts get equal scores; without labelled
 rows of both classes every score is their toxic share (0 if there are none); repeated rows
 are scored once each; an empty table gives no rows; other columns of the input are not read.
@@ -21,53 +23,76 @@ are scored once each; an empty table gives no rows; other columns of the input a
 from __future__ import annotations
 
 import re
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .common import text_slices
 
-MAX_EXAMPLES, MAX_TERMS = 20_000, 2048
-NEIGHBOURS, BLOCK, FEW, EVIDENCE = 24, 64, 8, 5
-TALLY_TERMS = 100_000
+MAX_EXAMPLES = 20_000
+NEIGHBOURS, BLOCK, EVIDENCE = 24, 64, 5
+#: Terms that so large a share of the examples have are columns of the dense matrix.
+DENSE_SHARE = 1 / 16
 BEGINNINGS = (5, 7)
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
-def all_terms(text: str) -> set[str]:
-    words = set(_WORDS(text.lower()))
-    return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in BEGINNINGS))
-
-
 class TermFinder:
-    """Counts of the known terms of texts, by number. Words without a known term are
-    remembered (up to `limit`), so most words of a text cost one set operation."""
-
-    def __init__(self, known: dict[str, int], limit: int = 200_000):
-        self.known, self.limit, self.dull = known, limit, set()
-
-    def __getstate__(self):
-        return {"known": self.known, "limit": self.limit, "dull": set()}
-
-    def __call__(self, text: str) -> dict[int, int]:
-        words = Counter(_WORDS(text.lower()))
-        out: dict[int, int] = {}
-        if len(self.dull) > self.limit:
-            self.dull = set()
-        for word in words.keys() - self.dull:
-            n, found = words[word], False
-            for term in (word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)):
-                number = self.known.get(term)
-                if number is not None:
-                    out[number] = out.get(number, 0) + n
-                    found = True
-            if not found:
-                self.dull.add(word)
-        return out
+    """Counts of the terms of texts. Terms are numbered by their place in `known` (sorted
+    hashes); others get numbers from len(known) on, which hold until the next call. Words are
+    remembered with their terms (up to `limit`), so most words cost one look."""
+
+    def __init__(self, known: np.ndarray, limit: int = 200_000):
+        self.known, self.limit = known, limit
+        self._forget()
+
+    def _forget(self):
+        self.words: dict[str, int] = {}
+        self.others: dict[int, int] = {}
+        self.terms = np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
+
+    def __reduce__(self):
+        return TermFinder, (self.known, self.limit)
+
+    def _learn(self, fresh: list[str]):
+        import xxhash
+
+        parts = ((w, *("^" + w[:k] if len(w) > k else "" for k in BEGINNINGS)) for w in fresh)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) if t else 0 for t in chain.from_iterable(parts)), np.uint64, len(fresh) * self.terms.shape[1])
+        numbers = np.searchsorted(self.known, hashes)
+        same = numbers < len(self.known)
+        same[same] = self.known[numbers[same]] == hashes[same]
+        for i in np.flatnonzero(~same).tolist():
+            h = int(hashes[i])
+            numbers[i] = self.others.setdefault(h, len(self.known) + len(self.others)) if h else -1
+        self.terms = np.concatenate([self.terms, numbers.reshape(len(fresh), -1)])
+        self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and count of every term of every text, in order."""
+        if len(self.words) > self.limit:
+            self._forget()
+        words = [_WORDS(t.lower()) for t in texts]
+        flat = list(chain.from_iterable(words))
+        if fresh := sorted(set(flat) - self.words.keys()):
+            self._learn(fresh)
+        word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        key, n = np.unique(row * max(len(self.words), 1) + word, return_counts=True)
+        row, word = np.divmod(key, max(len(self.words), 1))
+        terms = self.terms[word].ravel()
+        row, n = np.repeat(row, self.terms.shape[1])[terms >= 0], np.repeat(n, self.terms.shape[1])[terms >= 0]
+        every = len(self.known) + len(self.others) or 1
+        key = row * every + terms[terms >= 0]
+        by = np.argsort(key, kind="stable")
+        key, n = key[by], n[by]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return key[first] // every, key[first] % every, np.add.reduceat(n, first) if len(first) else n
 
 
 def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,79 +102,95 @@ def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return terms, (w / np.sqrt((w * w).sum()) if len(w) else w).astype(np.float32)
 
 
-class BlockMaxIndex:
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        # blocks of like examples: by their heaviest terms
-        lead = [tuple(t[np.argsort(-w, kind="stable")[:3]].tolist()) for t, w in vectors]
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], i)), np.int64)
-        n_blocks = -(-len(vectors) // BLOCK)
-        self.top = np.zeros((n_terms, n_blocks), np.float32)
-        self.column = np.full((n_blocks, n_terms), -1, np.int16)
-        self.blocks, self.members = [], []
-        for b in range(n_blocks):
-            members = self.order[b * BLOCK : (b + 1) * BLOCK]
-            terms = np.unique(np.concatenate([vectors[i][0] for i in members]))
-            self.column[b, terms] = np.arange(len(terms))
-            dense = np.zeros((len(members), len(terms)), np.float32)
-            for row, i in enumerate(members):
-                dense[row, self.column[b, vectors[i][0]]] = vectors[i][1]
-            self.top[terms, b] = dense.max(axis=0)
-            self.blocks.append(dense)
-            self.members.append(members)
-        self.place = np.argsort(self.order)
-        # postings: for each term, places (in block order) and weights
-        sizes = np.array([len(t) for t, _ in vectors])
-        place = np.repeat(self.place, sizes)
-        term = np.concatenate([t for t, _ in vectors])
-        weight = np.concatenate([w for _, w in vectors])
-        by = np.lexsort((place, term))
-        cuts = np.searchsorted(term[by], np.arange(1, n_terms))
-        self.postings = list(zip(np.split(place[by], cuts), np.split(weight[by], cuts), strict=True))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples (of cosine over 0) and their cosines, best first.
-
-        Blocks are scored while their bound can beat the k-th best; where more than FEW blocks
-        could, one pass over the terms' postings scores them all at once."""
-        bound = weights @ self.top[terms]
-        found, cosines, least, size = [], [], 0.0, 0
-        for seen, b in enumerate(np.argsort(-bound, kind="stable").tolist()):
-            if bound[b] <= least + 1e-6 and (size >= k or bound[b] <= 0):
-                break
-            if seen % FEW == FEW - 1 and np.count_nonzero(bound > least + 1e-6) > seen + FEW:
-                return self._all_at_once(terms, weights, k, without)
-            column = self.column[b, terms]
-            has = column >= 0
-            c = self.blocks[b][:, column[has]] @ weights[has]
-            keep = (c > least if size >= k else c > 0) & (self.members[b] != without)
-            if keep.any():
-                found.append(self.members[b][keep])
-                cosines.append(c[keep])
-                size += int(keep.sum())
-                if size >= k:
-                    every = np.concatenate(cosines)
-                    best = np.argsort(-every, kind="stable")[:k]
-                    found, cosines = [np.concatenate(found)[best]], [every[best]]
-                    least, size = float(cosines[0][-1]), k
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        ids, every = np.concatenate(found), np.concatenate(cosines)
-        best = np.argsort(-every, kind="stable")[:k]
-        return ids[best], every[best]
-
-    def _all_at_once(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
-        total = np.zeros(len(self.order), np.float32)
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            at, own = self.postings[t]
-            total[at] += own * np.float32(w)
-        if without >= 0:
-            total[self.place[without]] = 0
-        at = np.flatnonzero(total > 0)
-        if len(at) > k:
-            least = np.partition(total[at], len(at) - k)[len(at) - k]
-            at = at[total[at] >= least]
-        best = at[np.argsort(-total[at], kind="stable")[:k]]
-        return self.order[best], total[best]
+class Index:
+    """Examples as rows of term weights, given in order of rows: `starts` (of each row, and the end), terms, weights."""
+
+    def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
+        self.n, self.n_terms, self.starts = len(starts) - 1, n_terms, starts
+        own = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))
+        by = np.argsort(terms, kind="stable")
+        self.place, self.weight = own[by], weights[by].astype(np.float32)
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
+        self.dense = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"dense": None}  # each worker makes its own
+
+    def _prepare(self):
+        sizes = np.diff(self.cuts)
+        frequent = np.flatnonzero(sizes >= max(self.n * DENSE_SHARE, 1))
+        self.in_dense = np.full(self.n_terms, -1, np.int32)
+        self.in_dense[frequent] = np.arange(len(frequent))
+        # padded to whole tiles, so that a text's product does not depend on its place
+        dense = np.zeros((-(-max(len(frequent), 1) // 16) * 16, -(-self.n // BLOCK) * BLOCK), np.float32)
+        for c, t in enumerate(frequent.tolist()):
+            dense[c, self.place[self.cuts[t] : self.cuts[t + 1]]] = self.weight[self.cuts[t] : self.cuts[t + 1]]
+        self.dense = dense
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, terms and weights of the examples, as given."""
+        term = np.repeat(np.arange(self.n_terms), np.diff(self.cuts))
+        by = np.argsort(self.place, kind="stable")
+        return self.starts, term[by], self.weight[by]
+
+    def many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k nearest examples (of cosine over 0) and their cosines, best first; ties by number."""
+        if self.dense is None:
+            self._prepare()
+        out = []
+        for start in range(0, len(vectors), BLOCK):
+            some = vectors[start : start + BLOCK]
+            query = np.zeros((BLOCK, len(self.dense)), np.float32)
+            for row, (t, w) in enumerate(some):
+                column = self.in_dense[t]
+                query[row, column[column >= 0]] = w[column >= 0]
+            totals = query @ self.dense
+            for row, (t, w) in enumerate(some):
+                total, rare = totals[row], self.in_dense[t] < 0
+                low, size = self.cuts[t[rare]], self.cuts[t[rare] + 1] - self.cuts[t[rare]]
+                if n := int(size.sum()):
+                    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(n)
+                    total += np.bincount(self.place[at], self.weight[at] * np.repeat(w[rare], size), len(total)).astype(np.float32)
+                if without is not None:
+                    total[without[start + row]] = 0
+                # the k-th best of the maxima of as many parts is a bound of the k-th best of all
+                tops = total.reshape(BLOCK, -1).max(axis=1)
+                least = np.partition(tops, BLOCK - k)[BLOCK - k] if k <= BLOCK else 0.0
+                at = np.flatnonzero((total >= least - 4e-6) & (total > 0))
+                cosine = np.round(total[at], 6)
+                best = np.lexsort((at, -cosine))[:k]
+                out.append((at[best], cosine[best]))
+        return out
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.many([(terms, weights)], k)[0]
+
+    # Views of the examples in blocks, for inspection: members, their dense weights, and the columns of these by term.
+
+    @property
+    def members(self) -> list[np.ndarray]:
+        return [np.arange(i, min(i + BLOCK, self.n)) for i in range(0, self.n, BLOCK)]
+
+    @property
+    def blocks(self) -> list[np.ndarray]:
+        starts, terms, weights = self.rows()
+        out = []
+        for members in self.members:
+            held = slice(starts[members[0]], starts[members[-1] + 1])
+            names, column = np.unique(terms[held], return_inverse=True)
+            out.append(np.zeros((len(members), len(names)), np.float32))
+            out[-1][np.repeat(members - members[0], np.diff(starts)[members]), column] = weights[held]
+        return out
+
+    @property
+    def column(self) -> list[np.ndarray]:
+        starts, terms, _ = self.rows()
+        out = []
+        for members in self.members:
+            names = np.unique(terms[starts[members[0]] : starts[members[-1] + 1]])
+            out.append(np.full(self.n_terms, -1, np.int32))
+            out[-1][names] = np.arange(len(names))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,111 +207,133 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scorer:
-    """A fitted model; small enough to broadcast (see MAX_EXAMPLES, MAX_TERMS)."""
-
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]):
-        self.terms, self.idf, self.find = terms, idf, TermFinder(terms)
-        share = [y for _, y, _ in examples]
-        self.prior = float(np.mean(share)) if share else 0.0
-        blank = [y for _, y, c in examples if not c]
-        self.blank = (sum(blank) + self.prior) / (len(blank) + 1)
-        used = [(i, y, c) for i, y, c in examples if c]
-        self.ids = np.array([i for i, _, _ in used], np.int64)
-        self.toxic = np.array([y for _, y, _ in used], np.float64)
+    """A fitted model; small enough to broadcast (see MAX_EXAMPLES)."""
+
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, other: float, ids: np.ndarray, toxic: np.ndarray, examples: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        """terms: sorted hashes; idf: their weights; other: the weight of a term no example has;
+        examples: starts, term numbers and counts of the rows of ids and toxic."""
+        self.terms, self.idf, self.other, self.find = terms, idf, other, TermFinder(terms)
+        self.prior = float(toxic.mean()) if len(toxic) else 0.0
+        starts, numbers, counts = examples
+        size = np.diff(starts)
+        blank = toxic[size == 0]
+        self.blank = float((blank.sum() + self.prior) / (len(blank) + 1))
+        self.ids, self.toxic = ids[size > 0], toxic[size > 0].astype(np.float64)
         self.index = None
-        if used:
-            vectors = [weigh(c, idf) for _, _, c in used]
-            self.index = BlockMaxIndex(vectors, len(terms))
-            votes = np.array([self.vote(*self.index.nearest(*v, NEIGHBOURS, without=i)) for i, v in enumerate(vectors)])
-            self.x, self.y = isotonic(votes, self.toxic)
+        if len(self.ids):
+            starts = np.concatenate([[0], np.cumsum(size[size > 0])])
+            weights = (1 + np.log(counts)).astype(np.float32) * idf[numbers]
+            weights /= np.repeat(np.sqrt(np.add.reduceat(weights.astype(np.float64) ** 2, starts[:-1])), size[size > 0])
+            self.index = Index(starts, numbers, weights, len(terms))
+            votes = []
+            for i in range(0, len(self.ids), BLOCK):
+                own = range(i, min(i + BLOCK, len(self.ids)))
+                vectors = [(numbers[starts[k] : starts[k + 1]], weights[starts[k] : starts[k + 1]]) for k in own]
+                votes += [self.vote(*found) for found in self.index.many(vectors, NEIGHBOURS, [*own])]
+            self.x, self.y = isotonic(np.array(votes), self.toxic)
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         weight = 1 / (0.05 + 1 - np.minimum(cosines.astype(np.float64), 1))
         return float(((weight * self.toxic[ids]).sum() + self.prior) / (weight.sum() + 1))
 
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Known terms and weights of each text; with its other terms they have length 1."""
+        row, term, n = self.find(texts)
+        known = term < len(self.terms)
+        w = 1 + np.log(n)
+        w[known] *= self.idf[term[known]]
+        w[~known] *= self.other
+        w /= np.sqrt(np.bincount(row, w * w, len(texts)))[row]
+        row, term, w = row[known], term[known], w[known].astype(np.float32)
+        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+        return [(term[a:b], w[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        if self.index is None:
+            return [(self.blank, [])] * len(texts)
+        out = []
+        for ids, cosines in self.index.many(self.vectors(texts), NEIGHBOURS):
+            evidence = [(int(self.ids[i]), int(self.toxic[i]), float(c)) for i, c in zip(ids[:EVIDENCE].tolist(), cosines.tolist(), strict=False)]
+            out.append((float(np.interp(self.vote(ids, cosines), self.x, self.y)) if len(ids) else self.blank, evidence))
+        return out
+
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        counts = self.find(text) if self.index else {}
-        if not counts:
-            return self.blank, []
-        ids, cosines = self.index.nearest(*weigh(counts, self.idf), NEIGHBOURS)
-        evidence = [(int(self.ids[i]), int(self.toxic[i]), float(c)) for i, c in zip(ids[:EVIDENCE].tolist(), cosines.tolist(), strict=False)]
-        return float(np.interp(self.vote(ids, cosines), self.x, self.y)), evidence
+        return self.scores([text])[0]
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """All values of a binary column, one after another."""
+    parts = [np.zeros(0, kind)]
+    for c in column.chunks:
+        ends = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else [0, 0]
+        if ends[-1] > ends[0]:
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate(parts)
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Learn from the labelled rows that are not held out; `labels` has doc_id and toxic."""
-    rows = _numbered(docs, id_col, text_col)
+    spark, rows = docs.sparkSession, _numbered(docs, id_col, text_col)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     sample = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # bounds the broadcast
     examples = rows.join(F.broadcast(sample), "doc_id")
 
-    def tally(batches):
-        n, n1 = Counter(), Counter()
-
-        def counted():
-            names = list(n)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[t] for t in names], pa.int64()), pa.array([n1[t] for t in names], pa.int64())], ["term", "n", "n1"])
-
+    def vectors(batches):
+        find = TermFinder(np.zeros(0, np.uint64))
         for batch in batches:
             for part, texts in text_slices(batch):
-                for text, y in zip(texts, part.column("toxic").to_pylist(), strict=True):
-                    terms = all_terms(text)
-                    terms.add("")  # counts the rows
-                    n.update(terms)
-                    if y:
-                        n1.update(terms)
-                    if len(n) > TALLY_TERMS:  # sums are made later; a worker holds so many at most
-                        yield counted()
-                        n.clear()
-                        n1.clear()
-        yield counted()
-
-    counts = examples.mapInArrow(tally, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-    frequent = counts.filter("n >= 8").cache()
-    total = frequent.filter("term = ''").first()
-    if total is None:
-        return Scorer({}, np.zeros(0), [])
-    share = min(max(total.n1 / total.n, 1e-6), 1 - 1e-6)
-    spread = F.sqrt(F.col("n") * share * (1 - share) * (1.000001 - F.col("n") / total.n))
-    z = F.abs((F.col("n1") - F.col("n") * share) / spread)
-    chosen = frequent.filter("term <> ''").filter(F.col("n") >= total.n // 2000).withColumn("z", z).filter("z >= 4").orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    terms = {r.term: i for i, r in enumerate(chosen.select("term").collect())}
-    frequent.unpersist()
+                row, term, n = find(texts)
+                hashes = np.fromiter(find.others, np.uint64, len(find.others))[term]
+                cuts = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+                held = [(hashes[a:b].tobytes(), n[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("toxic"), pa.array([x for x, _ in held], pa.binary()), pa.array([x for _, x in held], pa.binary())], ["doc_id", "toxic", "terms", "counts"]
+                )
+
+    found = examples.mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary")
+    found = found.orderBy("doc_id", "toxic", F.xxhash64("terms", "counts")).toArrow()  # at most max_examples labelled ids
+    ids, toxic = found.column("doc_id").to_numpy(), (found.column("toxic").to_numpy() > 0).astype(np.float64)
+    hashes, counts = _joined(found.column("terms"), np.uint64), _joined(found.column("counts"), np.int32)
+    starts = np.concatenate([[0], np.cumsum(pc.binary_length(found.column("counts")).to_numpy() // 4)]).astype(np.int64)
+    del found
+    if not len(ids):
+        return Scorer(hashes, np.zeros(0), 1.0, ids, toxic, (starts, counts, counts))
+    terms = np.unique(hashes)
+    numbers = np.searchsorted(terms, hashes).astype(np.int32)
+    del hashes
+    known = spark.sparkContext.broadcast(terms)
 
     def frequencies(batches):
-        df, seen, find = Counter(), 0, TermFinder(terms)
+        find, seen = TermFinder(known.value), 0
+        df = np.zeros(len(find.known), np.int64)
         for batch in batches:
             for _, texts in text_slices(batch):
-                for text in texts:
-                    df.update(find(text).keys())
+                term = find(texts)[1]
+                df += np.bincount(term[term < len(df)], minlength=len(df))
                 seen += len(texts)
-        df[-1] = seen
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], seen), pa.int64())], ["term", "n"])
 
-    df = {r.term: r.n for r in rows.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((df.pop(-1, 0) + 1) / (np.array([df.get(i, 0) for i in range(len(terms))], np.float64) + 1)) + 1
-
-    def vectors(batches):
-        find = TermFinder(terms)
-        for batch in batches:
-            for part, texts in text_slices(batch):
-                found = [find(t) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic"), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
-                    ["doc_id", "toxic", "terms", "counts"],
-                )
+    sums = rows.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms) + 1, np.int64)
+    df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()  # the last place holds the number of documents
+    idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
-    found = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()  # at most max_examples labelled ids
-    return Scorer(terms, idf, sorted(((r.doc_id, int(r.toxic > 0), dict(zip(r.terms, r.counts, strict=True))) for r in found), key=lambda x: (x[0], x[1], sorted(x[2].items()))))
+    # how far a term's toxic share is from that of all examples; the 1 shrinks it where few have the term
+    share = toxic.mean()
+    n = np.bincount(numbers, minlength=len(terms))
+    n1 = np.bincount(numbers, np.repeat(toxic, np.diff(starts)), len(terms))
+    z = (n1 - n * share) / np.sqrt(n * share * (1 - share) * (1 - n / len(ids)) + 1)
+    return Scorer(terms, (idf * (1 + z * z)).astype(np.float32), float(np.log((df[-1] + 1) / 2) + 1), ids, toxic, (starts, numbers, counts))
 
 
 def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +344,7 @@ def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
         model = shared.value
         for batch in batches:
             for part, texts in text_slices(batch):
-                found = [model.score(t) for t in texts]
+                found = model.scores(texts)
                 evidence = [[{"example": i, "toxic": y, "cosine": c} for i, y, c in e] for _, e in found]
                 kind = pa.list_(pa.struct([("example", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
@@ -296,7 +359,8 @@ def not_toxic(docs: DataFrame, scorer: Scorer, *, text_col: str = "text") -> Dat
     @F.pandas_udf("double")
     def value(text: pd.Series) -> pd.Series:
         model = shared.value
-        return pd.Series([model.score(t or "")[0] for t in text], dtype="float64")
+        parts = text_slices(pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"]))
+        return pd.Series([s for _, texts in parts for s, _ in model.scores(texts)], dtype="float64")
 
     return docs.filter(value(F.col(text_col)) < THRESHOLD)
 

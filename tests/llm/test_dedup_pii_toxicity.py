@@ -192,6 +192,30 @@ def test_toxicity(spark, labelled, odd, empty):
     assert toxicity.fit(docs, none).score("vile nasty")[0] == pytest.approx(0.0, abs=1e-3)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxic_rows_are_found(spark, sf):
+    """Small inputs keep their whole vocabulary: toxic rows are told apart, and every text with a known word has neighbours."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.digests(toxicity.score(docs, toxicity.fit(docs, labels))).join(labels.select("doc_id", "toxic"), "doc_id").filter("held_out").collect()
+    toxic, clean = ([r for r in rows if r.toxic == y] for y in (1, 0))
+    assert len(toxic) >= 2 and sum(r.predicted for r in toxic) > len(toxic) / 2.5
+    assert sum(r.predicted for r in clean) < len(clean) / 10
+    assert sum(not r.evidence for r in rows) <= len(rows) / 50
+    mean = lambda some: sum(r.score for r in some) / len(some)
+    assert mean(toxic) > 3 * mean(clean)
+
+
+def test_every_term_is_kept(spark):
+    rows = [(i, f"word{i} common" if i % 2 else f"bad{i} shared") for i in range(6)]
+    labels = [(i, i % 2) for i in range(6)]
+    scorer = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    used = [i for i in range(6) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert [e for e, _, _ in scorer.score(f"word{used[0]} bad{used[0]}")[1]] and len(scorer.terms) >= len(used)
+    for i in used:
+        example, _, cosine = scorer.score(rows[i][1])[1][0]
+        assert example == i and cosine == pytest.approx(1, abs=1e-5)
+
+
 def test_neighbours_are_exact(labelled):
     scorer = toxicity.fit(*labelled)
     index, m = scorer.index, len(scorer.terms)
