@@ -1,13 +1,13 @@
-"""Removal of repeated passages by winnowing over line hashes.
+"""Removal of repeated passages by fingerprints of runs of lines.
 
 A line ends at a line break, after a sentence stop, or before a capitalised word, so a
-passage set into the middle of other text still consists of whole lines. Of every two
-neighbouring lines the one with the smaller hash is a fingerprint; any repeated stretch of
-two lines therefore shares one. Fingerprints are joined with the least document that has
-them, and a match is extended both ways to the neighbours that agree with that document's.
-Lines that occur earlier in the same document match as well. Stretches of matched lines of
-at least `min_words` words are deleted, so the first occurrence (least id, then position)
-stays.
+passage set into the middle of other text still consists of whole lines. The fingerprints of
+a document are the hashes of its shortest runs of lines of at least `min_words` words: from
+every line on, and up to every line. A line of so many words is a run of its own. Each line
+of a longer repeated run lies in such a run, so a line is deleted exactly if it is part of
+a run of at least `min_words` words that stands as a whole in one earlier place: in a
+document of lesser id, or before it (not overlapping) in its own. The first occurrence
+(least id, then position) stays.
 
 Defined results: null and empty texts and rows with a null id are returned as they are;
 repeated rows are the same document, so neither loses text to the other; a text may become
@@ -22,7 +22,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_slices
@@ -32,7 +32,9 @@ _CAPITALS = "A-ZÀ-ÖØ-ÞŒŸΑ-ΩА-Я"
 _LINES = re.compile(f"(?<=\\n)(?!\\n)|(?<=[.!?] )|(?<= )(?=[{_CAPITALS}])").split
 #: Names that no input column should have.
 _CUT_COLUMNS = ("__doc", "__version", "__cut")
-_WORDS_MAX = (1 << 20) - 1
+#: An odd factor and its inverse modulo 2 ** 64: hashes of runs are differences of sums of hash x factor ** place.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
 
 
 def lines_of(text: str) -> list[str]:
@@ -40,74 +42,69 @@ def lines_of(text: str) -> list[str]:
     return [x for x in _LINES(text) if x]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc, version, line, fp, near, words of every fingerprint; fp is null for lines that
-    repeat an earlier line of their document. near: hashes (32 bits) of the lines before and
-    after; words: counts of the three lines (20 bits each)."""
+def runs_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the shortest runs of at least min_words words from every line on and up to every line."""
+    upto = np.concatenate([[0], np.cumsum(words)])
+    end = np.searchsorted(upto, upto[:-1] + min_words)
+    start = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    on, to = np.flatnonzero(end < len(upto)), np.flatnonzero(start >= 0)
+    key = np.unique(np.concatenate([on * len(upto) + end[on], start[to] * len(upto) + to + 1]))
+    return key // len(upto), key % len(upto)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    each = np.full(n + 1, base, np.uint64)
+    each[0] = 1
+    return np.multiply.accumulate(each)
+
+
+def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc, version, line, n, fp of every run of runs_of(): its first line, its number of lines,
+    its hash; fp is null for runs that stand earlier in their document."""
 
     def run(batches):
         import xxhash
 
+        factor, inverse = powers(_FACTOR, 1024), powers(_INVERSE, 1024)
         for batch in batches:
             for part, texts in text_slices(batch):
                 out = []
                 for row, text in enumerate(texts):
-                    lines = lines_of(text)
-                    if not lines:
+                    lines = [x.strip() for x in lines_of(text)]
+                    start, end = runs_of(np.fromiter((x.count(" ") + 1 for x in lines), np.int64, len(lines)), min_words)
+                    if not len(start):
                         continue
-                    h = np.fromiter((xxhash.xxh3_64_intdigest(x.strip().encode()) for x in lines), np.uint64, len(lines))
-                    n = np.minimum(np.fromiter((x.strip().count(" ") + 1 for x in lines), np.int64, len(lines)), _WORDS_MAX)
-                    again = np.ones(len(h), bool)
-                    again[np.unique(h, return_index=True)[1]] = False
-                    at = np.arange(len(h))
-                    if len(h) > 1:
-                        chosen = np.zeros(len(h), bool)
-                        chosen[np.where(h[:-1] < h[1:], at[:-1], at[1:])] = True
-                    else:
-                        chosen = np.ones(1, bool)
-                    at = np.flatnonzero(chosen | again)
-                    short = np.concatenate([[0], h >> np.uint64(32), [0]]).astype(np.int64)
-                    wide = np.concatenate([[0], n, [0]])
-                    out.append((
-                        np.full(len(at), row), at, h[at].view(np.int64), again[at],
-                        short[at] << 32 | short[at + 2], wide[at] << 40 | wide[at + 1] << 20 | wide[at + 2],
-                    ))
+                    if len(lines) > len(factor):
+                        factor, inverse = powers(_FACTOR, 2 * len(lines)), powers(_INVERSE, 2 * len(lines))
+                    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * factor[: len(h)])])
+                    fp = (sums[end] - sums[start]) * inverse[start]
+                    _, first, same = np.unique(fp, return_index=True, return_inverse=True)
+                    out.append((np.full(len(fp), row), start, end - start, fp.view(np.int64), start >= end[first][same]))
                 if out:
-                    row, at, fp, again, near, words = (np.concatenate(c) for c in zip(*out, strict=True))
+                    row, start, n, fp, again = (np.concatenate(c) for c in zip(*out, strict=True))
                     row = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc").take(row), part.column("version").take(row), pa.array(at, pa.int32()), pa.array(fp, mask=again), pa.array(near), pa.array(words)],
-                        ["doc", "version", "line", "fp", "near", "words"],
+                        [part.column("doc").take(row), part.column("version").take(row), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(fp, mask=again)],
+                        ["doc", "version", "line", "n", "fp"],
                     )
 
-    return docs.mapInArrow(run, "doc long, version long, line int, fp long, near long, words long")
+    return docs.mapInArrow(run, "doc long, version long, line int, n int, fp long")
 
 
-def repeated_lines(prints: DataFrame) -> DataFrame:
-    """doc, version, line, words of the lines that match an earlier occurrence."""
-    # small sides are written first: a join that reads them plainly can split a hot fingerprint
+def repeated_runs(prints: DataFrame) -> DataFrame:
+    """doc, version, line, n of the runs that stand in an earlier place."""
+    # the small side is written first: a join that reads it plainly can split a hot fingerprint
     firsts = prints.filter("fp is not null").groupBy("fp").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc <> last_doc")
-    shared = stored(prints.filter("fp is not null").join(stored(firsts.drop("last_doc")).hint("shuffle_hash"), "fp"))
-    source = stored(shared.filter("doc = first_doc").groupBy("fp").agg(F.first("near").alias("source_near")))
-    later = shared.filter("doc > first_doc").join(source, "fp")
-    mask = (1 << 20) - 1
-    size = [F.shiftright("words", s).bitwiseAND(F.lit(mask)) for s in (40, 20, 0)]
-    before = (F.shiftright("near", 32) == F.shiftright("source_near", 32)) & (size[0] > 0)
-    after = (F.col("near").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("source_near").bitwiseAND(F.lit(0xFFFFFFFF))) & (size[2] > 0)
-    place = lambda step, n: F.struct((F.col("line") + step).alias("line"), n.alias("words"))
-    matched = F.array(place(0, size[1]), F.when(before, place(-1, size[0])), F.when(after, place(1, size[2])))
-    across = later.select("doc", "version", F.inline(F.filter(matched, lambda x: x.isNotNull())))
-    inside = prints.filter("fp is null").select("doc", "version", "line", size[1].alias("words"))
-    return across.unionByName(inside).distinct()
-
-
-def cut_lines(matched: DataFrame, min_words: int) -> DataFrame:
-    """doc, version, cut: numbers of the lines of long enough stretches of matched lines."""
-    order = Window.partitionBy("doc", "version").orderBy("line")
-    island = matched.withColumn("island", F.col("line") - F.row_number().over(order))
-    total = F.sum("words").over(Window.partitionBy("doc", "version", "island"))
-    long_enough = island.withColumn("total", total).filter(F.col("total") >= min_words)
-    return long_enough.groupBy("doc", "version").agg(F.collect_list("line").alias("cut"), F.sum("words").alias("n_words_cut"))
+    across = prints.filter("fp is not null").join(stored(firsts.drop("last_doc")).hint("shuffle_hash"), "fp").filter("doc > first_doc")
+    return across.select("doc", "version", "line", "n").unionByName(prints.filter("fp is null").drop("fp"))
+
+
+def cut_lines(repeated: DataFrame) -> DataFrame:
+    """doc, version, cut: numbers of the lines of repeated runs."""
+    runs = repeated.groupBy("doc", "version").agg(F.collect_list(F.struct("line", "n")).alias("runs"))
+    lines = F.transform("runs", lambda x: F.sequence(x["line"], x["line"] + x["n"] - 1))
+    return runs.select("doc", "version", F.array_distinct(F.flatten(lines)).alias("cut"))
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_lines_cut") -> DataFrame:
@@ -123,7 +120,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id",
 
     doc, version = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
     rows = docs.filter(doc.isNotNull() & F.col(text_col).isNotNull()).select(doc.alias("doc"), version.alias("version"), F.col(text_col).alias("text"))
-    cuts = stored(cut_lines(repeated_lines(stored(fingerprints(rows))), min_words)).toDF(*_CUT_COLUMNS, "__words")
+    cuts = stored(cut_lines(repeated_runs(stored(fingerprints(rows, min_words))))).toDF(*_CUT_COLUMNS)
     kept = [docs[c] for c in docs.columns]
     joined = docs.join(cuts, (doc == F.col("__doc")) & (version == F.col("__version")), "left")
     return joined.select(*(without(c, "__cut").alias(text_col) if n == text_col else c for n, c in zip(docs.columns, kept, strict=True)), F.coalesce(F.size("__cut"), F.lit(0)).alias(count_col))

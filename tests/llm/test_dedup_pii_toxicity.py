@@ -127,6 +127,42 @@ def test_lines_brute_force(spark):
     assert [got[i] for i in range(4, 80)] == clean[4:]
 
 
+def cut_by_rule(rows, min_words=30):
+    """Texts without the lines of runs of min_words words that stand in an earlier place, by comparing all runs."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = line_dedup.lines_of(text)
+        plain, own, cut = [x.strip() for x in lines], {}, set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(plain[a:b])
+                if sum(x.count(" ") + 1 for x in run) >= min_words:
+                    if run in seen or own.setdefault(run, b) <= a:
+                        cut.update(range(a, b))
+        seen |= own.keys()
+        out[i] = "".join(x for k, x in enumerate(lines) if k not in cut)
+    return out
+
+
+def made_up(rng):
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 6)))
+    return lambda n: " ".join([word().capitalize(), *(word() for _ in range(n - 1))]) + "."
+
+
+def cut(spark, rows):
+    return {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_one_line_passages(spark):
+    """A repeated line of 30 words goes, whatever its neighbours."""
+    sentence = made_up(np.random.default_rng(4))
+    shared = [sentence(n) for n in (30, 31, 45, 70)]
+    rows = [(i, " ".join([sentence(8), sentence(5), shared[i % 4], sentence(6), sentence(9)])) for i in range(60)]
+    got = cut(spark, rows)
+    assert got == cut_by_rule(rows)
+    assert all((shared[i % 4] in got[i]) == (i < 4) for i in range(60))
+
+
 def base_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
