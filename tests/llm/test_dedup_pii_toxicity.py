@@ -163,6 +163,18 @@ def test_one_line_passages(spark):
     assert all((shared[i % 4] in got[i]) == (i < 4) for i in range(60))
 
 
+def test_passages_with_lines_met_before(spark):
+    """Lines of a passage that stand alone in earlier documents do not hide the passage's own source."""
+    rng = np.random.default_rng(5)
+    sentence = made_up(rng)
+    passage = [sentence(6) for _ in range(12)]
+    rows = [(i, " ".join([sentence(7), passage[i % 12], sentence(7)])) for i in range(24)]
+    rows += [(100 + i, " ".join([sentence(7), *passage, sentence(7)])) for i in range(3)]
+    got = cut(spark, rows)
+    assert got == cut_by_rule(rows)
+    assert got[100] == rows[24][1] and not any(x in got[i] for x in passage for i in (101, 102))
+
+
 def base_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
