@@ -175,6 +175,19 @@ def test_passages_with_lines_met_before(spark):
     assert got[100] == rows[24][1] and not any(x in got[i] for x in passage for i in (101, 102))
 
 
+def test_lines_of_many_sources_stay(spark):
+    """Common lines in a row are no repeated passage unless they stand so in one earlier place."""
+    rng = np.random.default_rng(6)
+    sentence = made_up(rng)
+    common = [sentence(5) for _ in range(40)]
+    rows = [(i, " ".join([sentence(5), common[i], sentence(5)])) for i in range(40)]
+    rows += [(100 + i, " ".join(rng.permutation(common)[:14])) for i in range(6)]
+    rows += [(200, rows[41][1]), (201, " ".join([common[0], common[1]] * 9))]
+    got = cut(spark, rows)
+    assert got == cut_by_rule(rows)
+    assert all(got[i] == t for i, t in rows[:46]) and got[200] == ""
+
+
 def base_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
