@@ -230,6 +230,7 @@ ORACLE: dict[str, str] = {
     "trace_tail": "SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 200",
     "trace_by_event": "SELECT event_type AS event, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY event_type",
     "json_sink": """SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS json FROM orders""",
+    "read_json": "SELECT md5(text) AS md5 FROM benchmark",
     "read_jsonl": f"SELECT md5(text) AS md5 FROM documents WHERE text IS NOT NULL AND {strip('text')} <> ''",
     "read_text": f"SELECT md5({strip('b')}) AS md5 FROM (SELECT unnest(string_split(text, chr(10) || chr(10))) AS b FROM documents) WHERE {strip('b')} <> ''",
     "document_titles": "SELECT doc_id, coalesce(nullif(source, ''), 'untitled') AS title FROM documents WHERE coalesce(text, '') <> ''",

@@ -514,9 +514,9 @@ def corpora_json(rows):
     return F.to_json(F.struct(*rows.columns)).alias("json")
 
 
-def _files(spark, rows, how):
+def _files(spark, rows, how, **options):
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir') or 'file://' + tempfile.mkdtemp(prefix='tarn-files-')}/files-{uuid.uuid4().hex}"
-    getattr(rows.write, how)(path)
+    getattr(rows.write.options(**options), how)(path)
     return path
 
 
@@ -532,7 +532,10 @@ def read_jsonl(spark, sf_dir):
 
 
 def read_json(spark, sf_dir):
-    path = _files(spark, table(spark, sf_dir, "benchmark").select("item_id", "text").coalesce(1), "json")
+    # a file is one array of a bounded number of rows
+    rows = table(spark, sf_dir, "benchmark").select("item_id", "text").withColumn("part", F.expr("monotonically_increasing_id() div 1000"))
+    arrays = rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct("item_id", "text"))).alias("value")).select("value")
+    path = _files(spark, arrays, "text", maxRecordsPerFile=1)
     return corpora.read_json(spark, path).select(F.md5("text").alias("md5"))
 
 

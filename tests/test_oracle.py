@@ -23,6 +23,12 @@ def plain(v):
     return v.replace(tzinfo=None).isoformat() if isinstance(v, dt.datetime) else str(v)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_read_json_keeps_every_row(spark):
+    got = sorted(r.md5 for r in QUERIES["read_json"](spark, SF).collect())
+    assert got == sorted(r[0] for r in duckdb.sql(ORACLE["read_json"].replace("benchmark", f"'{SF}/benchmark.parquet'")).fetchall()) and len(got) > 1
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize("name", NAMES)
 def test_same_as_sql(spark, name):
