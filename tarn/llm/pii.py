@@ -34,16 +34,18 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WIDE_EMAIL = r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 WIDE_PHONE = r"(?<![0-9+(.-])(?<![0-9][\x20])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\x20().-]?[0-9])"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])"
-#: name -> (kind that its spans get, pattern, what a text must have for a match).
+#: name -> (kind that its spans get, pattern, what a text must have for a match; None: see NEEDED).
 FINDERS = {
     "email": ("email", EMAIL, "@"),
     "ip": ("ip", IP, "."),
-    "card": ("card", CARD, ""),
+    "card": ("card", CARD, None),
     "phone": ("phone", PHONE, "+"),
     "wide_email": ("email", WIDE_EMAIL, "@"),
-    "wide_phone": ("phone", WIDE_PHONE, ""),
-    "secret": ("secret", SECRET, ""),
+    "wide_phone": ("phone", WIDE_PHONE, None),
+    "secret": ("secret", SECRET, None),
 }
+#: Short patterns that every match of the finder meets.
+NEEDED = {"card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "wide_phone": "[0-9]{3}", "secret": "[0-9a-f]{32}"}
 #: Gazetteers (fixed values): top-level domains, first digits of card issuers, calling codes.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "us", "ca", "ch", "at", "nl")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
@@ -69,7 +71,7 @@ def _located(text: Column, name: str) -> Column:
         F.filter(pair, lambda x: x["value"].isNotNull()),
         lambda x, i: F.struct(F.lit(name).alias("finder"), i.cast("int").alias("i"), x["value"].alias("value"), x["gap"].alias("gap"), x["before"].alias("before")),
     )
-    has = F.contains(text, F.lit(needed)) if needed else text.rlike("[0-9]{3}")
+    has = F.contains(text, F.lit(needed)) if needed else text.rlike(NEEDED[name])
     if name == "wide_email":
         has = has & text.rlike(r"[^\x00-\x7f]")
     return F.when(has, rows).otherwise(F.array().cast(_FOUND))

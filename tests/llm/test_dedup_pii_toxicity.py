@@ -214,6 +214,19 @@ def test_pii(spark, odd, small, empty):
     assert pii.digests(pii.detect(empty)).count() == 0
 
 
+def test_cards_and_secrets_however_spaced(spark):
+    """Cards in pairs or single digits, and secrets without three digits in a row, are found in texts that hold nothing else."""
+    cards = ["41 11 11 11 11 11 11 11", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "41-11-11-11-11-11-11-11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1"]
+    docs = spark.createDataFrame([(i, f"pay with {c} now") for i, c in enumerate(cards)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.digests(pii.detect(docs)).collect()}
+    for i, c in enumerate(cards):
+        want = hashlib.sha256(f"card:9:{9 + len(c)}".encode()).hexdigest()
+        assert rows[i].n_card == 1 and rows[i].base_sha256 == want
+    assert {r.text for r in pii.redact(docs).collect()} == {"pay with [CARD] now"}
+    secret = spark.createDataFrame([(0, "key " + "ab" * 16)], "doc_id long, text string")
+    assert [x["finder"] for r in pii.keyed(secret).collect() for x in r.found] == ["secret"]
+
+
 def test_redact(odd, empty):
     rows = {r.doc_id: r for r in pii.redact(odd).collect()}
     assert rows[8].text == "mail [EMAIL] or [PHONE], card [CARD], ip [IP]." and rows[2].text is None and rows[3].text == ""
