@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import line_dedup, near_dup, packing, pii, toxicity
-from tarn.llm.common import scratch_dir, stored, table
+from tarn.llm.common import dropped, fresh_names, scratch_dir, stored, table, temporary
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -34,9 +34,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(docs, count_col="__lines_cut")
-    left = cut.filter((F.col("__lines_cut") == 0) | (F.trim("text") != ""))
-    return _measured(left.drop("__lines_cut"))
+    (count,) = fresh_names(docs, "n_lines_cut")
+    cut = line_dedup.dedup_lines(docs, count_col=count)
+    left = cut.filter((F.col(count) == 0) | (F.trim("text") != ""))
+    return _measured(left.drop(count))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,16 +65,21 @@ STAGES = [
     ("packing", pack_tokens),
 ]
 
-#: Learned scores, hashed fingerprints and token ids are beyond SQL; tests compare each stage with brute force.
+#: Learned scores, hashed fingerprints and token ids are beyond SQL; tests hold the stages against plain statements of their rules.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
+    """All stages over documents; each result is written to the shared folder and read again.
+    What a stage stored for itself goes with it, its result when the next one is written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{scratch_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{name}")
+        with temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{name}")
+        dropped(spark, before)
+        before = [f"{base}/{name}"]
     return STAGES[-1][1](spark, docs, sf_dir)
