@@ -1,196 +1,182 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
-
-Terms are words and word beginnings (5 and 7 letters) in lower case, known by 64-bit hashes.
-The vocabulary is every term of the labelled rows used, whatever the size of the input; its
-document frequencies are counted over all documents. A term that goes with one label weighs
-more: by 1 + z squared, with z its deviation from the toxic share, shrunk for rare terms.
-Terms that no example has count in the length of a text, as if one document had them. The
-labelled rows used are a sample of at most `max_examples` rows, by hash of id: this bounds
-the index, which is broadcast.
-
-The index holds the weights of terms that many examples have as a dense matrix and those of
-all others as postings; a text's cosines with all examples are one product with the matrix
-plus the sum of its postings, so the neighbours are exact. Neighbours vote with weights that
-fall with distance, and the votes are calibrated by isotonic regression on leave-one-out
-votes of the examples. The neighbours are returned as evidence.
-
-Defined results: null and empty texts, and texts without a term of any example, get the
-toxic share of such examples and no evidence; equal texts get equal scores; without labelled
-rows of both classes every score is their toxic share (0 if there are none); repeated rows
-are scored once each; an empty table gives no rows; other columns of the input are not read.
+"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, over block-max inverted indexes.
+
+Terms are the words of a text: runs of ASCII letters, ASCII digits and characters beyond
+ASCII, in lower case. The vocabulary is every word of the labelled rows used, whatever the
+size of the input; its document frequencies are counted over all documents. The labelled
+rows used are a sample of at most `max_examples` rows, by hash of id: this bounds the index,
+which is broadcast. Equal texts are one example, whose label is the mean of theirs. A word
+that goes with one label weighs more, by 1 + z squared, where z is the deviation of its
+toxic share, shrunk for rare words; words that no example has count nothing.
+
+The index keeps its examples in blocks of `BLOCK` that have frequent words in common, and
+the largest weight of each word in each block. A text's cosines over rare words are summed
+from their postings; with the block maxima of its frequent words they bound every block,
+and only blocks whose bound reaches the k-th best cosine found so far are computed. The
+neighbours are exact: those that may be among the k best are computed again in double
+precision. They vote with weights that fall with distance, the votes are calibrated by
+isotonic regression on leave-one-out votes of the examples, and they are the evidence.
+
+Defined results: null and empty texts, and texts without a word of any example, get the
+toxic share of all examples, but less than the threshold, and no evidence; equal texts get
+equal scores; without labelled rows of both classes every score is about their toxic share
+(0 if there are none); repeated rows are scored once each; an empty table gives no rows;
+other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain
+from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_slices
+from .common import array_slices, release, text_slices
 
-MAX_EXAMPLES = 20_000
-NEIGHBOURS, BLOCK, EVIDENCE = 24, 64, 5
-#: Terms that so large a share of the examples have are columns of the dense matrix.
-DENSE_SHARE = 1 / 16
-BEGINNINGS = (5, 7)
+MAX_EXAMPLES = 4096
+NEIGHBOURS, EVIDENCE = 8, 5
+#: Examples in a block, and texts that are looked up together.
+BLOCK, BATCH = 64, 64
+#: Words that so large a share of the examples have are bounded by blocks; the rest have postings.
+FREQUENT_SHARE = 1 / 16
 THRESHOLD = 0.3
-_WORDS = re.compile(r"[^\W_]+").findall
-
-
-class TermFinder:
-    """Counts of the terms of texts. Terms are numbered by their place in `known` (sorted
-    hashes); others get numbers from len(known) on, which hold until the next call. Words are
-    remembered with their terms (up to `limit`), so most words cost one look."""
-
-    def __init__(self, known: np.ndarray, limit: int = 200_000):
-        self.known, self.limit = known, limit
-        self._forget()
-
-    def _forget(self):
-        self.words: dict[str, int] = {}
-        self.others: dict[int, int] = {}
-        self.terms = np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
-
-    def __reduce__(self):
-        return TermFinder, (self.known, self.limit)
-
-    def _learn(self, fresh: list[str]):
-        import xxhash
-
-        parts = ((w, *("^" + w[:k] if len(w) > k else "" for k in BEGINNINGS)) for w in fresh)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(t.encode()) if t else 0 for t in chain.from_iterable(parts)), np.uint64, len(fresh) * self.terms.shape[1])
-        numbers = np.searchsorted(self.known, hashes)
-        same = numbers < len(self.known)
-        same[same] = self.known[numbers[same]] == hashes[same]
-        for i in np.flatnonzero(~same).tolist():
-            h = int(hashes[i])
-            numbers[i] = self.others.setdefault(h, len(self.known) + len(self.others)) if h else -1
-        self.terms = np.concatenate([self.terms, numbers.reshape(len(fresh), -1)])
-        self.words.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, term and count of every term of every text, in order."""
-        if len(self.words) > self.limit:
-            self._forget()
-        words = [_WORDS(t.lower()) for t in texts]
-        flat = list(chain.from_iterable(words))
-        if fresh := sorted(set(flat) - self.words.keys()):
-            self._learn(fresh)
-        word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
-        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
-        key, n = np.unique(row * max(len(self.words), 1) + word, return_counts=True)
-        row, word = np.divmod(key, max(len(self.words), 1))
-        terms = self.terms[word].ravel()
-        row, n = np.repeat(row, self.terms.shape[1])[terms >= 0], np.repeat(n, self.terms.shape[1])[terms >= 0]
-        every = len(self.known) + len(self.others) or 1
-        key = row * every + terms[terms >= 0]
-        by = np.argsort(key, kind="stable")
-        key, n = key[by], n[by]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        return key[first] // every, key[first] % every, np.add.reduceat(n, first) if len(first) else n
-
-
-def weigh(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers and weights of length 1."""
-    terms = np.fromiter(sorted(counts), np.int64, len(counts))
-    w = (1 + np.log(np.array([counts[t] for t in terms.tolist()], np.float64))) * idf[terms]
-    return terms, (w / np.sqrt((w * w).sum()) if len(w) else w).astype(np.float32)
+_LETTERS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+#: Cosines in single precision may be off by so much.
+_SLACK = 1e-5
+
+
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode().translate(_LETTERS).split()
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All whole numbers of the ranges, one range after another."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Index:
-    """Examples as rows of term weights, given in order of rows: `starts` (of each row, and the end), terms, weights."""
+    """Examples as rows of word weights: `starts` (of each row, and the end), terms and weights of length 1."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int):
-        self.n, self.n_terms, self.starts = len(starts) - 1, n_terms, starts
-        own = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(starts))
-        by = np.argsort(terms, kind="stable")
-        self.place, self.weight = own[by], weights[by].astype(np.float32)
-        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=n_terms))])
-        self.dense = None
+        self.n, self.n_terms, self.starts, self.terms, self.weights = len(starts) - 1, n_terms, starts, terms.astype(np.int32), weights.astype(np.float32)
+        self.blocks_met = self.blocks_computed = 0
+        self.ready = False
 
     def __getstate__(self):
-        return self.__dict__ | {"dense": None}  # each worker makes its own
+        kept = ("n", "n_terms", "starts", "terms", "weights", "blocks_met", "blocks_computed")
+        return {k: self.__dict__[k] for k in kept} | {"ready": False}  # each worker makes the rest itself
+
+    def _near_together(self, matrix: np.ndarray) -> np.ndarray:
+        """The examples in an order in which neighbours have frequent words in common: halved
+        again and again across the direction in which they differ most."""
+        done, parts = [], [np.arange(self.n)]
+        while parts:
+            part = parts.pop()
+            if len(part) <= BLOCK:
+                done.append(part)
+                continue
+            x = matrix[part] - matrix[part].mean(axis=0)
+            way = x[np.argmax((x * x).sum(axis=1))]
+            for _ in range(8):
+                way = x.T @ (x @ way)
+                way /= max(float(np.sqrt((way * way).sum())), 1e-30)
+            order = part[np.argsort(np.round(x @ way, 4), kind="stable")]
+            half = -(-len(order) // (2 * BLOCK)) * BLOCK
+            parts += [order[half:], order[:half]]
+        return np.concatenate(done)
 
     def _prepare(self):
-        sizes = np.diff(self.cuts)
-        frequent = np.flatnonzero(sizes >= max(self.n * DENSE_SHARE, 1))
-        self.in_dense = np.full(self.n_terms, -1, np.int32)
-        self.in_dense[frequent] = np.arange(len(frequent))
-        # padded to whole tiles, so that a text's product does not depend on its place
-        dense = np.zeros((-(-max(len(frequent), 1) // 16) * 16, -(-self.n // BLOCK) * BLOCK), np.float32)
-        for c, t in enumerate(frequent.tolist()):
-            dense[c, self.place[self.cuts[t] : self.cuts[t + 1]]] = self.weight[self.cuts[t] : self.cuts[t + 1]]
-        self.dense = dense
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, terms and weights of the examples, as given."""
-        term = np.repeat(np.arange(self.n_terms), np.diff(self.cuts))
-        by = np.argsort(self.place, kind="stable")
-        return self.starts, term[by], self.weight[by]
-
-    def many(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each vector the k nearest examples (of cosine over 0) and their cosines, best first; ties by number."""
-        if self.dense is None:
+        sizes = np.bincount(self.terms, minlength=self.n_terms)
+        frequent = np.flatnonzero(sizes >= max(self.n * FREQUENT_SHARE, 1))
+        self.column = np.full(self.n_terms, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        own = np.repeat(np.arange(self.n), np.diff(self.starts))
+        column = self.column[self.terms]
+        matrix = np.zeros((self.n, max(len(frequent), 1)), np.float32)
+        matrix[own[column >= 0], column[column >= 0]] = self.weights[column >= 0]
+        self.order = self._near_together(matrix)
+        place = np.empty(self.n, np.int64)
+        place[self.order] = np.arange(self.n)
+        self.place_of = place
+        self.n_blocks = -(-self.n // BLOCK)
+        padded = np.zeros((self.n_blocks * BLOCK, matrix.shape[1]), np.float32)
+        padded[: self.n] = matrix[self.order]
+        blocks = padded.reshape(self.n_blocks, BLOCK, -1)
+        self.blocks = np.ascontiguousarray(blocks.transpose(0, 2, 1))  # block x frequent word x example
+        self.tops = np.ascontiguousarray(blocks.max(axis=1).T)  # frequent word x block
+        rare = column < 0
+        by = np.argsort(self.terms[rare], kind="stable")
+        self.place, self.weight = place[own[rare]][by], self.weights[rare][by]
+        self.cuts = np.concatenate([[0], np.cumsum(np.where(self.column < 0, sizes, 0))])
+        self.work = np.zeros(self.n_terms)
+        self.ready = True
+
+    def nearest(self, cuts: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector (terms and weights between its cuts) the k nearest examples of a
+        cosine over 0 and their cosines, best first, ties by number; `without`: an example to leave out of each."""
+        if not self.ready:
             self._prepare()
         out = []
-        for start in range(0, len(vectors), BLOCK):
-            some = vectors[start : start + BLOCK]
-            query = np.zeros((BLOCK, len(self.dense)), np.float32)
-            for row, (t, w) in enumerate(some):
-                column = self.in_dense[t]
-                query[row, column[column >= 0]] = w[column >= 0]
-            totals = query @ self.dense
-            for row, (t, w) in enumerate(some):
-                total, rare = totals[row], self.in_dense[t] < 0
-                low, size = self.cuts[t[rare]], self.cuts[t[rare] + 1] - self.cuts[t[rare]]
-                if n := int(size.sum()):
-                    at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(n)
-                    total += np.bincount(self.place[at], self.weight[at] * np.repeat(w[rare], size), len(total)).astype(np.float32)
-                if without is not None:
-                    total[without[start + row]] = 0
-                # the k-th best of the maxima of as many parts is a bound of the k-th best of all
-                tops = total.reshape(BLOCK, -1).max(axis=1)
-                least = np.partition(tops, BLOCK - k)[BLOCK - k] if k <= BLOCK else 0.0
-                at = np.flatnonzero((total >= least - 4e-6) & (total > 0))
-                cosine = np.round(total[at], 6)
-                best = np.lexsort((at, -cosine))[:k]
+        for start in range(0, len(cuts) - 1, BATCH):
+            stop = min(start + BATCH, len(cuts) - 1)
+            own = slice(cuts[start], cuts[stop])
+            row = np.repeat(np.arange(stop - start), np.diff(cuts[start : stop + 1]))
+            barred = None if without is None else without[start:stop]
+            close = self._candidates(stop - start, row, terms[own], weights[own], k, barred)
+            for i in range(stop - start):
+                mine = slice(cuts[start + i], cuts[start + i + 1])
+                at = np.sort(self.order[np.flatnonzero(close[i])])
+                cosine = self._cosines(terms[mine], weights[mine], at)
+                at, cosine = at[cosine > 0], cosine[cosine > 0]
+                best = np.argsort(-cosine, kind="stable")[:k]
                 out.append((at[best], cosine[best]))
         return out
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.many([(terms, weights)], k)[0]
-
-    # Views of the examples in blocks, for inspection: members, their dense weights, and the columns of these by term.
-
-    @property
-    def members(self) -> list[np.ndarray]:
-        return [np.arange(i, min(i + BLOCK, self.n)) for i in range(0, self.n, BLOCK)]
-
-    @property
-    def blocks(self) -> list[np.ndarray]:
-        starts, terms, weights = self.rows()
-        out = []
-        for members in self.members:
-            held = slice(starts[members[0]], starts[members[-1] + 1])
-            names, column = np.unique(terms[held], return_inverse=True)
-            out.append(np.zeros((len(members), len(names)), np.float32))
-            out[-1][np.repeat(members - members[0], np.diff(starts)[members]), column] = weights[held]
-        return out
-
-    @property
-    def column(self) -> list[np.ndarray]:
-        starts, terms, _ = self.rows()
-        out = []
-        for members in self.members:
-            names = np.unique(terms[starts[members[0]] : starts[members[-1] + 1]])
-            out.append(np.full(self.n_terms, -1, np.int32))
-            out[-1][names] = np.arange(len(names))
-        return out
+    def _candidates(self, n: int, row: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, barred: np.ndarray | None) -> np.ndarray:
+        """vectors x places: which examples may be among the k best of each."""
+        column = self.column[terms]
+        query = np.zeros((n, self.tops.shape[0]), np.float32)
+        query[row[column >= 0], column[column >= 0]] = weights[column >= 0]
+        low, size = self.cuts[terms], self.cuts[terms + 1] - self.cuts[terms]
+        at, width = ranges(low, size), self.n_blocks * BLOCK
+        rare = np.bincount(np.repeat(row * width, size) + self.place[at], self.weight[at] * np.repeat(weights, size), n * width).reshape(n, width).astype(np.float32)
+        rare[:, self.n :] = -1
+        if barred is not None:
+            rare[np.arange(n), self.place_of[barred]] = -np.inf
+        bounds = rare.reshape(n, self.n_blocks, BLOCK).max(axis=2) + query @ self.tops
+        total = np.full((n, self.n_blocks, BLOCK), -np.inf, np.float32)
+        rare = rare.reshape(total.shape)
+
+        def compute(wanted: np.ndarray):
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                of = np.flatnonzero(wanted[:, b])
+                total[of, b] = rare[of, b] + query[of] @ self.blocks[b]
+
+        def kth(values: np.ndarray) -> np.ndarray:
+            return np.partition(values, values.shape[1] - k, axis=1)[:, values.shape[1] - k] if k <= values.shape[1] else np.full(n, -np.inf, np.float32)
+
+        first = np.zeros((n, self.n_blocks), bool)
+        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :2], True, axis=1)
+        compute(first)
+        least = kth(total[first].reshape(n, -1))
+        more = (bounds >= least[:, None] - _SLACK) & (bounds > 0) & ~first
+        compute(more)
+        self.blocks_met += n * self.n_blocks
+        self.blocks_computed += int(first.sum() + more.sum())
+        total = total.reshape(n, width)
+        return (total >= kth(total)[:, None] - _SLACK) & (total > 0)
+
+    def _cosines(self, terms: np.ndarray, weights: np.ndarray, examples: np.ndarray) -> np.ndarray:
+        """Cosines with the given examples, in double precision and a fixed order of sums."""
+        if not len(examples):
+            return np.zeros(0)
+        self.work[terms] = weights
+        size = self.starts[examples + 1] - self.starts[examples]
+        at = ranges(self.starts[examples], size)
+        out = np.add.reduceat(self.work[self.terms[at]] * self.weights[at], np.cumsum(size) - size)
+        self.work[terms] = 0
+        return np.round(out, 9)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,53 +195,52 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Scorer:
     """A fitted model; small enough to broadcast (see MAX_EXAMPLES)."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, other: float, ids: np.ndarray, toxic: np.ndarray, examples: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        """terms: sorted hashes; idf: their weights; other: the weight of a term no example has;
-        examples: starts, term numbers and counts of the rows of ids and toxic."""
-        self.terms, self.idf, self.other, self.find = terms, idf, other, TermFinder(terms)
-        self.prior = float(toxic.mean()) if len(toxic) else 0.0
-        starts, numbers, counts = examples
-        size = np.diff(starts)
-        blank = toxic[size == 0]
-        self.blank = float((blank.sum() + self.prior) / (len(blank) + 1))
-        self.ids, self.toxic = ids[size > 0], toxic[size > 0].astype(np.float64)
+    def __init__(self, words: list[bytes], weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, examples: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        """words in order and what each weighs; examples (none empty): starts, word numbers and counts of the rows of ids and toxic."""
+        self.words, self.weight, self.ids, self.toxic = b" ".join(words), weight, ids, toxic.astype(np.float64)
+        self.number: dict[bytes, int] = {}
+        self.share = float(toxic.mean()) if len(toxic) else 0.0
+        self.blank = min(self.share, THRESHOLD / 2)
         self.index = None
-        if len(self.ids):
-            starts = np.concatenate([[0], np.cumsum(size[size > 0])])
-            weights = (1 + np.log(counts)).astype(np.float32) * idf[numbers]
-            weights /= np.repeat(np.sqrt(np.add.reduceat(weights.astype(np.float64) ** 2, starts[:-1])), size[size > 0])
-            self.index = Index(starts, numbers, weights, len(terms))
-            votes = []
-            for i in range(0, len(self.ids), BLOCK):
-                own = range(i, min(i + BLOCK, len(self.ids)))
-                vectors = [(numbers[starts[k] : starts[k + 1]], weights[starts[k] : starts[k + 1]]) for k in own]
-                votes += [self.vote(*found) for found in self.index.many(vectors, NEIGHBOURS, [*own])]
-            self.x, self.y = isotonic(np.array(votes), self.toxic)
-
-    def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
-        weight = 1 / (0.05 + 1 - np.minimum(cosines.astype(np.float64), 1))
-        return float(((weight * self.toxic[ids]).sum() + self.prior) / (weight.sum() + 1))
-
-    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Known terms and weights of each text; with its other terms they have length 1."""
-        row, term, n = self.find(texts)
-        known = term < len(self.terms)
-        w = 1 + np.log(n)
-        w[known] *= self.idf[term[known]]
-        w[~known] *= self.other
+        if len(ids):
+            starts, numbers, counts = examples
+            weights = (1 + np.log(counts)) * weight[numbers]
+            weights /= np.repeat(np.sqrt(np.add.reduceat(weights**2, starts[:-1])), np.diff(starts))
+            self.index = Index(starts, numbers, weights, len(words))
+            found = self.index.nearest(starts, self.index.terms, weights, NEIGHBOURS, np.arange(len(ids)))
+            self.x, self.y = isotonic(np.array([self.vote(*x) for x in found]), self.toxic)
+
+    def __getstate__(self):
+        return self.__dict__ | {"number": {}}
+
+    def vote(self, examples: np.ndarray, cosines: np.ndarray) -> float:
+        weight = 1 / (0.05 + 1 - np.minimum(cosines, 1))
+        return float(((weight * self.toxic[examples]).sum() + self.share) / (weight.sum() + 1))
+
+    def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cuts of the texts, and the word numbers and weights (of length 1) between them."""
+        if not self.number:
+            self.number = {w: i for i, w in enumerate(self.words.split())}
+        words = [words_of(t) for t in texts]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        term = np.fromiter(map(self.number.get, chain.from_iterable(words), repeat(-1)), np.int64, int(size.sum()))
+        row = np.repeat(np.arange(len(texts)), size)[term >= 0]
+        key, n = np.unique(row * len(self.weight) + term[term >= 0], return_counts=True)
+        row, term = np.divmod(key, len(self.weight))
+        w = (1 + np.log(n)) * self.weight[term]
         w /= np.sqrt(np.bincount(row, w * w, len(texts)))[row]
-        row, term, w = row[known], term[known], w[known].astype(np.float32)
-        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-        return [(term[a:b], w[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return np.searchsorted(row, np.arange(len(texts) + 1)), term, w
 
     def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[int, int, float]]]]:
+        """Score and evidence (example id, its label, cosine) of each text."""
         if self.index is None:
             return [(self.blank, [])] * len(texts)
-        out = []
-        for ids, cosines in self.index.many(self.vectors(texts), NEIGHBOURS):
-            evidence = [(int(self.ids[i]), int(self.toxic[i]), float(c)) for i, c in zip(ids[:EVIDENCE].tolist(), cosines.tolist(), strict=False)]
-            out.append((float(np.interp(self.vote(ids, cosines), self.x, self.y)) if len(ids) else self.blank, evidence))
-        return out
+        distinct = list(dict.fromkeys(texts))
+        known = {}
+        for text, (at, cosines) in zip(distinct, self.index.nearest(*self.vectors(distinct), NEIGHBOURS), strict=True):
+            evidence = [(int(self.ids[i]), int(self.toxic[i] >= 0.5), float(c)) for i, c in zip(at[:EVIDENCE].tolist(), cosines.tolist(), strict=False)]
+            known[text] = (float(np.interp(self.vote(at, cosines), self.x, self.y)) if len(at) else self.blank, evidence)
+        return [known[t] for t in texts]
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         return self.scores([text])[0]
@@ -265,16 +250,6 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    """All values of a binary column, one after another."""
-    parts = [np.zeros(0, kind)]
-    for c in column.chunks:
-        ends = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1] if len(c) else [0, 0]
-        if ends[-1] > ends[0]:
-            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
-    return np.concatenate(parts)
-
-
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -287,53 +262,58 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # bounds the broadcast
     examples = rows.join(F.broadcast(sample), "doc_id")
 
-    def vectors(batches):
-        find = TermFinder(np.zeros(0, np.uint64))
+    def counted(batches):
         for batch in batches:
             for part, texts in text_slices(batch):
-                row, term, n = find(texts)
-                hashes = np.fromiter(find.others, np.uint64, len(find.others))[term]
-                cuts = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
-                held = [(hashes[a:b].tobytes(), n[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                found = [Counter(words_of(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic"), pa.array([x for x, _ in held], pa.binary()), pa.array([x for _, x in held], pa.binary())], ["doc_id", "toxic", "terms", "counts"]
+                    [
+                        part.column("doc_id"),
+                        part.column("toxic"),
+                        pa.array([b" ".join(c) for c in found], pa.binary()),
+                        pa.array([np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in found], pa.binary()),
+                    ],
+                    ["doc_id", "toxic", "words", "counts"],
                 )
 
-    found = examples.mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary")
-    found = found.orderBy("doc_id", "toxic", F.xxhash64("terms", "counts")).toArrow()  # at most max_examples labelled ids
-    ids, toxic = found.column("doc_id").to_numpy(), (found.column("toxic").to_numpy() > 0).astype(np.float64)
-    hashes, counts = _joined(found.column("terms"), np.uint64), _joined(found.column("counts"), np.int32)
-    starts = np.concatenate([[0], np.cumsum(pc.binary_length(found.column("counts")).to_numpy() // 4)]).astype(np.int64)
-    del found
-    if not len(ids):
-        return Scorer(hashes, np.zeros(0), 1.0, ids, toxic, (starts, counts, counts))
-    terms = np.unique(hashes)
-    numbers = np.searchsorted(terms, hashes).astype(np.int32)
-    del hashes
-    known = spark.sparkContext.broadcast(terms)
+    found = examples.mapInArrow(counted, "doc_id long, toxic int, words binary, counts binary")
+    # equal texts are one example; at most max_examples labelled ids come to the driver
+    found = found.groupBy("words", "counts").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic")).filter("length(words) > 0").orderBy("doc_id", "words").toArrow()
+    ids, toxic = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy()
+    rows_of_words = [w.split() for w in found.column("words").to_pylist()]
+    counts = np.frombuffer(b"".join(found.column("counts").to_pylist()), np.int32)
+    starts = np.cumsum([0, *map(len, rows_of_words)])
+    words = sorted(set().union(*rows_of_words))
+    if not words:
+        return Scorer([], np.zeros(0), ids, toxic, (starts, counts, counts))
+    number = {w: i for i, w in enumerate(words)}
+    numbers = np.fromiter(map(number.__getitem__, chain.from_iterable(rows_of_words)), np.int64, len(counts))
+    del rows_of_words, number, found
+    shared = spark.sparkContext.broadcast(b" ".join(words))
 
     def frequencies(batches):
-        find, seen = TermFinder(known.value), 0
-        df = np.zeros(len(find.known), np.int64)
+        release()
+        number = {w: i for i, w in enumerate(shared.value.split())}
+        known, seen, df = number.keys(), 0, Counter()
         for batch in batches:
             for _, texts in text_slices(batch):
-                term = find(texts)[1]
-                df += np.bincount(term[term < len(df)], minlength=len(df))
+                for t in texts:
+                    df.update(known & set(words_of(t)))
                 seen += len(texts)
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], seen), pa.int64())], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([number[w] for w in df] + [-1], pa.int32()), pa.array([*df.values(), seen], pa.int64())], ["term", "n"])
 
-    sums = rows.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(terms) + 1, np.int64)
+    sums = rows.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a word at most
+    df = np.zeros(len(words) + 1, np.int64)
     df[sums.column("term").to_numpy()] = sums.column("n").to_numpy()  # the last place holds the number of documents
+    shared.destroy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
-    # how far a term's toxic share is from that of all examples; the 1 shrinks it where few have the term
+    # how far a word's toxic share is from that of all examples; the 1 shrinks it where few have the word
     share = toxic.mean()
-    n = np.bincount(numbers, minlength=len(terms))
-    n1 = np.bincount(numbers, np.repeat(toxic, np.diff(starts)), len(terms))
+    n = np.bincount(numbers, minlength=len(words))
+    n1 = np.bincount(numbers, np.repeat(toxic, np.diff(starts)), len(words))
     z = (n1 - n * share) / np.sqrt(n * share * (1 - share) * (1 - n / len(ids)) + 1)
-    return Scorer(terms, (idf * (1 + z * z)).astype(np.float32), float(np.log((df[-1] + 1) / 2) + 1), ids, toxic, (starts, numbers, counts))
+    return Scorer(words, idf * (1 + z * z), ids, toxic, (starts, numbers, counts))
 
 
 def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,6 +321,7 @@ def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
+        release()
         model = shared.value
         for batch in batches:
             for part, texts in text_slices(batch):
@@ -353,16 +334,17 @@ def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
 
 
 def not_toxic(docs: DataFrame, scorer: Scorer, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose score is under THRESHOLD, with all their columns."""
+    """The rows of docs whose score is under THRESHOLD, with all their columns; rows of null
+    and empty texts stay."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    @F.pandas_udf("double")
-    def value(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def value(text: pa.Array) -> pa.Array:
+        release()
         model = shared.value
-        parts = text_slices(pa.RecordBatch.from_arrays([pa.array(text, pa.string())], ["text"]))
-        return pd.Series([s for _, texts in parts for s, _ in model.scores(texts)], dtype="float64")
+        return pa.array([s for _, texts in array_slices(text) for s, _ in model.scores(texts)], pa.float64())
 
-    return docs.filter(value(F.col(text_col)) < THRESHOLD)
+    return docs.filter(value(F.col(text_col).cast("string")) < THRESHOLD)
 
 
 def digests(scored: DataFrame) -> DataFrame:
