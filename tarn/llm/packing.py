@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Merges
 from .chunk_ids import ChunkIds
-from .common import binary_array, text_slices
+from .common import binary_array, held, text_slices
 
 #: str.split() also cuts at these control characters, the tokenizer does not.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -29,30 +29,34 @@ _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Bits of a sequence id below the bucket: partition (26) and row in it (33).
 _BUCKET_SHIFT = 59
-_ENCODERS: dict[str, "WordIds"] = {}
 
 
 class WordIds(ChunkIds):
     """Ids of a word-end BPE tokenizer that drops white space, cached by chunk between spaces.
 
-    Chunks of plain Latin text are lower-cased, cut into words and merged in batches; any
-    other chunk (special tokens, combining marks, other scripts) goes to the library.
+    Texts of plain Latin characters are lower-cased first, as the tokenizer does, and their
+    chunks are cut into words and merged in batches; chunks of other texts are looked at one
+    by one, and what is not plain (special tokens, combining marks, other scripts) goes to
+    the library.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, **kw):
         import regex
         from tokenizers import Tokenizer
 
-        super().__init__(limit)
+        super().__init__(**kw)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             self.table = Merges(json.load(f))
         self.plain = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]+").fullmatch
+        self.other = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u017e]|<\\|").search
         self.words = regex.compile(WORDS).findall
 
     def chunks(self, text: str) -> list[str]:
+        if not self.other(text):
+            return text.lower().split()
         if any(c in text for c in _CONTROLS):
             return [text]
         return text.split()
@@ -60,14 +64,22 @@ class WordIds(ChunkIds):
     def encode_new(self, chunks):
         words, per, other = [], np.zeros(len(chunks), np.int64), {}
         for i, c in enumerate(chunks):
+            if c.isalpha() and c.isascii():
+                words.append(c.lower())
+                per[i] = 1
+                continue
             if "<|" in c or not self.plain(c):
                 other[i] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, np.uint32)
                 continue
             c = c.lower()
-            found = [c] if c.isalpha() else self.words(c)
-            words += [w.encode() for w in found]
+            stem, last = c[:-1], c[-1]
+            if stem.isalpha() and not last.isalnum():  # the commonest case: a word and one mark
+                found = [stem, last]
+            else:
+                found = [c] if c.isalpha() else self.words(c)
+            words += found
             per[i] = len(found)
-        ranks, counts = self.table.encode_words(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        ranks, counts = self.table.encode_words([w.encode() for w in words]) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         lens = np.diff(np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(per)])])
         ids = self.table.ids[ranks]
         if other:
@@ -78,9 +90,7 @@ class WordIds(ChunkIds):
 
 
 def _word_ids(path: str) -> WordIds:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordIds(path)
-    return _ENCODERS[path]
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def piece_lengths(counts: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
