@@ -20,18 +20,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import array_slices, fresh_names, release, stored, text_slices
 
 #: Capital letters of the Latin, Greek and Cyrillic alphabets (fixed values).
 _CAPITALS = "A-ZÀ-ÖØ-ÞŒŸΑ-ΩА-Я"
 _LINES = re.compile(f"(?<=\\n)(?!\\n)|(?<=[.!?] )|(?<= )(?=[{_CAPITALS}])").split
-#: Names that no input column should have.
-_CUT_COLUMNS = ("__doc", "__version", "__cut")
 #: An odd factor and its inverse modulo 2 ** 64: hashes of runs are differences of sums of hash x factor ** place.
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -65,6 +62,7 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         import xxhash
 
+        release()
         factor, inverse = powers(_FACTOR, 1024), powers(_INVERSE, 1024)
         for batch in batches:
             for part, texts in text_slices(batch):
@@ -108,22 +106,24 @@ def cut_lines(repeated: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_lines_cut") -> DataFrame:
-    @F.pandas_udf("string")
-    def without(text: pd.Series, cut: pd.Series) -> pd.Series:
-        def kept(t, lines):
-            if lines is None:
-                return t
-            gone = set(lines.tolist())
-            return "".join(x for i, x in enumerate(lines_of(t)) if i not in gone)
-
-        return pd.Series([kept(t, c) for t, c in zip(text, cut, strict=True)])
+    @F.arrow_udf("string")
+    def without(text: pa.Array, cut: pa.Array) -> pa.Array:
+        release()
+        out = []
+        for part, texts in array_slices(text):
+            gone = map(set, cut.slice(part.start, len(part)).to_pylist())
+            out.append(pa.array(["".join(x for i, x in enumerate(lines_of(t)) if i not in g) for t, g in zip(texts, gone, strict=True)], pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     doc, version = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
     rows = docs.filter(doc.isNotNull() & F.col(text_col).isNotNull()).select(doc.alias("doc"), version.alias("version"), F.col(text_col).alias("text"))
-    cuts = stored(cut_lines(repeated_runs(stored(fingerprints(rows, min_words))))).toDF(*_CUT_COLUMNS)
+    names = fresh_names(docs, "doc", "version", "cut")
+    cuts = stored(cut_lines(repeated_runs(stored(fingerprints(rows, min_words))))).toDF(*names)
     kept = [docs[c] for c in docs.columns]
-    joined = docs.join(cuts, (doc == F.col("__doc")) & (version == F.col("__version")), "left")
-    return joined.select(*(without(c, "__cut").alias(text_col) if n == text_col else c for n, c in zip(docs.columns, kept, strict=True)), F.coalesce(F.size("__cut"), F.lit(0)).alias(count_col))
+    joined = docs.join(cuts, (doc == F.col(names[0])) & (version == F.col(names[1])), "left")
+    # only cut texts go to Python
+    new = F.when(F.col(names[2]).isNull(), docs[text_col]).otherwise(without(F.when(F.col(names[2]).isNotNull(), docs[text_col]), F.coalesce(names[2], F.array().cast("array<int>"))))
+    return joined.select(*(new.alias(text_col) if n == text_col else c for n, c in zip(docs.columns, kept, strict=True)), F.coalesce(F.size(names[2]), F.lit(0)).alias(count_col))
 
 
 def digests(deduped: DataFrame) -> DataFrame:
