@@ -6,13 +6,13 @@ differs from its left neighbour, three times over, which leaves labels from a ha
 values, unlike those of their neighbours; phrases start at the local minima. A phrase's
 name hashes its symbols, and the names are the next level's symbols. Where phrases start
 depends on a few symbols around only, so equal substrings get equal names inside, at any
-offset. A fingerprint is the 64 least hashes of a text's phrase names from level 3 up (all
-levels for texts under 256 bytes), in hexadecimal; likeness estimates the share of common
-names from two fingerprints.
+offset. A fingerprint is the 64 least hashes of a text's phrase names from level 2 up, whatever
+its length, in hexadecimal; likeness estimates the share of common names from two fingerprints.
 
 The neighbour comparison needs the next document in descending id order: rows are dealt
 into id ranges of similar row counts, compressed, and streamed in order; the row that
-bounds a range is also sent to the range that needs it.
+bounds a range is also sent to the range that needs it. An id that many rows share is cut
+into ranges of text hashes.
 
 Defined results: null is the empty text, whose fingerprint is empty and whose likeness is 1
 to an empty text and 0 to others; equal texts have equal fingerprints; rows of one id are
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import text_slices
 
 LEAST = 64
-FIRST_LEVEL, SHORT_BYTES = 3, 256
+FIRST_LEVEL = 2
 ROWS_PER_RANGE, MAX_RANGES = 250, 20_000
 _NULL_KEY = -(1 << 63)
 _ONE = np.uint64(1)
@@ -89,14 +89,14 @@ def phrase_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     x = _BYTES[np.frombuffer(b"".join(texts), np.uint8)]
     owner = np.repeat(np.arange(len(texts)), sizes)
-    short = sizes < SHORT_BYTES
     kept = []
     level = 0
     while len(x):
         x, owner = parse_level(x, owner)
         level += 1
-        use = short[owner] if level < FIRST_LEVEL else np.ones(len(x), bool)
-        kept.append((owner[use].astype(np.uint64) << np.uint64(32)) | (_mix(x[use] + np.uint64(level)) >> np.uint64(32)))
+        if level < FIRST_LEVEL:
+            continue
+        kept.append((owner.astype(np.uint64) << np.uint64(32)) | (_mix(x + np.uint64(level)) >> np.uint64(32)))
         # a text of one phrase is done
         alone = np.bincount(owner, minlength=len(texts)) <= 1
         more = ~alone[owner]
@@ -136,14 +136,69 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+class Ranges:
+    """Ranges of rows in ascending order of (key, ~tie), each given by its last place.
+
+    `tops`: keys at equal shares of the rows; one that stands there often is cut by ties,
+    which are hashes, into as many ranges."""
+
+    def __init__(self, tops: list[int]):
+        self.keys, n = np.unique(np.array(tops, np.int64), return_counts=True)
+        width = lambda m: [int(x) for x in np.linspace(-(2.0**63), 2.0**63, m + 1)[1:-1]]
+        self.cuts = {int(k): np.array(width(m), np.int64) for k, m in zip(self.keys.tolist(), n.tolist(), strict=True) if m > 1}
+        self.last: dict[int, np.ndarray] = {}
+
+    def part(self, keys: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        """The part of its key that each row is in."""
+        out = np.zeros(len(keys), np.int64)
+        for k, cuts in self.cuts.items():
+            at = np.flatnonzero(keys == k)
+            out[at] = np.searchsorted(cuts, ~ties[at], "left")
+        return out
+
+    def found(self, rows: list[tuple[int, int, int]]) -> None:
+        """Take in (key, part, least tie) of the parts that have rows; others go."""
+        for k in self.cuts:
+            parts = sorted((p, ~tie) for key, p, tie in rows if key == k)
+            self.cuts[k] = np.array([self.cuts[k][p] for p, _ in parts[:-1]], np.int64)
+            self.last[k] = np.array([q for _, q in parts], np.int64)
+
+    def place(self, keys: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each row's range, and whether it may be the last of it."""
+        at = np.searchsorted(self.keys, keys)
+        last = self.keys[at] == keys
+        part = self.part(keys, ties)
+        for k, q in self.last.items():
+            own = np.flatnonzero(keys == k)
+            last[own] = q[part[own]] == ~ties[own]
+        width = np.array([1 + len(self.cuts.get(k, ())) for k in self.keys.tolist()], np.int64)
+        return (np.cumsum(width) - width)[at] + part, last
+
+    @property
+    def n(self) -> int:
+        return len(self.keys) + sum(map(len, self.cuts.values()))
+
+
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     n_rows = docs.count()
     n_ranges = max(1, min(n_rows // ROWS_PER_RANGE, MAX_RANGES))
     shares = [(i + 1) / n_ranges for i in range(n_ranges)]
     tops = docs.agg(F.percentile_approx(key, shares, max(10_000, 10 * n_ranges)).alias("tops"), F.max(key).alias("top")).first()
-    bounds = np.unique(np.array([*(tops.tops or []), *([tops.top] if n_rows else [])], np.int64))
+    # the greatest key is the last at share 1 already, unless the estimate is off
+    ranges = Ranges([*(tops.tops or []), *([tops.top] if n_rows and tops.top not in tops.tops[-1:] else [])])
+    if ranges.cuts:
+
+        @F.arrow_udf("long")
+        def part(keys: pa.Array, ties: pa.Array) -> pa.Array:
+            return pa.array(ranges.part(keys.to_numpy(), ties.to_numpy()))
+
+        hot = rows.filter(F.col("key").isin([*ranges.cuts])).select("key", "tie")
+        parts = hot.groupBy("key", part("key", "tie").alias("part")).agg(F.min("tie").alias("tie")).collect()  # at most n_ranges rows
+        ranges.found([(r.key, r.part, r.tie) for r in parts])
 
     def deal(batches):
         import zstandard
@@ -152,13 +207,13 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part, texts in text_slices(batch):
                 keys = part.column("key").to_numpy()
-                own = np.searchsorted(bounds, keys)
-                guest = np.flatnonzero(bounds[own] == keys)
+                own, last = ranges.place(keys, part.column("tie").to_numpy())
+                guest = np.flatnonzero(last)
                 take = np.concatenate([np.arange(len(keys)), guest])
                 packed = [squeeze(t.encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([own, (own[guest] + 1) % len(bounds)]).astype(np.int32)),
+                        pa.array(np.concatenate([own, (own[guest] + 1) % ranges.n]).astype(np.int32)),
                         pa.array(np.repeat(np.array([0, 1], np.int8), [len(keys), len(guest)])),
                         *(part.column(c).take(pa.array(take)) for c in ("key", "tie", "doc_id")),
                         pa.array([packed[i] for i in take.tolist()], pa.binary()),
@@ -200,8 +255,6 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                     ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     dealt = rows.mapInArrow(deal, "range int, guest byte, key long, tie long, doc_id long, packed binary")
     ordered = dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc("key"), "tie")
     return ordered.mapInArrow(
