@@ -1,18 +1,21 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Candidate spans come from the base patterns (email, ip, card, phone) and from looser ones.
-Four labelers vote on each candidate (yes, no, abstain): the base patterns with their
-checks, gazetteers, the words before the span, and its shape. Expectation-maximisation over
-the counts of vote patterns estimates each labeler's reliability per class; a logistic span
-classifier is then trained on the patterns' posteriors and decides which loose candidates
-become spans. Base spans always stay.
+Candidate spans come from the base patterns (email, ip, card, phone) and from looser ones:
+addresses beyond ASCII or spelled out, IPv6, national phone numbers, and secrets, which are a
+kind of their own. Four labelers vote on each candidate (yes, no, abstain): the base patterns
+with their checks, gazetteers, the words before the span, and its shape.
+Expectation-maximisation over the counts of vote patterns estimates each labeler's
+reliability per class; a logistic span classifier is then trained on the patterns'
+posteriors and decides which loose candidates become spans. Base spans always stay.
 
 Positions are code points: matches and the gaps between them come from one pattern, and a
-window sums their lengths. All work is per distinct text (md5), so a group of copies is one
-text; the counts that EM and the classifier see are a bounded table of vote patterns.
+window sums their lengths. The patterns run over every row; spans are then worked out once
+for each distinct text (md5) that has candidates, so a group of copies counts once, and come
+back to the rows by a salted join. The counts that EM and the classifier see are a bounded
+table of vote patterns.
 
 Defined results: a null or empty text has no spans; repeated rows get equal spans; an empty
-table gives no rows; other columns of the input are not read.
+table gives no rows; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import fresh_names, stored
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of all spans, in their order at one place.
+ALL_KINDS = (*KINDS, "secret")
 #: Patterns (fixed values). They match what the plain patterns match, but start only where
 #: those can, so no text is scanned twice over.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -32,8 +37,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WIDE_EMAIL = r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
-WIDE_PHONE = r"(?<![0-9+(.-])(?<![0-9][\x20])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![\x20().-]?[0-9])"
-SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])"
+SPELLED_EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?[\[({]at[\])}]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[({]dot[\])}])\x20?[a-z0-9-]++)++"
+IPV6 = r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:.])"
+WIDE_PHONE = r"(?<![0-9+(.-])(?<![0-9][\x20])(?:\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|\(?0[0-9]{2,4}\)?[\x20/-][0-9]{3,4}[\x20-]?[0-9]{3,5}|0[0-9](?:[\x20.][0-9]{2}){4})(?![\x20().-]?[0-9])"
+SECRET = r"(?i)(?<![0-9a-z])(?:[0-9a-f]{32,128}+|(?:sk|pk|ghp|gho|xox[bap]|akia)[_-]?[0-9a-z]{16,64}+)(?![0-9a-z])"
 #: name -> (kind that its spans get, pattern, what a text must have for a match; None: see NEEDED).
 FINDERS = {
     "email": ("email", EMAIL, "@"),
@@ -41,11 +48,19 @@ FINDERS = {
     "card": ("card", CARD, None),
     "phone": ("phone", PHONE, "+"),
     "wide_email": ("email", WIDE_EMAIL, "@"),
+    "spelled_email": ("email", SPELLED_EMAIL, None),
+    "ipv6": ("ip", IPV6, None),
     "wide_phone": ("phone", WIDE_PHONE, None),
     "secret": ("secret", SECRET, None),
 }
 #: Short patterns that every match of the finder meets.
-NEEDED = {"card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "wide_phone": "[0-9]{3}", "secret": "[0-9a-f]{32}"}
+NEEDED = {
+    "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]",
+    "spelled_email": r"(?i)[\[({]at[\])}]",
+    "ipv6": ":[0-9A-Fa-f]{1,4}:",
+    "wide_phone": r"[0-9]{2}[\x20.)/-][0-9(]|[0-9]\)",
+    "secret": "(?i)[0-9a-f]{32}|(?:sk|pk|ghp|gho|xox[bap]|akia)[_-]?[0-9a-z]{16}",
+}
 #: Gazetteers (fixed values): top-level domains, first digits of card issuers, calling codes.
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "us", "ca", "ch", "at", "nl")
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"
@@ -53,9 +68,13 @@ CALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58
 #: Words before a span that speak for or against a person's data (fixed values).
 FOR = r"(?i)(?:mail|phone|tel|mobile|call|contact|card|visa|address|ip|user|name|fax|from|host)\W*$"
 AGAINST = r"(?i)(?:token|key|hash|sha|md5|version|isbn|order|part|serial|id|commit)\W*$"
+FOR_SECRET = r"(?i)(?:token|key|secret|password|passwd|pwd|auth|bearer|credentials?)\W*$"
+AGAINST_SECRET = r"(?i)(?:hash|sha[0-9]*|md5|digest|checksum|commit|rev|etag|uuid|crc)\W*$"
 LABELERS = ("base", "gazetteer", "context", "shape")
 #: Cuts that a broadcast may hold (16 MB); more are joined by a shuffle.
 BROADCAST_CUTS = 500_000
+#: Parts that a hot text's rows are dealt into.
+SALTS = 16
 EM_ROUNDS, FIT_ROUNDS = 30, 200
 
 
@@ -125,15 +144,18 @@ def votes(spans: DataFrame) -> DataFrame:
         F.when(kind == "email", vote(domain, F.lit(False)))
         .when(kind == "card", vote(digits.rlike(ISSUERS), F.lit(True)))
         .when(finder == "phone", vote(value.rlike(CALLING_CODES), F.lit(True)))
-        .when(kind == "ip", vote(F.lit(False), value.rlike(r"^(?:0|127|255)\.")))
+        .when(kind == "ip", vote(finder == "ipv6", value.rlike(r"^(?:0|127|255)\.")))
+        .when(finder == "wide_phone", vote(digits.rlike("^0[1-9]"), digits.rlike("^(?:00|1)")))
+        .when(kind == "secret", vote(F.length(value).isin(32, 40, 64, 128) | value.rlike("(?i)^(?:sk|pk|ghp|gho|xox|akia)"), F.lit(True)))  # of known keys
         .otherwise(-1)
     )
-    context = vote(F.col("before").rlike(FOR), F.col("before").rlike(AGAINST))
+    before = F.col("before")
+    context = F.when(kind == "secret", vote(before.rlike(FOR_SECRET), before.rlike(AGAINST_SECRET))).otherwise(vote(before.rlike(FOR), before.rlike(AGAINST)))
     shape = (
         F.when(kind == "email", vote(F.length(value).between(6, 80), F.lit(True)))
         .when(kind == "card", vote(F.length(digits).isin(15, 16), F.length(digits).isin(12, 17, 18)))
-        .when(kind == "phone", vote(value.rlike(r"\([0-9]{3}\)|[0-9]{3}[\x20.-][0-9]{4}$"), F.length(digits) < 10))
-        .when(kind == "secret", F.lit(0))
+        .when(kind == "phone", vote(value.rlike(r"\([0-9]{3,5}\)|[0-9]{3}[\x20.-][0-9]{4}$|^0[0-9]"), F.length(digits) < 10))
+        .when(kind == "secret", vote(value.rlike("[0-9].*[0-9].*[0-9].*[0-9]") & value.rlike("(?i)[a-z].*[a-z].*[a-z]"), F.lit(True)))
         .otherwise(-1)
     )
     return spans.withColumns(dict(zip(LABELERS, (base, gazetteer, context, shape), strict=True)))
@@ -200,18 +222,26 @@ def find_spans(found: DataFrame) -> DataFrame:
     spans = stored(votes(candidates(texts)))
     counts = spans.groupBy("finder", "kind", *LABELERS).count().collect()  # at most finders x 3 ** labelers rows
     weights = train_classifier(sorted(((r.finder, r.kind), tuple(r[k] for k in LABELERS), r["count"]) for r in counts))
-    scored = spans.withColumn("score", score(weights))
-    taken = scored.filter("valid or (score >= 0.5 and kind <> 'secret')")
+    loose = ~F.col("finder").isin(*KINDS)  # what fails its check is evidence for the labelers, but never a span
+    taken = spans.withColumn("score", score(weights)).filter(F.col("valid") | (loose & (F.col("score") >= 0.5)))
     return taken.groupBy("tk", "kind", "start", "end").agg(F.max("valid").alias("base"), F.max("score").alias("score"))
 
 
+def _salted(rows: DataFrame, lists: DataFrame, key: str, salt: str) -> DataFrame:
+    """rows left-joined with lists (one row a key), where any key may hold most rows: each list
+    is there SALTS times, and a row meets one of them."""
+    times = lists.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(times, [key, salt], "left")
+
+
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, and spans: array of (start, kind_no, end, kind, base, score), ordered."""
     found = stored(keyed(docs, id_col, text_col))
-    kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
+    kind_no = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind")).cast("int")
     lists = find_spans(found).groupBy("tk").agg(F.sort_array(F.collect_list(F.struct("start", kind_no.alias("kind_no"), "end", "kind", "base", "score"))).alias("spans"))
     empty = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string,base:boolean,score:double>>")
-    return found.select("doc_id", "tk").join(lists, "tk", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    some = _salted(found.filter(F.size("found") > 0).select("doc_id", "tk"), lists, "tk", "salt").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return some.unionByName(found.filter(F.size("found") == 0).select("doc_id", empty.alias("spans")))
 
 
 def digests(detected: DataFrame) -> DataFrame:
@@ -226,6 +256,8 @@ def digests(detected: DataFrame) -> DataFrame:
         *(of_kind(k) for k in KINDS),
         F.sha2(named(base).cast("binary"), 256).alias("base_sha256"),
         named(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
@@ -237,19 +269,17 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     fresh = F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True))
     runs = find_spans(found).withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(upto))
     runs = runs.groupBy("tk", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"))).alias("kind"))
-    cuts = runs.groupBy(F.col("tk").alias("__tk")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("__cuts"))
+    tk, salt, cut = fresh_names(docs, "tk", "salt", "cuts")
+    cuts = runs.groupBy(F.col("tk").alias(tk)).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias(cut))
     cuts = stored(cuts)
-    if (cuts.agg(F.sum(F.size("__cuts"))).first()[0] or 0) <= BROADCAST_CUTS:
-        cuts = F.broadcast(cuts)
     text = F.col(text_col)
+    after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(cut, i - 1)["end"])
     pieces = F.transform(
-        F.col("__cuts"),
-        lambda c, i: F.concat(
-            text.substr((F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["end"]) + 1).cast("int"), (c["start"] - F.when(i == 0, F.lit(0)).otherwise(F.get("__cuts", i - 1)["end"])).cast("int")),
-            F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]")),
-        ),
+        F.col(cut),
+        lambda c, i: F.concat(text.substr((after(i) + 1).cast("int"), (c["start"] - after(i)).cast("int")), F.concat(F.lit("["), F.upper(c["kind"]), F.lit("]"))),
     )
-    rest = text.substr((F.element_at("__cuts", -1)["end"] + 1).cast("int"), F.length(text))
-    keys = docs.withColumn("__tk", F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
-    new = F.when(F.col("__cuts").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return keys.join(cuts, "__tk", "left").withColumn(text_col, new).select(*docs.columns)
+    rest = text.substr((F.element_at(cut, -1)["end"] + 1).cast("int"), F.length(text))
+    keys = docs.withColumn(tk, F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+    few = (cuts.agg(F.sum(F.size(cut))).first()[0] or 0) <= BROADCAST_CUTS
+    joined = keys.join(F.broadcast(cuts), tk, "left") if few else _salted(keys, cuts, tk, salt)
+    return joined.withColumn(text_col, F.when(F.col(cut).isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))).select(*docs.columns)
