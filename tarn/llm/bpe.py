@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunk_ids import ChunkIds
-from .common import binary_array, text_slices
+from .common import binary_array, held, text_slices
 
 #: White space as in Unicode's White_Space property (fixed values).
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The public pattern of this tokenizer family (fixed value).
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^SPACES\p{L}\p{N}]+|[SPACES]+(?![^SPACES])|[SPACES]+"
 NEVER = 1 << 40
-_CODECS: dict[str, "SpeculativeBPE"] = {}
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -236,9 +235,7 @@ class SpeculativeBPE(ChunkIds):
 
 
 def codec(path: str) -> SpeculativeBPE:
-    if path not in _CODECS:
-        _CODECS[path] = SpeculativeBPE(path)
-    return _CODECS[path]
+    return held(("byte ids", path), lambda: SpeculativeBPE(path))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_array, stored, text_slices
+from .common import binary_array, release, stored, temporary, text_slices
 
 WORDS = 5
 HASHES, ROWS, STEP = 128, 4, 32
@@ -110,6 +110,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         import xxhash
 
+        release()
         for batch in batches:
             for part, texts in text_slices(batch):
                 sets = [shingles(t) for t in texts]
@@ -327,20 +328,21 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5, i
     usable = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(usable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")))
 
-    buckets = buckets_of(classes)
-    # the member whose id is nearest to the key, bit by bit: a random centre, found by a plain minimum
-    centres = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("c")).filter("n > 1")
-    shared = stored(buckets.join(centres.select("key", F.col("c").bitwiseXOR(F.col("key")).alias("centre")), "key"))
-    spokes = shared.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    likely = stored(prune(spokes, classes, least))
-    # the best centre of each text first; the next step sees to the rest
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node"), F.struct(F.col("matches"), "a", "b").alias("p"))
-    first = ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-    links = stored(confirm(first, docs, percent, id_col, text_col))
-    labels = stored(components(links))
-    new = between_components(shared.select("key", "node"), labels, classes, least, docs, percent, id_col, text_col)
-    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
-    labels = stored(components(links))
+    with temporary(docs.sparkSession):
+        buckets = buckets_of(classes)
+        # the member whose id is nearest to the key, bit by bit: a random centre, found by a plain minimum
+        centres = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("c")).filter("n > 1")
+        shared = stored(buckets.join(centres.select("key", F.col("c").bitwiseXOR(F.col("key")).alias("centre")), "key"))
+        spokes = shared.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        likely = stored(prune(spokes, classes, least))
+        # the best centre of each text first; the next step sees to the rest
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node"), F.struct(F.col("matches"), "a", "b").alias("p"))
+        first = ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+        links = stored(confirm(first, docs, percent, id_col, text_col))
+        labels = stored(components(links))
+        new = between_components(shared.select("key", "node"), labels, classes, least, docs, percent, id_col, text_col)
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
+        labels = stored(components(links), keep=True)
 
     found = classes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("label", "node").alias("class_label"))
     placed = sets.select("doc_id", "n_shingles", "set_key").join(found, "set_key", "left")

@@ -22,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_slices
+from .common import held, release, text_slices
 
 MARK = "▁"
 MAX_CHARS = 48
 _PRE_TOKENS = re.compile(f"[ {MARK}]+[^ {MARK}]*").findall
-_COUNTERS: dict = {}
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -70,6 +69,7 @@ def frequent(docs: DataFrame, size: int, *, per_task: int = 8192, text_col: str
     """The most frequent pre-tokens of all documents: word, n. Rare ones may be missed."""
 
     def run(batches):
+        release()
         seen: Counter = Counter()
         for batch in batches:
             for _, texts in text_slices(batch):
@@ -96,11 +96,8 @@ def count_tokens(
     token = uuid.uuid4().hex  # a worker keeps the counter of one call
 
     def run(batches):
-        if token not in _COUNTERS:
-            blob, sizes = compact.value
-            _COUNTERS.clear()
-            _COUNTERS[token] = PieceCounts(model_path, blob.split("\0") if sizes else [], np.frombuffer(sizes, np.uint8))
-        counter = _COUNTERS[token]
+        blob, sizes = compact.value
+        counter = held(("piece counts", token), lambda: PieceCounts(model_path, blob.split("\0") if sizes else [], np.frombuffer(sizes, np.uint8)))
         for batch in batches:
             for part, texts in text_slices(batch):
                 yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tarn.llm import phrase_prints, sharding, telephony
@@ -84,6 +85,74 @@ def test_prints_follow_substrings():
         assert alone.tolist() == among.tolist()
 
 
+@pytest.mark.parametrize("n", [3, 40, 250, 256, 257, 1000, 20_000])
+def test_likeness_follows_the_length(n):
+    """One changed character costs little in a long text, more in a short one, with no step in between."""
+    rng = np.random.default_rng(n)
+    base = "".join(map(chr, rng.integers(97, 123, n)))
+    a, b = phrase_prints.fingerprints([base, base[: n // 2] + "#" + base[n // 2 + 1 :]])
+    assert phrase_prints.likeness(a, b) >= (0.9 if n >= 1000 else 0.6 if n >= 250 else 0)
+    c = phrase_prints.fingerprints([base + "x"])[0]
+    assert phrase_prints.likeness(a, c) >= (0.9 if n >= 1000 else 0.6 if n >= 250 else 0)
+
+
+def scalar_level(x):
+    """One level of parsing a single text, symbol by symbol."""
+    runs = []
+    for s in x:
+        if runs and runs[-1][0] == s:
+            runs[-1][1] += 1
+        else:
+            runs.append([s, 1])
+    mask = (1 << 64) - 1
+
+    def mix(v):
+        v = ((v ^ (v >> 29)) * 0xBF58476D1CE4E5B9) & mask
+        return v ^ (v >> 32)
+
+    x = [s if n == 1 else mix((s + n * 0x9E3779B97F4A7C15) & mask) for s, n in runs]
+    label = x
+    for _ in range(3):
+        new = []
+        for i, s in enumerate(label):
+            left = label[i - 1] if i else ~s & mask
+            k = next(b for b in range(64) if (s ^ left) >> b & 1)
+            new.append(2 * k + (s >> k & 1))
+        label = new
+    starts = [i for i in range(len(x)) if i == 0 or i + 1 < len(x) and label[i] < label[i - 1] and label[i] < label[i + 1]]
+    out = []
+    for a, b in zip(starts, [*starts[1:], len(x)], strict=True):
+        total = sum(s * pow(0x94D049BB133111EB, min(i, 63), 1 << 64) for i, s in enumerate(x[a:b])) + b - a
+        out.append(mix(total & mask))
+    return out
+
+
+def test_prints_brute_force():
+    """Fingerprints of texts among others against a plain parse of each."""
+    rng = np.random.default_rng(12)
+    texts = ["", "a", "aaaa" * 30, "ab", "naïve — 漢字 🙂", *("".join(map(chr, rng.integers(97, 101, int(rng.integers(1, 600))))) for _ in range(30))]
+    for t, got in zip(texts, phrase_prints.fingerprints(texts), strict=True):
+        x, level, names = [int(phrase_prints._BYTES[b]) for b in t.encode()], 0, set()
+        while x:
+            x, level = scalar_level(x), level + 1
+            if level >= phrase_prints.FIRST_LEVEL:
+                names |= {int(phrase_prints._mix(np.array([(v + level) & ((1 << 64) - 1)], np.uint64))[0]) >> 32 for v in x}
+                if len(x) == 1:
+                    break
+        assert got.tolist() == sorted(names)[: phrase_prints.LEAST], t
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_hot_ids(spark, monkeypatch, hot):
+    """An id that most rows share is cut into ranges; the order of its rows is that of the text hashes."""
+    monkeypatch.setattr(phrase_prints, "ROWS_PER_RANGE", 10)
+    docs = spark.createDataFrame([(hot if i % 3 else i, f"text {i} of this") for i in range(300)], "doc_id long, text string").repartition(5)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    rows.sort(key=lambda r: (-(r.doc_id if r.doc_id is not None else -(1 << 63)), r.h))
+    want = Counter((r.doc_id, phrase_prints.edited(r.text, rows[(i + 1) % len(rows)].text)) for i, r in enumerate(rows))
+    assert Counter((r.doc_id, r.edited_text) for r in phrase_prints.fingerprint_documents(docs).collect()) == want
+
+
 def test_fingerprint_documents(odd, small, empty, monkeypatch):
     monkeypatch.setattr(phrase_prints, "ROWS_PER_RANGE", 5)
     for docs in (odd.select("doc_id", "text"), small.select("doc_id", "text"), odd.select("doc_id", "text").filter("doc_id = 5")):

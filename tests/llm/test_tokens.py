@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tarn.llm import bpe, packing, token_counts
+from tarn.llm.common import held
 
 WORD, BYTE, PIECE = map(public_tokenizers.path, ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXT = st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aeiou  \n.,'<|>endoftx")), max_size=60)
@@ -65,12 +66,15 @@ def test_piece_lengths(n):
     assert Counter(x for x in own if x < 2048) == Counter(1 << b for b in range(11) if n % 2048 >> b & 1)
 
 
+CODECS = [(packing.WordIds(WORD), plain(WORD)), (bpe.SpeculativeBPE(BYTE), plain(BYTE))]
+
+
 @given(st.lists(TEXT, min_size=1, max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_ids_as_the_library(texts):
-    for path, encoder in ((WORD, packing._word_ids(WORD)), (BYTE, bpe.codec(BYTE))):
+    for encoder, library in CODECS:
         ids, n = encoder.encode(texts)
-        want = [e.ids for e in plain(path).encode_batch(texts, add_special_tokens=False)]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
 
 
@@ -116,5 +120,18 @@ def test_token_counts(docs, empty):
 @given(st.lists(st.one_of(TEXT, st.text(alphabet="ab ▁\n", max_size=30)), min_size=1, max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_counts_as_the_library(texts):
-    counter = token_counts._COUNTERS.setdefault("test", token_counts.PieceCounts(PIECE))
+    counter = held(("test",), lambda: token_counts.PieceCounts(PIECE))
     assert counter.count(texts) == [len(counter.library.encode(t)) for t in texts]
+
+
+def test_cache_keeps_frequent_chunks():
+    """A cache over its limit drops rare chunks, keeps the frequent ones and stays exact."""
+    encoder = packing.WordIds(WORD, limit=20_000)
+    library = plain(WORD)
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join(["The", "of", *("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))]) for _ in range(3)]
+        ids, n = encoder.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+        assert encoder.size <= 20_000 + 200 * 170
+    assert {"the", "of"} <= encoder.slots.keys()
