@@ -18,7 +18,7 @@ ENTRY_BYTES = 160
 
 
 class ChunkIds:
-    def __init__(self, limit: int = 64_000_000):
+    def __init__(self, limit: int = 48_000_000):
         self.limit, self.size = limit, 0
         self.slots: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)

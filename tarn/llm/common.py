@@ -14,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one Python step handles together; bounds worker memory.
-SLICE_BYTES = 2_000_000
+#: Bytes of text that one Python step handles together, and of an Arrow batch between
+#: executor and worker (a longer text is alone): both bound memory.
+SLICE_BYTES, BATCH_BYTES = 1_000_000, 8_000_000
 _HELD: dict[tuple, object] = {}
 #: Driver: paths of the tables made in each open temporary() block.
 _BLOCKS: list[list[str]] = []
@@ -37,6 +38,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Keep the session's Arrow batches within BATCH_BYTES from now on; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(df.sparkSession.conf.get(key).removesuffix("b"))
+    if not 0 < now <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it back. Inside a
     temporary() block it goes at the end of the block (`keep`: of the block around that one)."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import array_slices, fresh_names, release, stored, text_slices
+from .common import array_slices, bounded_batches, fresh_names, release, stored, text_slices
 
 #: Capital letters of the Latin, Greek and Cyrillic alphabets (fixed values).
 _CAPITALS = "A-ZÀ-ÖØ-ÞŒŸΑ-ΩА-Я"
@@ -115,6 +115,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id",
             out.append(pa.array(["".join(x for i, x in enumerate(lines_of(t)) if i not in g) for t, g in zip(texts, gone, strict=True)], pa.string()))
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
+    bounded_batches(docs)
     doc, version = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
     rows = docs.filter(doc.isNotNull() & F.col(text_col).isNotNull()).select(doc.alias("doc"), version.alias("version"), F.col(text_col).alias("text"))
     names = fresh_names(docs, "doc", "version", "cut")

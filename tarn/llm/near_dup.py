@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_array, release, stored, temporary, text_slices
+from .common import binary_array, bounded_batches, release, stored, temporary, text_slices
 
 WORDS = 5
 HASHES, ROWS, STEP = 128, 4, 32
@@ -323,6 +323,7 @@ def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame,
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    bounded_batches(docs)
     least = least_matches(percent / 100, miss)
     sets = stored(sets_of(docs, id_col, text_col))
     usable = sets.filter("n_shingles > 0 and doc_id is not null")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Merges
 from .chunk_ids import ChunkIds
-from .common import binary_array, held, text_slices
+from .common import binary_array, bounded_batches, held, text_slices
 
 #: str.split() also cuts at these control characters, the tokenizer does not.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -113,6 +113,7 @@ def pack(
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids (binary, little-endian uint32),
     doc_tokens, bucket (log2 of length), sequence_id, offset. Needs no shuffle."""
+    bounded_batches(docs)
     if max_len < 1 or max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 LEAST = 64
 FIRST_LEVEL = 2
@@ -181,6 +181,7 @@ class Ranges:
 
 def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next."""
+    bounded_batches(docs)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(key.alias("key"), F.xxhash64(text).alias("tie"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held, release, text_slices
+from .common import bounded_batches, held, release, text_slices
 
 MARK = "▁"
 MAX_CHARS = 48
@@ -88,6 +88,7 @@ def count_tokens(
     docs: DataFrame, model_path: str, *, table_size: int = 32_768, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens of every text."""
+    bounded_batches(docs)
     spark = docs.sparkSession
     words = [r.word for r in frequent(docs, table_size, text_col=text_col).collect()]
     lens = np.array(PieceCounts(model_path).lengths(words), np.uint8)  # 48 characters are 192 bytes, a token has one at least

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import array_slices, release, text_slices
+from .common import array_slices, bounded_batches, release, text_slices
 
 MAX_EXAMPLES = 4096
 NEIGHBOURS, EVIDENCE = 8, 5
@@ -256,6 +256,7 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Learn from the labelled rows that are not held out; `labels` has doc_id and toxic."""
+    bounded_batches(docs)
     spark, rows = docs.sparkSession, _numbered(docs, id_col, text_col)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     sample = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -318,6 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
 
 def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, evidence (array of example id, its label, cosine). Needs no shuffle."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
@@ -336,6 +338,7 @@ def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
 def not_toxic(docs: DataFrame, scorer: Scorer, *, text_col: str = "text") -> DataFrame:
     """The rows of docs whose score is under THRESHOLD, with all their columns; rows of null
     and empty texts stay."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.arrow_udf("double")
