@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunk_ids import ChunkIds
-from .common import binary_array, bounded_batches, held, text_slices
+from .common import binary_array, bounded_batches, held, text_slices, tidy
 
 #: White space as in Unicode's White_Space property (fixed values).
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -253,6 +253,8 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
                     [part.column("doc_id"), binary_array(ids.astype("<u4").tobytes(), ends * 4), pa.array(decoded, pa.string())],
                     ["doc_id", "ids", "decoded"],
                 )
+        bpe.forget()
+        tidy()
 
     bounded_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

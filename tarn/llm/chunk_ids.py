@@ -19,8 +19,12 @@ ENTRY_BYTES = 160
 
 class ChunkIds:
     def __init__(self, limit: int = 48_000_000):
-        self.limit, self.size = limit, 0
-        self.slots: dict[str, int] = {}
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.size, self.slots = 0, {}
         self.flat = np.zeros(0, np.uint32)
         self.lens, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -98,8 +99,18 @@ def release() -> None:
     """Drop what this worker still holds for earlier operators."""
     if _HELD:
         _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        tidy()
+
+
+def tidy() -> None:
+    """At the end of a task: give unused memory back to the system. Idle workers are kept,
+    and tasks take turns with all of them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library: it keeps what it keeps
+        pass
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text"):

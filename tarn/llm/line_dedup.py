@@ -18,13 +18,14 @@ added (or the name given).
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import array_slices, bounded_batches, fresh_names, release, stored, text_slices
+from .common import array_slices, bounded_batches, fresh_names, release, stored, text_slices, tidy
 
 #: Capital letters of the Latin, Greek and Cyrillic alphabets (fixed values).
 _CAPITALS = "A-ZÀ-ÖØ-ÞŒŸΑ-ΩА-Я"
@@ -86,6 +87,7 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
                         [part.column("doc").take(row), part.column("version").take(row), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(fp, mask=again)],
                         ["doc", "version", "line", "n", "fp"],
                     )
+        tidy()
 
     return docs.mapInArrow(run, "doc long, version long, line int, n int, fp long")
 
@@ -107,13 +109,15 @@ def cut_lines(repeated: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_lines_cut") -> DataFrame:
     @F.arrow_udf("string")
-    def without(text: pa.Array, cut: pa.Array) -> pa.Array:
+    def without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         release()
-        out = []
-        for part, texts in array_slices(text):
-            gone = map(set, cut.slice(part.start, len(part)).to_pylist())
-            out.append(pa.array(["".join(x for i, x in enumerate(lines_of(t)) if i not in g) for t, g in zip(texts, gone, strict=True)], pa.string()))
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+        for text, cut in batches:
+            out = [pa.array([], pa.string())]
+            for part, texts in array_slices(text):
+                gone = map(set, cut.slice(part.start, len(part)).to_pylist())
+                out.append(pa.array(["".join(x for i, x in enumerate(lines_of(t)) if i not in g) for t, g in zip(texts, gone, strict=True)], pa.string()))
+            yield pa.concat_arrays(out)
+        tidy()
 
     bounded_batches(docs)
     doc, version = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))

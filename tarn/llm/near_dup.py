@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import binary_array, bounded_batches, release, stored, temporary, text_slices
+from .common import binary_array, bounded_batches, release, stored, temporary, text_slices, tidy
 
 WORDS = 5
 HASHES, ROWS, STEP = 128, 4, 32
@@ -123,6 +123,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ],
                     ["doc_id", "n_shingles", "set_key", "sig"],
                 )
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
@@ -177,6 +178,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) ->
                 found = [shingles(t) for t in texts]
                 ends = np.cumsum([0, *map(len, found)]) * 8
                 yield pa.RecordBatch.from_arrays([part.column("node"), binary_array(b"".join(s.tobytes() for s in found), ends)], ["node", "shingles"])
+        tidy()
 
     needed = stored(nodes.distinct())
     if needed.count() <= BROADCAST_IDS:
@@ -231,6 +233,7 @@ def _by_group(batches, solve):
         pending = pending.slice(cut)
     if pending is not None and pending.num_rows:
         yield from solve(pending)
+    tidy()
 
 
 def _open_pairs(table: pa.Table, least: list[int]):

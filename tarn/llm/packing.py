@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bpe import Merges
 from .chunk_ids import ChunkIds
-from .common import binary_array, bounded_batches, held, text_slices
+from .common import binary_array, bounded_batches, held, text_slices, tidy
 
 #: str.split() also cuts at these control characters, the tokenizer does not.
 _CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -137,6 +137,8 @@ def pack(
                     ],
                     ["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
+        encoder.forget()
+        tidy()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")

@@ -26,13 +26,14 @@ other columns of the input are not read.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import array_slices, bounded_batches, release, text_slices
+from .common import array_slices, bounded_batches, release, text_slices, tidy
 
 MAX_EXAMPLES = 4096
 NEIGHBOURS, EVIDENCE = 8, 5
@@ -302,6 +303,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
                     df.update(known & set(words_of(t)))
                 seen += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array([number[w] for w in df] + [-1], pa.int32()), pa.array([*df.values(), seen], pa.int64())], ["term", "n"])
+        del number, known, df
+        tidy()
 
     sums = rows.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a word at most
     df = np.zeros(len(words) + 1, np.int64)
@@ -331,6 +334,7 @@ def score(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
                 evidence = [[{"example": i, "toxic": y, "cosine": c} for i, y, c in e] for _, e in found]
                 kind = pa.list_(pa.struct([("example", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+        tidy()
 
     return _numbered(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<struct<example:bigint,toxic:int,cosine:double>>")
 
@@ -342,10 +346,12 @@ def not_toxic(docs: DataFrame, scorer: Scorer, *, text_col: str = "text") -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     @F.arrow_udf("double")
-    def value(text: pa.Array) -> pa.Array:
+    def value(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release()
         model = shared.value
-        return pa.array([s for _, texts in array_slices(text) for s, _ in model.scores(texts)], pa.float64())
+        for text in batches:
+            yield pa.array([s for _, texts in array_slices(text) for s, _ in model.scores(texts)], pa.float64())
+        tidy()
 
     return docs.filter(value(F.col(text_col).cast("string")) < THRESHOLD)
 
