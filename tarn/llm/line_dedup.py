@@ -40,12 +40,15 @@ def lines_of(text: str) -> list[str]:
     return [x for x in _LINES(text) if x]
 
 
-def runs_of(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the shortest runs of at least min_words words from every line on and up to every line."""
+def runs_of(words: np.ndarray, sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the shortest runs of at least min_words words from every
+    line on and up to every line, inside each text. `words`: of the lines of all texts; `sizes`: lines of each text."""
     upto = np.concatenate([[0], np.cumsum(words)])
+    last = np.repeat(np.cumsum(sizes), sizes)
+    first = last - np.repeat(sizes, sizes)
     end = np.searchsorted(upto, upto[:-1] + min_words)
     start = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
-    on, to = np.flatnonzero(end < len(upto)), np.flatnonzero(start >= 0)
+    on, to = np.flatnonzero(end <= last), np.flatnonzero(start >= first)
     key = np.unique(np.concatenate([on * len(upto) + end[on], start[to] * len(upto) + to + 1]))
     return key // len(upto), key % len(upto)
 
@@ -67,26 +70,34 @@ def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
         factor, inverse = powers(_FACTOR, 1024), powers(_INVERSE, 1024)
         for batch in batches:
             for part, texts in text_slices(batch):
-                out = []
-                for row, text in enumerate(texts):
-                    lines = [x.strip() for x in lines_of(text)]
-                    start, end = runs_of(np.fromiter((x.count(" ") + 1 for x in lines), np.int64, len(lines)), min_words)
-                    if not len(start):
-                        continue
-                    if len(lines) > len(factor):
-                        factor, inverse = powers(_FACTOR, 2 * len(lines)), powers(_INVERSE, 2 * len(lines))
-                    h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in lines), np.uint64, len(lines))
-                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * factor[: len(h)])])
-                    fp = (sums[end] - sums[start]) * inverse[start]
-                    _, first, same = np.unique(fp, return_index=True, return_inverse=True)
-                    out.append((np.full(len(fp), row), start, end - start, fp.view(np.int64), start >= end[first][same]))
-                if out:
-                    row, start, n, fp, again = (np.concatenate(c) for c in zip(*out, strict=True))
-                    row = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc").take(row), part.column("version").take(row), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(fp, mask=again)],
-                        ["doc", "version", "line", "n", "fp"],
-                    )
+                lines = [lines_of(t) for t in texts]
+                sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+                flat = [x.strip() for own in lines for x in own]
+                start, end = runs_of(np.fromiter((x.count(" ") + 1 for x in flat), np.int64, len(flat)), sizes, min_words)
+                if not len(start):
+                    continue
+                if len(flat) >= len(factor):
+                    factor, inverse = powers(_FACTOR, 2 * len(flat)), powers(_INVERSE, 2 * len(flat))
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * factor[: len(h)])])
+                fp = (sums[end] - sums[start]) * inverse[start]
+                row = np.searchsorted(np.cumsum(sizes), start, "right")
+                # of equal runs of one text those that do not overlap its first one stand in an earlier place
+                by = np.lexsort((start, fp, row))
+                fresh = np.concatenate([[True], (fp[by][1:] != fp[by][:-1]) | (row[by][1:] != row[by][:-1])])
+                again = np.empty(len(fp), bool)
+                again[by] = start[by] >= end[by][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+                owner = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc").take(owner),
+                        part.column("version").take(owner),
+                        pa.array(start - (np.cumsum(sizes) - sizes)[row], pa.int32()),
+                        pa.array(end - start, pa.int32()),
+                        pa.array(fp.view(np.int64), mask=again),
+                    ],
+                    ["doc", "version", "line", "n", "fp"],
+                )
         tidy()
 
     return docs.mapInArrow(run, "doc long, version long, line int, n int, fp long")
