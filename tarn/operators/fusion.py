@@ -28,7 +28,8 @@ def margin(ranked: DataFrame) -> DataFrame:
 def lexical(queries: DataFrame, ranked: DataFrame, spans: DataFrame) -> DataFrame:
     """query_id, lexical: share of the query's tokens that occur in any of its ranked spans."""
     wanted = queries.select("query_id", F.explode(T.token_set(F.col("text"))).alias("term"))
-    there = ranked.select("query_id", "span_id").join(spans.select("span_id", T.token_set(F.col("text")).alias("t")), "span_id").select("query_id", F.explode("t").alias("term")).distinct()
+    # joined first: only the spans that were found are tokenised
+    there = ranked.select("query_id", "span_id").join(spans.select("span_id", "text"), "span_id").select("query_id", F.explode(T.token_set(F.col("text"))).alias("term")).distinct()
     found = wanted.join(there.withColumn("hit", F.lit(1)), ["query_id", "term"], "left")
     share = found.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("x"))
     return queries.select("query_id").join(share, "query_id", "left").select("query_id", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("lexical"))

@@ -21,9 +21,9 @@ def z_score(value: str, by: str) -> Column:
 def overlap_scores(queries: DataFrame, fused: DataFrame, spans: DataFrame) -> DataFrame:
     """fused with raw: the set cosine of the query's and the span's tokens."""
     asked = queries.select("query_id", T.token_set(F.col("text")).alias("qt"))
-    there = spans.select("span_id", T.token_set(F.col("text")).alias("st"))
-    joined = fused.join(asked, "query_id").join(there, "span_id")
-    return joined.withColumn("raw", T.set_cosine(F.col("qt"), F.col("st"))).drop("qt", "st")
+    # joined first: only the spans that were found are tokenised
+    joined = fused.join(asked, "query_id").join(spans.select("span_id", F.col("text").alias("span_text")), "span_id")
+    return joined.withColumn("raw", T.set_cosine(F.col("qt"), T.token_set(F.col("span_text")))).drop("qt", "span_text")
 
 
 def calibrated_rerank(scored: DataFrame, config: Rerank = Rerank()) -> DataFrame:

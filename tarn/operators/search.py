@@ -153,8 +153,8 @@ class HashIndex:
 
 
 def build_hash_index(spans: DataFrame, dim: int = 384) -> HashIndex:
-    counted = features(spans)
-    idf = feature_idf(counted, spans)
+    counted = stored(features(spans))  # read for the weights and for the vectors
+    idf = stored(feature_idf(counted, spans))
     n = spans.agg(F.count("*").alias("n"))
     return HashIndex(as_arrays(hash_vectors(counted, idf, n, dim), spans, dim), idf, n, dim)
 

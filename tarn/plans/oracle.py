@@ -118,12 +118,18 @@ props AS MATERIALIZED (SELECT query_id, {strip("coalesce(string_agg(body, ' ' OR
 CLAIMS = f"""{LINES},
 claim_lists AS (SELECT query_id, list_filter({sents('proposal')}, lambda s: {is_claim('s')}) AS cs FROM props),
 claims AS MATERIALIZED (SELECT query_id, unnest(cs) AS claim, generate_subscripts(cs, 1) - 1 AS claim_ix FROM claim_lists)"""
-ALIGNED = f"""{CLAIMS},
-pairs AS (SELECT c.query_id, claim_ix, rk, span_id, {align('ct', 'st')} AS best FROM (SELECT *, {tset('claim')} AS ct FROM claims) c JOIN hits h ON c.query_id = h.query_id),
+#: Each claim with its best hit.
+BEST = f"""pairs AS (SELECT c.query_id, claim_ix, rk, span_id, {align('ct', 'st')} AS best FROM (SELECT *, {tset('claim')} AS ct FROM claims) c JOIN hits h ON c.query_id = h.query_id),
 tops AS (SELECT * FROM pairs WHERE best > 0 QUALIFY row_number() OVER (PARTITION BY query_id, claim_ix ORDER BY best DESC, rk) = 1),
 aligned AS MATERIALIZED (SELECT c.query_id, c.claim_ix, c.claim, CASE WHEN coalesce(best, 0) >= 0.30 THEN 'supported' ELSE 'unsupported' END AS verdict,
   CASE WHEN coalesce(best, 0) >= 0.30 THEN span_id END AS evidence, round(coalesce(best, 0), 6) AS support, (coalesce(best, 0) >= 0.30 AND span_id IS NOT NULL) AS anchored
   FROM claims c LEFT JOIN tops t ON c.query_id = t.query_id AND c.claim_ix = t.claim_ix)"""
+ALIGNED = f"{CLAIMS}, {BEST}"
+#: What assistants claim against what users of the same conversation say.
+TALK = f"""told AS (SELECT conv_id AS query_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+hits AS (SELECT conv_id AS query_id, turn AS rk, turn AS span_id, {tset('text')} AS st FROM conversations WHERE role = 'user'),
+claim_lists AS (SELECT query_id, list_filter({sents('text')}, lambda s: {is_claim('s')}) AS cs FROM told),
+claims AS MATERIALIZED (SELECT query_id, unnest(cs) AS claim, generate_subscripts(cs, 1) - 1 AS claim_ix FROM claim_lists), {BEST}"""
 CRITIC = f"""{CLAIMS},
 open_ AS (SELECT r.*, {pset('proposal')} AS pt, max(rel) OVER (PARTITION BY query_id) AS top FROM related r JOIN props USING (query_id)),
 raised AS MATERIALIZED (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS obj_ix, span_id AS citation, body, substring(body, 1, 40) AS excerpt, round(rel, 2) AS rel
@@ -184,10 +190,10 @@ ORACLE: dict[str, str] = {
       round({jac('pa', 'pb')}, 6) AS plain_overlap, round({cov('pa', 'pb')}, 6) AS plain_coverage FROM p""",
     "propose": f"WITH {LINES} SELECT query_id, md5(proposal) AS md5 FROM props",
     "align_claims": f"WITH {ALIGNED} SELECT query_id, claim_ix::INT AS claim_ix, md5(claim) AS claim_md5, verdict, evidence, support, anchored FROM aligned",
-    "gate_report": f"WITH {ALIGNED} {GATE}",
-    "gate_prune": f"WITH {ALIGNED} SELECT query_id, claim_ix::INT AS claim_ix, evidence, support FROM aligned WHERE anchored",
-    "gate_enforce": f"WITH {ALIGNED}, g AS ({GATE}) SELECT query_id, ratio FROM g WHERE NOT passed",
-    "unanchored": f"WITH {ALIGNED} SELECT query_id, claim_ix::INT AS claim_ix, support FROM aligned WHERE NOT anchored",
+    "gate_report": f"WITH {TALK} {GATE}",
+    "gate_prune": f"WITH {TALK} SELECT query_id, claim_ix::INT AS claim_ix, evidence, support FROM aligned WHERE anchored",
+    "gate_enforce": f"WITH {TALK}, g AS ({GATE}) SELECT query_id, ratio FROM g WHERE NOT passed",
+    "unanchored": f"WITH {TALK} SELECT query_id, claim_ix::INT AS claim_ix, support FROM aligned WHERE NOT anchored",
     "factcheck": f"""WITH {CLAIMS}, fp AS (SELECT c.query_id, claim_ix, pos, span_id, {jac('ct', 'bt')} AS s FROM (SELECT *, {pset('claim')} AS ct FROM claims) c JOIN lines l ON c.query_id = l.query_id),
       ft AS (SELECT * FROM fp WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id, claim_ix ORDER BY s DESC, pos) = 1)
       SELECT c.query_id, c.claim_ix::INT AS claim_ix, CASE WHEN coalesce(s, 0) >= 0.30 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS checked, coalesce(span_id::VARCHAR, 'none') AS span, round(coalesce(s, 0), 2) AS overlap
@@ -209,6 +215,7 @@ ORACLE: dict[str, str] = {
     "delta_stability": f"WITH {DELTAS} SELECT query_id, round(1 - coalesce(avg(delta) FILTER (NOT first), 0), 6) AS stability FROM dd GROUP BY query_id",
     "self_consistency_vote": """SELECT user_id AS query_id, event_type AS text, count(*) AS votes FROM events GROUP BY user_id, event_type
       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) = 1""",
+    "health": f"WITH {SPANS} SELECT 'ok' AS status, (SELECT count(*) FROM spans) AS spans, (SELECT count(DISTINCT t) FROM (SELECT unnest({tok('text')}) AS t FROM spans)) AS terms, 384 AS dim, true AS rerank, 3 AS max_rounds",
     "route_queries": f"WITH {REQUESTS} SELECT query_id, CASE k WHEN 0 THEN 'calculator' WHEN 1 THEN 'unit' WHEN 2 THEN 'clock' ELSE 'rag' END AS kind, CASE WHEN k < 2 THEN text ELSE '' END AS argument FROM requests",
     "calculator": "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * (l_partkey + l_suppkey) - 7 AS value FROM lineitem",
     "unit_convert": "SELECT p_partkey, round(p_size::DOUBLE * 1000 / 453.59237, 6) AS value FROM part",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import Memory, Settings
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search
+from ..operators import ask, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search
 from ..sources import corpora
 from ..sources.scratch import spread, stored
 from ..streaming import trace
@@ -240,20 +240,28 @@ def align_claims(spark, sf_dir):
     return _aligned(spark, sf_dir).select("query_id", "claim_ix", F.md5("claim").alias("claim_md5"), "verdict", "evidence", "support", "anchored")
 
 
+def _talk_aligned(spark, sf_dir):
+    """What assistants claim, against what users of the same conversation say."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), "turn", "role", "text")
+    told = c.filter("role = 'assistant'").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"))
+    hits = c.filter("role = 'user'").select("query_id", F.col("turn").alias("rk"), F.col("turn").alias("span_id"), "text")
+    return evidence.align(evidence.extract_claims(told.select("query_id", F.array_join("x.text", "\n").alias("text"))), hits, SETTINGS.evidence)
+
+
 def gate_report(spark, sf_dir):
-    return evidence.gate_report(_aligned(spark, sf_dir))
+    return evidence.gate_report(_talk_aligned(spark, sf_dir))
 
 
 def gate_prune(spark, sf_dir):
-    return evidence.gate_apply(_aligned(spark, sf_dir)).select("query_id", "claim_ix", "evidence", "support")
+    return evidence.gate_apply(_talk_aligned(spark, sf_dir)).select("query_id", "claim_ix", "evidence", "support")
 
 
 def gate_enforce(spark, sf_dir):
-    return evidence.gate_enforce(_aligned(spark, sf_dir)).select("query_id", "ratio")
+    return evidence.gate_enforce(_talk_aligned(spark, sf_dir)).select("query_id", "ratio")
 
 
 def unanchored(spark, sf_dir):
-    return evidence.unanchored(_aligned(spark, sf_dir)).select("query_id", "claim_ix", "support")
+    return evidence.unanchored(_talk_aligned(spark, sf_dir)).select("query_id", "claim_ix", "support")
 
 
 def factcheck(spark, sf_dir):
@@ -343,6 +351,20 @@ def _debate(spark, sf_dir):
     return debate.run(debate.build(spans(spark, sf_dir), SETTINGS), asked(spark, sf_dir), SETTINGS)
 
 
+def _asked_mixed(spark, sf_dir):
+    """The batch of queries and the requests for tools together; requests have negative ids."""
+    return asked(spark, sf_dir).unionByName(_requests(spark, sf_dir).select((-1 - F.col("query_id")).alias("query_id"), "text").filter("text not like 'tell me%'"))
+
+
+def ask_all(spark, sf_dir):
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return ask.ask(debate.build(spans(spark, sf_dir), SETTINGS), _asked_mixed(spark, sf_dir), F.lit(now), SETTINGS)["answers"]
+
+
+def health(spark, sf_dir):
+    return ask.health(debate.build(spans(spark, sf_dir), SETTINGS), SETTINGS)
+
+
 def debate_full(spark, sf_dir):
     return _debate(spark, sf_dir)["answers"]
 
@@ -546,10 +568,12 @@ def document_titles(spark, sf_dir):
 def trace_stream(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
     base = _files(spark, events, "parquet")
-    name = f"trace_{uuid.uuid4().hex}"
-    live = trace.stream(spark, base, events.schema).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-    live.option("checkpointLocation", f"{base}-state").start().awaitTermination()
-    return spark.table(name)
+    counts = trace.stream(spark, base, events.schema)
+    # all windows are rewritten by each batch, as files; the last batch has the final counts
+    live = counts.writeStream.outputMode("complete").foreachBatch(lambda rows, i: rows.write.parquet(f"{base}-out/{i:06d}")).trigger(availableNow=True)
+    query = live.option("checkpointLocation", f"{base}-state").start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{base}-out/{query.lastProgress.batchId:06d}")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -558,7 +582,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         retrieve, token_stats, llm_token_stats, normalize_text, hard_windows, chunk_documents, sentences, claims, term_df_idf, corpus_stats, bm25_topk, overlap_topk,
         dense_topk, vector_norms, feature_counts, hash_vectors, hash_dense_topk, entropy_signal, margin_signal, lexical_signal, adaptive_weights, rrf_fixed, rrf_adaptive,
         rerank_overlap, z_scores, calibrated_rerank, evidence_block, overlap_pairs, propose, align_claims, gate_report, gate_prune, gate_enforce, unanchored, factcheck,
-        critique, revise, synthesize, parse_objections, filter_valid, parse_verdicts, stalled_rounds, deltas, delta_stability, self_consistency_vote, debate_full, route_queries,
+        critique, revise, synthesize, parse_objections, filter_valid, parse_verdicts, stalled_rounds, deltas, delta_stability, self_consistency_vote, debate_full, ask_all, health, route_queries,
         calculator, unit_convert, tool_answers, working_memory, memory_recall, memory_forget, memory_distill, semantic_recall, memory_stats, faithfulness, context_precision,
         context_recall, keyword_recall, answer_relevancy, benchmark_cases, benchmark_report, trace_tail, trace_by_event, json_sink, read_text, read_jsonl, read_json,
         document_titles, trace_stream,
