@@ -3,7 +3,10 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tarn.config import Memory
@@ -46,9 +49,24 @@ def test_route(spark, query, kind):
     assert spark.createDataFrame([(query,)], "q string").select(reason.route(F.col("q"))["kind"].alias("k")).first().k == kind
 
 
-@pytest.mark.parametrize(("text", "value"), [("12*(3+4)", "84"), ("2^10", "1024"), ("7/2", "3.5"), ("sqrt(16)+1", "5"), ("__import__('os')", None), ("1/0", None), ("", None), ("1,000+1", "1001"), ("9**9**9**9", None)])
+@pytest.mark.parametrize(("text", "value"), [("12*(3+4)", "84"), ("2^10", "1024"), ("7/2", "3.5"), ("sqrt(16)+1", "5"), ("__import__('os')", None), ("1/0", None), ("", None), ("1,000+1", "1001"), ("9**9**9**9", None), ("-2**2", "-4"), ("2**-1", "0.5"), ("2^3^2", "512"), ("-7//2", "-4"), ("-7%3", "2"), ("2--3", "5"), ("2 3", None), ("(1", None), ("#+1", None), ("007", None), ("1e3*.5", "500"), ("round(2.5)*abs(-3)", "6"), ("min(1,2)", None), ("(1+1", None), ("1_000/3", "333.333"), ("0/0", None), ("1/(1/0)", None), ("x+1", None), ("-" * 5000 + "1", None)])
 def test_evaluate(text, value):
-    assert reason.evaluate(text) == value
+    assert reason.evaluate(pd.Series([text])).tolist() == [value]
+
+
+@given(st.lists(st.tuples(st.integers(-50, 50), st.sampled_from("+-*/"), st.integers(0, 9), st.sampled_from(["+", "-", "*", "//", "%"]), st.integers(0, 9)), min_size=1, max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_evaluate_batches_as_rows(parts):
+    """Rows of one shape are evaluated together and have the value that each has alone."""
+    texts = [f"{a}{p}({b}{q}{c})" for a, p, b, q, c in parts]
+
+    def alone(text):
+        try:
+            return reason.six_digits(float(eval(text)))
+        except ZeroDivisionError:
+            return None
+
+    assert reason.evaluate(pd.Series(texts)).tolist() == [alone(t) for t in texts]
 
 
 def test_tools(spark):
@@ -57,6 +75,15 @@ def test_tools(spark):
     assert got == {1: "12000 m", 2: "5", 3: "2024-01-02 03:04:05", 4: None}
 
 
+def test_trace_and_final_answer(spark):
+    q = spark.createDataFrame([(1, "12 foo to bar"), (2, "7/0"), (3, "2+3"), (4, "hello")], "query_id long, text string")
+    got = {r.query_id: (r.tool, r.observation) for r in reason.trace(reason.answer_tools(q, F.lit(dt.datetime(2024, 1, 2)))).collect()}
+    assert got == {1: ("unit", "tool error: cannot read unit argument 12 foo to bar"), 2: ("calculator", "tool error: cannot read calculator argument 7/0"), 3: ("calculator", "5")}
+    said = ["", None, " plain ", "a 答案：b Final Answer: c Final Answer: d", "x 最终答案： y", "最终"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", reason.final_answer(F.col("t")).alias("a")).orderBy("i").collect()
+    assert [r.a for r in rows] == ["", "", "plain", "c Final Answer: d", "y", "最终"]
+
+
 def test_memory(spark):
     turns = spark.createDataFrame([(1, i, f" t{i} ") for i in range(20)] + [(1, 20, "  ")], "session_id long, seq long, text string")
     assert [r.text for r in memory.working(turns).orderBy("slot").collect()] == [f"t{i}" for i in range(4, 20)]
