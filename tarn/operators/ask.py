@@ -12,10 +12,11 @@ from . import debate, reason
 
 def ask(corpus: debate.Corpus, queries: DataFrame, now: Column, settings: Settings = Settings()) -> dict[str, DataFrame]:
     """answers: query_id, answer, route, converged, rounds, faithfulness; turns: query_id, text
-    to be remembered. A tool's answer counts as converged and faithful, without rounds."""
+    to be remembered. A tool's answer counts as converged and faithful, without rounds;
+    where it had none, the error is the answer."""
     routed = stored(reason.answer_tools(queries, now))
-    by_tool = routed.filter("kind <> 'rag'").select(
-        "query_id", F.coalesce("answer", F.lit("")).alias("answer"), F.col("kind").alias("route"), F.lit(True).alias("converged"), F.lit(0).cast("long").alias("rounds"), F.lit(1.0).alias("faithfulness")
+    by_tool = reason.trace(routed).select(
+        "query_id", F.col("observation").alias("answer"), F.col("tool").alias("route"), F.lit(True).alias("converged"), F.lit(0).cast("long").alias("rounds"), F.lit(1.0).alias("faithfulness")
     )
     rest = stored(queries.join(routed.filter("kind = 'rag'").select("query_id"), "query_id", "left_semi"))
     answers = by_tool

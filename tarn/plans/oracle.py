@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators import reason
+from . import queries as Q
+
 W = "[a-zA-Z0-9]+(?:[._''-][a-zA-Z0-9]+)*"
 SPACE = "[ \\t\\n\\x0b\\f\\r\\x85\\xa0\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -144,14 +147,46 @@ fbest AS (SELECT s.query_id, u.i AS i, max(coalesce({align('lt', 'st')}, 0)) AS
 faith AS (SELECT a.query_id, round(coalesce(avg((best >= 0.30)::INT), 0), 6) AS faithfulness FROM answers a LEFT JOIN fbest f ON a.query_id = f.query_id GROUP BY a.query_id)"""
 PRECISION = f"prec AS (SELECT q.query_id, round(coalesce(avg(({align('st', 'qt')} >= 0.30)::INT), 0), 6) AS context_precision FROM qsets q LEFT JOIN hits h ON q.query_id = h.query_id GROUP BY q.query_id)"
 RECALL = f"rec AS (SELECT q.query_id, round((max(coalesce({align('st', 'qt')}, 0)) >= 0.55)::INT::DOUBLE, 6) AS context_recall FROM qsets q LEFT JOIN hits h ON q.query_id = h.query_id GROUP BY q.query_id)"
-#: The first three distinct tokens of a query, in order.
-KEYWORDS = f"""first_at AS (SELECT query_id, term, min(i) AS i FROM (SELECT query_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM (SELECT query_id, {tok('text')} AS t FROM asked)) GROUP BY ALL),
-kw AS (SELECT query_id, term AS keyword FROM first_at QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 3),
+#: All distinct tokens of a query.
+KEYWORDS = f"""kw AS (SELECT query_id, unnest({tset('text')}) AS keyword FROM asked),
 kwr AS (SELECT a.query_id, round(coalesce(avg((len(list_filter({tset('keyword')}, lambda k: NOT list_contains({tset('answer')}, k))) = 0 OR contains(answer, keyword))::INT), 1), 6) AS keyword_recall
   FROM answers a LEFT JOIN kw k ON a.query_id = k.query_id GROUP BY a.query_id)"""
 CASES = f"{ANSWERS}, {FAITH}, {PRECISION}, {RECALL}, {KEYWORDS}, cases AS (SELECT *, faithfulness >= 0.6 AND context_recall >= 0.5 AND keyword_recall >= 0.6 AS passed FROM faith JOIN prec USING (query_id) JOIN rec USING (query_id) JOIN kwr USING (query_id))"
-OBJECTIONS = """composed AS (SELECT doc_id // 10 AS query_id, doc_id AS line_no, substring(source, 1, 20) AS s, 'span::' || doc_id AS c, doc_id % 5 AS k FROM documents)"""
-REQUESTS = """requests AS (SELECT p_partkey AS query_id, p_partkey % 4 AS k, CASE p_partkey % 4 WHEN 0 THEN p_size || '*(' || p_partkey || '+3)' WHEN 1 THEN p_size || ' km to m' WHEN 2 THEN 'what time is it' ELSE 'tell me of ' || p_name END AS text, p_size, p_partkey FROM part)"""
+
+
+def lines(forms: tuple[str, ...]) -> str:
+    """The given lines, stripped (l), with their stripped columns (p)."""
+    pick = " ".join(f"WHEN {i} THEN {form}" for i, form in enumerate(forms))
+    return f"""given AS (SELECT conv_id AS query_id, turn AS line_no, role, text FROM conversations),
+ls AS (SELECT query_id, line_no, {strip('line')} AS l FROM (SELECT *, CASE length(text) % {len(forms)} {pick} END AS line FROM given)),
+cols AS (SELECT *, list_transform(string_split(l, '|'), lambda s: {strip('s')}) AS p FROM ls)"""
+
+
+OBJECTIONS = f"""{lines(Q.OBJECTIONS)},
+objections AS (SELECT query_id, line_no, CASE WHEN len(p) >= 3 THEN list_filter(list_transform(string_split(p[2], ','), lambda s: {strip('s')}), lambda c: starts_with(c, 'span::')) ELSE [] END AS cs,
+  {strip("array_to_string(CASE WHEN len(p) >= 3 THEN p[3:] ELSE p[2:] END, '|')")} AS reason FROM cols WHERE starts_with(l, 'OBJECTION') AND len(p) >= 2)"""
+BODY = f"regexp_replace(q, '^[{reason.AROUND}]+|[{reason.AROUND}]+$', '', 'g')"
+#: Requests by what they ask for.
+REQUESTS = f"""requests AS (SELECT *, {strip('text')} AS q FROM (SELECT p_partkey AS query_id, CASE (p_partkey + length(p_name)) % {len(Q.REQUESTS)} {' '.join(f'WHEN {i} THEN {form}' for i, form in enumerate(Q.REQUESTS))} END AS text FROM part)),
+kinds AS (SELECT query_id, q, CASE WHEN regexp_matches(q, '{reason.CLOCK.replace("'", "''")}') THEN 'clock'
+  WHEN regexp_matches(q, '{reason.UNIT}') AND NOT regexp_full_match(q, '{reason.ARITHMETIC}') THEN 'unit'
+  WHEN regexp_matches(q, '{reason.ARITHMETIC}') AND (regexp_full_match({BODY}, '{reason.ARITHMETIC}') OR regexp_matches({BODY}, '{reason.ONLY_MATHS}')) THEN 'calculator' ELSE 'rag' END AS kind FROM requests),
+routed AS (SELECT query_id, kind, CASE kind WHEN 'unit' THEN regexp_extract(q, '{reason.UNIT}', 0) WHEN 'calculator' THEN {BODY} ELSE '' END AS argument FROM kinds)"""
+UNITS = "units(unit, size) AS (VALUES " + ", ".join(f"('{u}', {x}::DOUBLE)" for u, x in reason.UNITS.items()) + ")"
+
+
+def part_of(i: int) -> str:
+    return f"regexp_extract(argument, '{reason.UNIT}', {i})"
+
+
+#: What tools answer: three shapes of sums, conversions, the clock.
+ANSWERED = f"""{REQUESTS}, {UNITS},
+shaped AS (SELECT *, regexp_extract(argument, '^(\\d+)\\*\\((\\d+)\\+(\\d+)\\)$', ['a', 'b', 'c']) AS m, regexp_extract(argument, '^(\\d+)([-/])(\\d+)$', ['a', 'op', 'b']) AS n FROM routed),
+sums AS (SELECT query_id, CASE WHEN m.a <> '' THEN try_cast(m.a AS DOUBLE) * (try_cast(m.b AS DOUBLE) + try_cast(m.c AS DOUBLE)) WHEN n.op = '-' THEN try_cast(n.a AS DOUBLE) - try_cast(n.b AS DOUBLE) WHEN n.op = '/' AND try_cast(n.b AS DOUBLE) <> 0 THEN try_cast(n.a AS DOUBLE) / try_cast(n.b AS DOUBLE) END AS v FROM shaped WHERE kind = 'calculator'),
+answered AS (SELECT r.query_id, kind, argument, CASE kind WHEN 'clock' THEN strftime((SELECT max(ts) FROM events), '%Y-%m-%d %H:%M:%S')
+  WHEN 'unit' THEN printf('%.6g', try_cast({part_of(1)} AS DOUBLE) * a.size / b.size) || ' ' || lower({part_of(3)})
+  WHEN 'calculator' THEN CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE printf('%.6g', v) END END AS answer
+  FROM routed r LEFT JOIN sums USING (query_id) LEFT JOIN units a ON a.unit = lower({part_of(2)}) LEFT JOIN units b ON b.unit = lower({part_of(3)}))"""
 VECTORS = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 DELTAS = """d AS (SELECT label::BIGINT AS query_id, vec_id AS round, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings),
 dd AS (SELECT query_id, round, p IS NULL AS first, round(CASE WHEN p IS NULL THEN 1 ELSE least(1, greatest(0, 1 - list_cosine_similarity(p, e))) END, 6) AS delta FROM d)"""
@@ -204,11 +239,13 @@ ORACLE: dict[str, str] = {
       extra AS (SELECT query_id, string_agg(body, ' ' ORDER BY pos) AS x FROM missing GROUP BY query_id)
       SELECT query_id, md5({strip("proposal || coalesce(' ' || x, '')")}) AS md5 FROM props LEFT JOIN extra USING (query_id)""",
     "synthesize": f"WITH {ANSWERS} SELECT query_id, md5(answer) AS md5 FROM synth",
-    "parse_objections": f"""WITH {OBJECTIONS} SELECT query_id, line_no, CASE k WHEN 0 THEN c WHEN 1 THEN c || ',span::x' WHEN 2 THEN '' ELSE 'span::x' END AS citations,
-      CASE k WHEN 0 THEN 'misses ' || s WHEN 1 THEN 'misses ' || s || '|more' WHEN 2 THEN 'unfounded ' || s ELSE s END AS reason FROM composed WHERE k < 4""",
-    "filter_valid": f"WITH {OBJECTIONS} SELECT query_id, line_no AS obj_ix, c AS citations, CASE k WHEN 0 THEN 'misses ' || s ELSE 'misses ' || s || '|more' END AS reason FROM composed WHERE k < 2",
-    "parse_verdicts": """SELECT doc_id // 10 AS query_id, (doc_id % 7)::INT AS claim_ix, CASE doc_id % 4 WHEN 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS verdict, CASE doc_id % 4 WHEN 0 THEN 'span::' || lang ELSE '' END AS span
-      FROM documents WHERE doc_id % 4 < 2 QUALIFY row_number() OVER (PARTITION BY doc_id // 10, doc_id % 7 ORDER BY doc_id DESC) = 1""",
+    "parse_objections": f"WITH {OBJECTIONS} SELECT query_id, line_no, array_to_string(cs, ',') AS citations, reason FROM objections",
+    "filter_valid": f"""WITH {OBJECTIONS}, cited AS (SELECT query_id, line_no, reason, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM objections)
+      SELECT query_id, line_no AS obj_ix, string_agg(c, ',' ORDER BY i) AS citations, reason FROM cited JOIN (SELECT DISTINCT conv_id AS query_id, 'span::' || turn AS c FROM conversations WHERE role = 'user') USING (query_id, c)
+      GROUP BY query_id, line_no, reason""",
+    "parse_verdicts": f"""WITH {lines(Q.VERDICTS)}, found AS (SELECT query_id, line_no, try_cast(nullif(regexp_extract(p[1], '^\\S+\\s+([+-]?\\d+)(?:\\s|$)', 1), '') AS INT) AS claim_ix, upper(p[2]) AS verdict,
+        CASE WHEN lower(p[3]) = 'none' THEN '' ELSE p[3] END AS span FROM cols WHERE starts_with(upper(l), 'CLAIM') AND len(p) >= 3)
+      SELECT query_id, claim_ix, verdict, span FROM found WHERE claim_ix IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, claim_ix ORDER BY line_no DESC) = 1""",
     "stalled_rounds": """WITH s AS (SELECT conv_id AS query_id, turn AS round, string_agg(role || ':' || (length(text) // 400), ',' ORDER BY role || ':' || (length(text) // 400)) AS x FROM conversations GROUP BY ALL)
       SELECT query_id, round, coalesce(lag(round) OVER w = round - 1 AND lag(x) OVER w = x, false) AS stalled FROM s WINDOW w AS (PARTITION BY query_id ORDER BY round)""",
     "deltas": f"WITH {DELTAS} SELECT query_id, round, delta FROM dd",
@@ -216,11 +253,15 @@ ORACLE: dict[str, str] = {
     "self_consistency_vote": """SELECT user_id AS query_id, event_type AS text, count(*) AS votes FROM events GROUP BY user_id, event_type
       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id)) = 1""",
     "health": f"WITH {SPANS} SELECT 'ok' AS status, (SELECT count(*) FROM spans) AS spans, (SELECT count(DISTINCT t) FROM (SELECT unnest({tok('text')}) AS t FROM spans)) AS terms, 384 AS dim, true AS rerank, 3 AS max_rounds",
-    "route_queries": f"WITH {REQUESTS} SELECT query_id, CASE k WHEN 0 THEN 'calculator' WHEN 1 THEN 'unit' WHEN 2 THEN 'clock' ELSE 'rag' END AS kind, CASE WHEN k < 2 THEN text ELSE '' END AS argument FROM requests",
+    "route_queries": f"WITH {REQUESTS} SELECT query_id, kind, argument FROM routed",
     "calculator": "SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * (l_partkey + l_suppkey) - 7 AS value FROM lineitem",
-    "unit_convert": "SELECT p_partkey, round(p_size::DOUBLE * 1000 / 453.59237, 6) AS value FROM part",
-    "tool_answers": f"""WITH {REQUESTS} SELECT query_id, CASE k WHEN 0 THEN 'calculator' WHEN 1 THEN 'unit' WHEN 2 THEN 'clock' ELSE 'rag' END AS kind, CASE WHEN k < 2 THEN text ELSE '' END AS argument,
-      CASE k WHEN 0 THEN (p_size * (p_partkey + 3))::VARCHAR WHEN 1 THEN (p_size * 1000)::VARCHAR || ' m' WHEN 2 THEN strftime((SELECT max(ts) FROM events), '%Y-%m-%d %H:%M:%S') END AS answer FROM requests""",
+    "unit_convert": f"""WITH {UNITS}, names AS (SELECT {Q.UNIT_NAMES} AS l) SELECT p_partkey, round(p_retailprice * a.size / b.size, 6) AS value
+      FROM part CROSS JOIN names LEFT JOIN units a ON a.unit = l[p_partkey % {len(Q.UNIT_NAMES)} + 1] LEFT JOIN units b ON b.unit = l[p_size % {len(Q.UNIT_NAMES)} + 1]""",
+    "tool_answers": f"WITH {ANSWERED} SELECT query_id, kind, argument, answer FROM answered",
+    "tool_trace": f"WITH {ANSWERED} SELECT query_id, 'tool' AS step, kind AS tool, argument, coalesce(answer, 'tool error: cannot read ' || kind || ' argument ' || argument) AS observation FROM answered WHERE kind <> 'rag'",
+    "final_answers": f"""WITH s AS (SELECT conv_id, turn, {Q.MARKED} AS t FROM conversations),
+      m AS (SELECT *, CASE WHEN contains(t, 'Final Answer:') THEN 'Final Answer:' WHEN contains(t, '最终答案：') THEN '最终答案：' WHEN contains(t, '答案：') THEN '答案：' END AS mark FROM s)
+      SELECT conv_id, turn, md5({strip("coalesce(substring(t, instr(t, mark) + length(mark)), t, '')")}) AS md5 FROM m""",
     "working_memory": f"""WITH {WORK}, k AS (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) <= 16)
       SELECT session_id, (row_number() OVER (PARTITION BY session_id ORDER BY seq))::INT AS slot, seq, md5(text) AS md5 FROM k""",
     "memory_recall": f"""WITH {VECTORS}, s AS (SELECT q.vec_id AS query_id, r.vec_id AS episode_id, round(exp(-0.02::DOUBLE * (r.vec_id % 97)) * (0.5 + 0.5 * greatest(0, list_cosine_similarity(q.e, r.e))), 6) AS score FROM v q JOIN v r ON q.label = r.label WHERE q.vec_id % 100 = 0)

@@ -284,42 +284,39 @@ def synthesize(spark, sf_dir):
     return roles.synthesize(evidence.gate_apply(_aligned(spark, sf_dir))).select("query_id", F.md5("answer").alias("md5"))
 
 
-def _objection_lines(spark, sf_dir):
-    """Critic lines composed of document rows: with one or two citations, none, a foreign one, or no objection at all."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("source", 1, 20).alias("s"))
-    cite = F.concat(F.lit("span::"), F.col("doc_id").cast("string"))
-    kind = F.pmod("doc_id", F.lit(5))
-    line = (
-        F.when(kind == 0, F.concat(F.lit("OBJECTION | "), cite, F.lit(" | misses "), F.col("s")))
-        .when(kind == 1, F.concat(F.lit("OBJECTION | "), cite, F.lit(", span::x | misses "), F.col("s"), F.lit(" | more")))
-        .when(kind == 2, F.concat(F.lit("OBJECTION | unfounded "), F.col("s")))
-        .when(kind == 3, F.concat(F.lit("  OBJECTION | other, span::x | "), F.col("s")))
-        .otherwise(F.lit("NO_OBJECTION"))
-    )
-    return d.select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("line_no"), line.alias("line"))
+def _talk_lines(spark, sf_dir, *forms):
+    """Lines that a critic or checker may give, one a turn of a conversation: the turn's length
+    picks the form, its text stands in the line; some forms are malformed."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("line_no"), "role", "text")
+    kind = F.pmod(F.length("text"), F.lit(len(forms)))
+    line = F.coalesce(*(F.when(kind == i, F.expr(form)) for i, form in enumerate(forms)))
+    return c.select("query_id", "line_no", line.alias("line"))
+
+
+#: Forms of lines as SQL expressions that both engines read, over line_no, role and text.
+OBJECTIONS = (
+    "concat('  OBJECTION | span::', line_no, ' , span::', line_no + 2, ', note | ', text)", "concat('OBJECTION|', text)", "concat('OBJECTION | span::x,span::', line_no, '|', replace(text, '. ', ' | '))", "text",
+    "'OBJECTION'", "concat('objection | span::', line_no, ' | ', text)", "concat('OBJECTION | | ', text, ' | ')",
+)
+VERDICTS = (
+    "concat('CLAIM ', line_no % 3, ' | supported | span::', line_no, ' | ', text)", "concat(' claim ', line_no % 3, '|', role, ' |  None ')", "concat('CLAIM x | SUPPORTED | ', text)",
+    "concat('CLAIM ', line_no, ' | ', text)", "text", "concat('Claim  +', line_no % 5, ' of ', role, ' | unsupported | ', text)",
+)
 
 
 def parse_objections(spark, sf_dir):
-    return roles.parse_objections(_objection_lines(spark, sf_dir)).select("query_id", "line_no", F.array_join("citations", ",").alias("citations"), "reason")
+    return roles.parse_objections(_talk_lines(spark, sf_dir, *OBJECTIONS)).select("query_id", "line_no", F.array_join("citations", ",").alias("citations"), "reason")
 
 
 def filter_valid(spark, sf_dir):
-    raised = roles.parse_objections(_objection_lines(spark, sf_dir)).withColumnRenamed("line_no", "obj_ix")
-    known = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.concat(F.lit("span::"), F.col("doc_id").cast("string")).alias("citation"))
+    """Known are the turns of users."""
+    raised = roles.parse_objections(_talk_lines(spark, sf_dir, *OBJECTIONS)).withColumnRenamed("line_no", "obj_ix")
+    known = table(spark, sf_dir, "conversations").filter("role = 'user'").select(F.col("conv_id").alias("query_id"), F.concat(F.lit("span::"), F.col("turn").cast("string")).alias("citation"))
     return roles.filter_valid(raised, known).select("query_id", "obj_ix", F.array_join("citations", ",").alias("citations"), "reason")
 
 
 def parse_verdicts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("s"))
-    kind = F.pmod("doc_id", F.lit(4))
-    number = F.pmod("doc_id", F.lit(7)).cast("string")
-    line = (
-        F.when(kind == 0, F.concat(F.lit("CLAIM "), number, F.lit(" | supported | span::"), F.col("s"), F.lit(" | 0.5")))
-        .when(kind == 1, F.concat(F.lit("claim "), number, F.lit(" | UNSUPPORTED | none")))
-        .when(kind == 2, F.lit("CLAIM x | SUPPORTED | none"))
-        .otherwise(F.concat(F.lit("CLAIM "), number, F.lit(" | SUPPORTED")))
-    )
-    return roles.parse_verdicts(d.select(F.floor(F.col("doc_id") / 10).alias("query_id"), F.col("doc_id").alias("line_no"), line.alias("line")))
+    return roles.parse_verdicts(_talk_lines(spark, sf_dir, *VERDICTS))
 
 
 def stalled_rounds(spark, sf_dir):
@@ -352,8 +349,9 @@ def _debate(spark, sf_dir):
 
 
 def _asked_mixed(spark, sf_dir):
-    """The batch of queries and the requests for tools together; requests have negative ids."""
-    return asked(spark, sf_dir).unionByName(_requests(spark, sf_dir).select((-1 - F.col("query_id")).alias("query_id"), "text").filter("text not like 'tell me%'"))
+    """The batch of queries and the requests that tools answer together; requests have negative ids."""
+    tools = _requests(spark, sf_dir).filter(reason.route(F.col("text"))["kind"] != "rag")
+    return asked(spark, sf_dir).unionByName(tools.select((-1 - F.col("query_id")).alias("query_id"), "text"))
 
 
 def ask_all(spark, sf_dir):
@@ -372,16 +370,17 @@ def debate_full(spark, sf_dir):
 # --- reasoning -------------------------------------------------------------
 
 
+#: Requests as SQL expressions that both engines read, over the columns of part.
+REQUESTS = (
+    "concat(p_size, '*(', p_partkey, '+3)')", "concat(p_size, ' km to m')", "concat('what time is it, ', p_name, '?')", "concat('tell me of ', p_name)", "concat(p_partkey + 1, '/', p_size, '等于多少?')",
+    "concat('convert ', p_size, '.5 KG -> lb of ', p_name)", "concat(p_size, ' ', p_name, ' to ft')", "concat(p_name, ' 2+', p_size)", "concat(' 7-', p_size, ' = ? ')", "concat(p_partkey, '/0')", "concat(p_size, ' h to parsec')",
+)
+
+
 def _requests(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_name")
-    kind = F.pmod("p_partkey", F.lit(4))
-    n = F.col("p_size").cast("string")
-    text = (
-        F.when(kind == 0, F.concat(n, F.lit("*("), F.col("p_partkey").cast("string"), F.lit("+3)")))
-        .when(kind == 1, F.concat(n, F.lit(" km to m")))
-        .when(kind == 2, F.lit("what time is it"))
-        .otherwise(F.concat(F.lit("tell me of "), F.col("p_name")))
-    )
+    p = table(spark, sf_dir, "part")
+    kind = F.pmod(F.col("p_partkey") + F.length("p_name"), F.lit(len(REQUESTS)))
+    text = F.coalesce(*(F.when(kind == i, F.expr(form)) for i, form in enumerate(REQUESTS)))
     return p.select(F.col("p_partkey").alias("query_id"), text.alias("text"))
 
 
@@ -395,8 +394,17 @@ def calculator(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", reason.calculate("x").cast("long").alias("value"))
 
 
+#: A text with marks, as an SQL expression that both engines read.
+MARKED = "replace(replace(text, '. ', ' Final Answer: '), ', ', ' 答案：')"
+#: A conversion between two of these a part; the last is no unit.
+UNIT_NAMES = [*reason.UNITS, "cubit"]
+
+
 def unit_convert(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit(" kg to lb")).alias("x"))
+    names = F.array(*map(F.lit, UNIT_NAMES))
+    unit = lambda c: F.get(names, F.pmod(c, F.lit(len(UNIT_NAMES))).cast("int"))
+    text = F.concat(F.col("p_retailprice").cast("string"), F.lit(" "), unit(F.col("p_partkey")), F.lit(" to "), F.upper(unit(F.col("p_size"))))
+    p = table(spark, sf_dir, "part").select("p_partkey", text.alias("x"))
     return p.select("p_partkey", F.round(reason.convert_unit(F.col("x")), 6).alias("value"))
 
 
@@ -405,6 +413,16 @@ def tool_answers(spark, sf_dir):
     return reason.answer_tools(_requests(spark, sf_dir).crossJoin(F.broadcast(now)), F.col("now"))  # one row
 
 
+def tool_trace(spark, sf_dir):
+    return reason.trace(tool_answers(spark, sf_dir))
+
+
+def final_answers(spark, sf_dir):
+    """Marks are set between the sentences of what assistants say."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(MARKED).alias("text"))
+    return c.select("conv_id", "turn", F.md5(reason.final_answer(F.col("text"))).alias("md5"))
+
+
 # --- memory ----------------------------------------------------------------
 
 
@@ -471,7 +489,7 @@ def _gold(q):
 
 
 def _keywords(q):
-    return q.select("query_id", F.explode(F.slice(T.token_set(F.col("text")), 1, 3)).alias("keyword"))
+    return q.select("query_id", F.explode(T.token_set(F.col("text"))).alias("keyword"))
 
 
 def faithfulness(spark, sf_dir):
@@ -583,7 +601,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dense_topk, vector_norms, feature_counts, hash_vectors, hash_dense_topk, entropy_signal, margin_signal, lexical_signal, adaptive_weights, rrf_fixed, rrf_adaptive,
         rerank_overlap, z_scores, calibrated_rerank, evidence_block, overlap_pairs, propose, align_claims, gate_report, gate_prune, gate_enforce, unanchored, factcheck,
         critique, revise, synthesize, parse_objections, filter_valid, parse_verdicts, stalled_rounds, deltas, delta_stability, self_consistency_vote, debate_full, ask_all, health, route_queries,
-        calculator, unit_convert, tool_answers, working_memory, memory_recall, memory_forget, memory_distill, semantic_recall, memory_stats, faithfulness, context_precision,
+        calculator, unit_convert, tool_answers, tool_trace, final_answers, working_memory, memory_recall, memory_forget, memory_distill, semantic_recall, memory_stats, faithfulness, context_precision,
         context_recall, keyword_recall, answer_relevancy, benchmark_cases, benchmark_report, trace_tail, trace_by_event, json_sink, read_text, read_jsonl, read_json,
         document_titles, trace_stream,
     )
