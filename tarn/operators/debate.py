@@ -7,13 +7,15 @@ costs a file read. Rounds are few (`max_rounds`), the loop itself runs on the dr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import Debate, Settings
+from ..functions import text as T
 from ..functions import vector as V
 from ..sources.scratch import stored
 from . import evidence, fusion, rerank, roles, search
@@ -54,9 +56,26 @@ def retrieve(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()
     return hits.select("query_id", "rk", "span_id", "score", "fused", "rerank_z", "rerank_raw", "text"), signals
 
 
-def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) -> dict[str, DataFrame]:
+Proposer = Callable[[DataFrame, DataFrame, Debate], DataFrame]
+Critic = Callable[[DataFrame, DataFrame, DataFrame, Debate], DataFrame]
+
+
+def agreed(queries: DataFrame, lines: DataFrame, config: Debate, propose: Proposer) -> DataFrame:
+    """query_id, proposal: what most of `self_consistency` samples of a proposer say, the first of equals."""
+    if config.self_consistency <= 1:
+        return propose(queries, lines, config)
+    samples = [propose(queries, lines, config).select("query_id", F.lit(i).alias("ix"), T.strip(F.col("proposal")).alias("text")) for i in range(config.self_consistency)]
+    # stored: votes count what was said once, however often a lost task asks anew
+    return roles.vote(stored(reduce(DataFrame.unionByName, samples))).select("query_id", F.col("text").alias("proposal"))
+
+
+def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), propose: Proposer = roles.propose, critic: Critic = roles.critique) -> dict[str, DataFrame]:
     """Tables of a debate on query_id, text: answers (answer, converged, metrics), rounds,
-    claims (of the last round, gated), hits, objections."""
+    claims (of the last round, gated), hits, objections.
+
+    propose (queries, lines, config) gives query_id, proposal; critic (queries, proposals, lines,
+    config) gives query_id, obj_ix, citation, excerpt, rel. An objection that cites no hit of its
+    query does not count."""
     d = settings.debate
     found, signals = retrieve(corpus, queries, settings)
     hits, signals = stored(found.select("query_id", "rk", "span_id", "text")), stored(signals)
@@ -66,7 +85,7 @@ def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) ->
     for index in range(d.max_rounds):
         own = hits.join(active.select("query_id"), "query_id", "left_semi")
         lines = stored(roles.bodies(own))
-        said = roles.propose(active, lines, d)
+        said = agreed(active, lines, d, propose)
         if before is not None:
             said = roles.revise(said, lines, before.join(active.select("query_id"), "query_id", "left_semi"))
         said = stored(said)
@@ -75,7 +94,10 @@ def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings()) ->
         swap = (F.col("checked") == "SUPPORTED") & (F.col("verdict") == "supported") & (F.col("span") != "none")
         aligned = aligned.join(checked.drop("overlap"), ["query_id", "claim_ix"], "left")
         aligned = stored(aligned.withColumn("evidence", F.when(swap, F.col("span").try_cast("long")).otherwise(F.col("evidence"))).drop("checked", "span").withColumn("round", F.lit(index)))
-        objections = stored(roles.critique(active, said, lines, d).withColumn("round", F.lit(index)))
+        objections = critic(active, said, lines, d)
+        if critic is not roles.critique:  # whose citations are hits
+            objections = objections.join(own.select("query_id", F.col("span_id").alias("citation")).distinct(), ["query_id", "citation"], "left_semi")
+        objections = stored(objections.withColumn("round", F.lit(index)))
         now = objections.groupBy("query_id").agg(F.sort_array(F.collect_list(F.concat_ws("|", "citation", "excerpt", "rel"))).alias("raised"))
         last = None if before is None else before.groupBy("query_id").agg(F.sort_array(F.collect_list(F.concat_ws("|", "citation", "excerpt", "rel"))).alias("last"))
         state = active.select("query_id").join(now, "query_id", "left")

@@ -7,7 +7,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tarn.config import Rerank
+from pyspark.sql import functions as F
+
+from tarn.config import Debate, Rerank, Settings
 from tarn.functions import vector as V
 from tarn.operators import debate, fusion, rerank, search
 from tests.test_text import tokens
@@ -129,3 +131,12 @@ def test_retrieve_and_debate(spark, spans, queries):
     assert "battery" in answers[10].answer
     with pytest.raises(ValueError):
         debate.build(spans.limit(0))
+
+
+def test_debate_votes_and_hooks(spark, spans, queries):
+    said = iter(["one", "two", "two"])
+    hit = lambda p: p.select("query_id", F.lit(0).alias("obj_ix"), F.lit(-7).cast("long").alias("citation"), F.lit("x").alias("excerpt"), F.lit(1.0).alias("rel"))
+    propose = lambda q, lines, config: q.select("query_id", F.lit(next(said)).alias("proposal"))
+    found = debate.run(debate.build(spans), queries, Settings(debate=Debate(self_consistency=3)), propose, lambda q, p, lines, config: hit(p))
+    assert {r.proposal for r in found["rounds"].collect()} == {"two"}  # the majority of three samples
+    assert found["objections"].isEmpty() and all(a.converged and a.rounds == 1 for a in found["answers"].collect())  # what cites no hit does not count
