@@ -69,6 +69,16 @@ def test_piece_lengths(n):
 CODECS = [(packing.WordIds(WORD), plain(WORD)), (bpe.SpeculativeBPE(BYTE), plain(BYTE))]
 
 
+def test_buckets(spark, docs, tmp_path):
+    """A folder a length, each piece in the one of its length."""
+    pieces = packing.pack(docs, WORD)
+    packing.write_buckets(pieces, f"{tmp_path}/packed")
+    back = spark.read.parquet(f"{tmp_path}/packed")
+    assert {f.name for f in (tmp_path / "packed").iterdir() if f.is_dir()} == {f"bucket={r.bucket}" for r in pieces.select("bucket").distinct().collect()}
+    columns = ["doc_id", "start", "length", "ids", "bucket"]
+    assert back.filter("length <> shiftleft(1L, bucket)").isEmpty() and back.select(columns).exceptAll(pieces.select(columns)).isEmpty() and back.count() == pieces.count()
+
+
 @given(st.lists(TEXT, min_size=1, max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_ids_as_the_library(texts):
