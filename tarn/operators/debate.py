@@ -23,7 +23,7 @@ from . import evidence, fusion, rerank, roles, search
 
 @dataclass
 class Corpus:
-    """Indexes over spans (span_id long, text)."""
+    """Indexes over spans (span_id of any type with an order, text)."""
 
     spans: DataFrame
     bm25: search.BM25
@@ -93,7 +93,7 @@ def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), pro
         checked = roles.fact_check(aligned.select("query_id", "claim_ix", "claim"), lines)
         swap = (F.col("checked") == "SUPPORTED") & (F.col("verdict") == "supported") & (F.col("span") != "none")
         aligned = aligned.join(checked.drop("overlap"), ["query_id", "claim_ix"], "left")
-        aligned = stored(aligned.withColumn("evidence", F.when(swap, F.col("span").try_cast("long")).otherwise(F.col("evidence"))).drop("checked", "span").withColumn("round", F.lit(index)))
+        aligned = stored(aligned.withColumn("evidence", F.when(swap, F.col("span").try_cast(corpus.spans.schema["span_id"].dataType)).otherwise(F.col("evidence"))).drop("checked", "span").withColumn("round", F.lit(index)))
         objections = critic(active, said, lines, d)
         if critic is not roles.critique:  # whose citations are hits
             objections = objections.join(own.select("query_id", F.col("span_id").alias("citation")).distinct(), ["query_id", "citation"], "left_semi")

@@ -55,5 +55,18 @@ def gate_enforce(aligned: DataFrame, config: Evidence = Evidence()) -> DataFrame
     return gate_report(aligned, config).filter("not passed")
 
 
+class GateError(ValueError):
+    """Queries fail the gate where it is enforced."""
+
+
+def require_gate(aligned: DataFrame, config: Evidence = Evidence()) -> DataFrame:
+    """The claims that gate_apply keeps, if every query passes the gate; else GateError, which counts
+    the queries that fail and names the worst."""
+    worst = gate_enforce(aligned, config).agg(F.count("*").alias("n"), F.max(F.struct("ratio", "query_id")).alias("worst")).first()
+    if worst.n:
+        raise GateError(f"{worst.n} queries fail the gate; query {worst.worst.query_id} has {worst.worst.ratio} of its claims without evidence")
+    return gate_apply(aligned, config)
+
+
 def unanchored(aligned: DataFrame) -> DataFrame:
     return aligned.filter("not anchored")

@@ -16,6 +16,8 @@ from ..sources.scratch import stored
 K1, B = 1.5, 0.75
 #: Vectors in a block of the corpus, and in a block of the queries.
 ROW_BLOCK, QUERY_BLOCK = 4096, 512
+#: Vectors of queries that are broadcast at most.
+BROADCAST_BYTES = 64_000_000
 
 
 @dataclass
@@ -60,49 +62,56 @@ def bm25_search(index: BM25, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows of (id, v) packed into blocks: ids and a matrix of float64, as two binaries."""
+    """Rows of (id, v) packed into blocks of at most `size`: the ids, and a matrix of float64 with
+    rows of length 1. Rows without a vector go."""
 
     def run(batches):
-        ids, vectors = [], []
         for batch in batches:
-            ids += batch.column("id").to_pylist()
-            vectors += batch.column("v").to_pylist()
-            while len(ids) >= size:
-                yield pack(ids[:size], vectors[:size])
-                ids, vectors = ids[size:], vectors[size:]
-        if ids:
-            yield pack(ids, vectors)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                v = part.column("v")
+                m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+                n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+                ids = part.column("id")
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([m.tobytes()], pa.binary())], ["ids", "m"])
 
-    def pack(ids, vectors):
-        m = np.array(vectors, np.float64)
-        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        return pa.RecordBatch.from_arrays([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["ids", "m"])
+    return rows.filter("v is not null").mapInArrow(run, f"ids array<{_kind(rows, 'id')}>, m binary")
 
-    return rows.mapInArrow(run, "ids binary, m binary")
+
+def _kind(rows: DataFrame, column: str) -> str:
+    return rows.schema[column].dataType.simpleString()
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, *, places: int = 6) -> DataFrame:
     """Exact cosine top-k: query_id, span_id, score, rk. vectors: span_id, v; queries: query_id, v.
+    Ids are of any type with an order.
 
     The stated queries meet all vectors block by block; a block pair yields at most k rows a
-    query, so nothing but blocks and candidates moves. Ids are long."""
+    query, so nothing but blocks and candidates moves. The query blocks are broadcast up to
+    BROADCAST_BYTES; beyond, partitions of both sides meet in tasks of their own."""
 
     def run(batches):
         for batch in batches:
-            for qi, qm, ri, rm in zip(*(batch.column(c).to_pylist() for c in ("qi", "qm", "ri", "rm")), strict=True):
-                qi, ri = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
-                c = np.round(np.frombuffer(qm).reshape(len(qi), -1) @ np.frombuffer(rm).reshape(len(ri), -1).T, places)
-                order = np.lexsort((np.broadcast_to(ri, c.shape), -c), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(qi, order.shape[1])), pa.array(ri[order].ravel()), pa.array(np.take_along_axis(c, order, 1).ravel() + 0.0)],
-                    ["query_id", "span_id", "score"],
-                )
-
-    rows = _blocks(vectors.select(F.col("span_id").cast("long").alias("id"), "v"), ROW_BLOCK).toDF("ri", "rm")
-    asked = _blocks(queries.select(F.col("query_id").cast("long").alias("id"), "v"), QUERY_BLOCK).toDF("qi", "qm")
-    pairs = rows.crossJoin(asked)  # blocks, not rows
-    return top_k(pairs.mapInArrow(run, "query_id long, span_id long, score double"), k)
+            qi, qm, ri, rm = (batch.column(c) for c in ("qi", "qm", "ri", "rm"))
+            for i in range(batch.num_rows):
+                asked, ids = qi[i].values, ri[i].values
+                c = np.round(np.frombuffer(qm[i].as_buffer()).reshape(len(asked), -1) @ np.frombuffer(rm[i].as_buffer()).reshape(len(ids), -1).T, places) + 0.0
+                place = np.argsort(np.argsort(np.array(ids.to_pylist())))
+                least = max(0, len(ids) - k)
+                q, r = np.nonzero(c >= np.partition(c, least, axis=1)[:, least, None])  # with all ties of the k-th
+                order = np.lexsort((place[r], -c[q, r], q))
+                q, r = q[order], r[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, r = q[first], r[first]
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(r)), pa.array(c[q, r])], ["query_id", "span_id", "score"])
+
+    rows = _blocks(vectors.select(F.col("span_id").alias("id"), "v"), ROW_BLOCK).toDF("ri", "rm")
+    asked = stored(_blocks(queries.select(F.col("query_id").alias("id"), "v"), QUERY_BLOCK).toDF("qi", "qm"))
+    size = asked.agg(F.sum(F.length("qm"))).first()[0] or 0
+    # blocks, not rows
+    pairs = rows.crossJoin(F.broadcast(asked)) if size <= BROADCAST_BYTES else stored(rows).hint("shuffle_replicate_nl").crossJoin(asked)
+    return top_k(pairs.mapInArrow(run, f"query_id {_kind(queries, 'query_id')}, span_id {_kind(vectors, 'span_id')}, score double"), k)
 
 
 def features(spans: DataFrame) -> DataFrame:

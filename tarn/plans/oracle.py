@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from ..operators import reason
 from . import queries as Q
 
@@ -96,12 +98,45 @@ fused AS (SELECT query_id, span_id, fused, row_number() OVER (PARTITION BY query
 FUSED = f"{SPARSE}, {NEAR}, {SIGNALS}, {rrf('w_dense', 'w_sparse', 'JOIN weights USING (query_id)')}"
 
 
+#: Remainders of single bytes under the reflected polynomial of CRC-32.
+CRC_STEPS = [reduce(lambda r, _: r >> 1 ^ 0xEDB88320 * (r & 1), range(8), byte) for byte in range(256)]
+
+
+def crc(x: str) -> str:
+    """CRC-32 of an ASCII text, byte by byte."""
+    codes = f"list_transform(string_split({x}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, c: xor(a >> 8, {CRC_STEPS}[(xor(a, c) & 255) + 1])), 4294967295)"
+
+
+def counted(name: str, rows: str) -> str:
+    """{name}_c: features and pairs of features of rows (id, text) with their counts."""
+    return f"""{name}_w AS (SELECT id, {tok('text')} AS t FROM ({rows})),
+{name}_c AS MATERIALIZED (SELECT id, feature, count(*) AS tf FROM (SELECT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '#' || t[i + 1]))) AS feature FROM {name}_w) GROUP BY ALL)"""
+
+
+def hashed(name: str) -> str:
+    """{name}_v: entries (id, idx, w) of unit vectors of {name}_c under the weights of the corpus."""
+    return f"""{name}_f AS (SELECT feature, {crc('feature')} % 384 AS idx, CASE WHEN {crc("feature || '|s'")} % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (SELECT DISTINCT feature FROM {name}_c)),
+{name}_s AS (SELECT id, idx::INT AS idx, sum(sign * coalesce(idf, ln(1 + (n + 0.5) / 0.5)) * (1 + ln(tf))) AS w FROM {name}_c JOIN {name}_f USING (feature) LEFT JOIN weight USING (feature), total GROUP BY ALL),
+{name}_v AS MATERIALIZED (SELECT id, idx, coalesce(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY id)), 0), w) AS w FROM {name}_s)"""
+
+
+WEIGHTED = f"""{counted('span', 'SELECT span_id AS id, text FROM spans')}, total AS (SELECT count(*) AS n FROM spans),
+weight AS MATERIALIZED (SELECT feature, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT feature, count(*) AS df FROM span_c GROUP BY feature), total)"""
+ASKED_HASHED = f"{counted('ask', 'SELECT query_id AS id, text FROM asked')}, {hashed('ask')}"
+#: Cosine of hashed vectors in place of the overlap; every span has a score.
+HASH_NEAR = f"""sets AS (SELECT span_id, {tset('text')} AS st FROM spans), qsets AS (SELECT query_id, {tset('text')} AS qt FROM asked),
+{WEIGHTED}, {hashed('span')}, {ASKED_HASHED},
+dots AS (SELECT a.id AS query_id, s.id AS span_id, sum(a.w * s.w) AS x FROM ask_v a JOIN span_v s USING (idx) GROUP BY ALL),
+cosines AS (SELECT query_id, span_id, round(coalesce(x, 0), 6) + 0.0 AS score FROM (SELECT query_id, span_id FROM asked, spans) LEFT JOIN dots USING (query_id, span_id)),
+near AS MATERIALIZED (SELECT query_id, span_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, span_id) AS rk FROM cosines QUALIFY rk <= 40)"""
+
+
 def z(v: str, by: str) -> str:
     return f"round(CASE WHEN coalesce(stddev_pop({v}) OVER (PARTITION BY {by}), 0) < 1e-12 THEN 0 ELSE ({v} - avg({v}) OVER (PARTITION BY {by})) / stddev_pop({v}) OVER (PARTITION BY {by}) END, 9)"
 
 
-RANKED = f"""{FUSED},
-scored AS (SELECT f.*, {setcos('qt', 'st')} AS raw FROM fused f JOIN qsets USING (query_id) JOIN sets USING (span_id)),
+RERANKED = f"""scored AS (SELECT f.*, {setcos('qt', 'st')} AS raw FROM fused f JOIN qsets USING (query_id) JOIN sets USING (span_id)),
 zs AS (SELECT *, {z('raw', 'query_id')} AS zr, {z('fused', 'query_id')} AS zf FROM scored),
 placed AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY zr DESC, rk) AS place FROM zs),
 led AS (SELECT *, max(CASE WHEN place = 1 THEN zr END) OVER (PARTITION BY query_id) - coalesce(max(CASE WHEN place = 2 THEN zr END) OVER (PARTITION BY query_id), -9e9) AS lead FROM placed),
@@ -109,6 +144,9 @@ keepers AS (SELECT *, round(CASE WHEN lead >= 0.15 THEN 0.5 * zr + 0.5 * zf ELSE
 spares AS (SELECT *, sum(kept::INT) OVER (PARTITION BY query_id) AS n_kept, row_number() OVER (PARTITION BY query_id, kept ORDER BY zr DESC, rk) AS spare FROM keepers),
 ranked AS (SELECT query_id, span_id, round(blend, 6) AS score, round(zr, 6) AS rerank_z, round(raw, 6) AS rerank_raw, fused,
   row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, rk) AS rk FROM spares WHERE kept OR spare <= greatest(2, (n + 1) // 2) - n_kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY blend DESC, rk) <= 8)"""
+RANKED = f"{FUSED}, {RERANKED}"
+#: The whole retrieval: dense vectors and postings, fused and reranked.
+RETRIEVED = f"{SPARSE}, {HASH_NEAR}, {SIGNALS}, {rrf('w_dense', 'w_sparse', 'JOIN weights USING (query_id)')}, {RERANKED}"
 HITS = f"{RANKED}, hits AS MATERIALIZED (SELECT query_id, rk, span_id, text, {tset('text')} AS st FROM ranked JOIN spans USING (span_id))"
 LINES = f"""{HITS},
 raw_lines AS (SELECT query_id, rk, span_id, list_filter(list_transform(string_split({strip('text')}, chr(10)), lambda s: {strip('s')}), lambda s: s <> '') AS ls FROM hits),
@@ -210,6 +248,14 @@ ORACLE: dict[str, str] = {
     "feature_counts": f"""WITH {SPANS}, w AS (SELECT span_id, {tok('text')} AS t FROM spans),
       f AS (SELECT span_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '#' || t[i + 1]))) AS feature FROM w),
       c AS (SELECT span_id, feature, count(*) AS tf FROM f GROUP BY ALL) SELECT span_id, count(*) AS n_distinct, sum(tf)::BIGINT AS n_features, max(tf) AS max_tf FROM c GROUP BY span_id""",
+    "hash_vectors": f"WITH {SPANS}, {WEIGHTED}, {hashed('span')} SELECT id AS span_id, idx, round(w, 6) + 0.0 AS w FROM span_v",
+    "hash_dense_topk": f"WITH {SPANS}, {HASH_NEAR} SELECT query_id, span_id, score, rk::INT AS rk FROM near",
+    "retrieve": f"WITH {RETRIEVED} SELECT query_id, rk::INT AS rk, span_id, score, fused, rerank_z, rerank_raw FROM ranked",
+    "answer_relevancy": f"""WITH {ANSWERS}, {WEIGHTED}, {ASKED_HASHED}, sl AS (SELECT query_id, {sents('answer')} AS l FROM answers),
+      said AS (SELECT query_id, query_id || '-' || i AS id, l[i + 1] AS text FROM (SELECT query_id, l, unnest(range(len(l))) AS i FROM sl)), {counted('say', 'SELECT id, text FROM said')}, {hashed('say')},
+      near_q AS (SELECT s.id, query_id, coalesce(sum(v.w * a.w), 0) AS x FROM said s LEFT JOIN say_v v ON v.id = s.id LEFT JOIN ask_v a ON a.id = s.query_id AND a.idx = v.idx GROUP BY ALL),
+      mean AS (SELECT query_id, avg(greatest(0, x)) AS x FROM near_q GROUP BY query_id)
+      SELECT query_id, round(coalesce(x, 0), 6) + 0.0 AS answer_relevancy FROM answers LEFT JOIN mean USING (query_id)""",
     "entropy_signal": f"WITH {SPARSE}, {NEAR}, {SIGNALS} SELECT query_id, entropy FROM ent",
     "margin_signal": f"WITH {SPARSE}, {NEAR}, {SIGNALS} SELECT query_id, margin FROM mar",
     "lexical_signal": f"WITH {SPARSE}, {NEAR}, {SIGNALS} SELECT query_id, lexical FROM weights",

@@ -6,7 +6,6 @@ Every query reads whole tables. `benchmark` is the batch of queries, `documents`
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +17,7 @@ from ..functions import text as T
 from ..functions import vector as V
 from ..operators import ask, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search
 from ..sources import corpora
-from ..sources.scratch import spread, stored
+from ..sources.scratch import folder, spread, stored
 from ..streaming import trace
 
 SETTINGS = Settings()
@@ -363,6 +362,13 @@ def health(spark, sf_dir):
     return ask.health(debate.build(spans(spark, sf_dir), SETTINGS), SETTINGS)
 
 
+def retrieve_chunks(spark, sf_dir):
+    """Retrieval over the chunks of documents, whose ids are texts."""
+    chunks = chunking.chunk(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    hits, _ = debate.retrieve(debate.build(chunks.select("span_id", "text"), SETTINGS), asked(spark, sf_dir), SETTINGS)
+    return hits.drop("text")
+
+
 def debate_full(spark, sf_dir):
     return _debate(spark, sf_dir)["answers"]
 
@@ -547,15 +553,11 @@ def trace_by_event(spark, sf_dir):
 
 def json_sink(spark, sf_dir):
     n = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return n.select("o_orderkey", corpora_json(n))
-
-
-def corpora_json(rows):
-    return F.to_json(F.struct(*rows.columns)).alias("json")
+    return corpora.as_json(n, "o_orderkey")
 
 
 def _files(spark, rows, how, **options):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getConf().get('spark.checkpoint.dir') or 'file://' + tempfile.mkdtemp(prefix='tarn-files-')}/files-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/files-{uuid.uuid4().hex}"
     getattr(rows.write.options(**options), how)(path)
     return path
 
@@ -597,7 +599,7 @@ def trace_stream(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        retrieve, token_stats, llm_token_stats, normalize_text, hard_windows, chunk_documents, sentences, claims, term_df_idf, corpus_stats, bm25_topk, overlap_topk,
+        retrieve, retrieve_chunks, token_stats, llm_token_stats, normalize_text, hard_windows, chunk_documents, sentences, claims, term_df_idf, corpus_stats, bm25_topk, overlap_topk,
         dense_topk, vector_norms, feature_counts, hash_vectors, hash_dense_topk, entropy_signal, margin_signal, lexical_signal, adaptive_weights, rrf_fixed, rrf_adaptive,
         rerank_overlap, z_scores, calibrated_rerank, evidence_block, overlap_pairs, propose, align_claims, gate_report, gate_prune, gate_enforce, unanchored, factcheck,
         critique, revise, synthesize, parse_objections, filter_valid, parse_verdicts, stalled_rounds, deltas, delta_stability, self_consistency_vote, debate_full, ask_all, health, route_queries,

@@ -35,9 +35,9 @@ def documents(rows: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(F.col("text"), F.lit("")) != "").withColumn("title", F.coalesce(*named, F.lit("untitled")))
 
 
-def as_json(rows: DataFrame) -> DataFrame:
-    """One JSON text a row."""
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))
+def as_json(rows: DataFrame, *keep: str) -> DataFrame:
+    """One JSON text a row, beside the columns to keep."""
+    return rows.select(*keep, F.to_json(F.struct(*rows.columns)).alias("json"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:

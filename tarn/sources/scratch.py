@@ -5,18 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows read back from the folder that spark.checkpoint.dir names; a folder of
-    our own only where it is unset (tests)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where it is unset and driver
+    and executors are one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tarn-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/table-{uuid.uuid4().hex}"
+    return base
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

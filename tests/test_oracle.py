@@ -12,7 +12,7 @@ from tarn.plans.oracle import ORACLE
 from tarn.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["token_stats", "hard_windows", "sentences", "claims", "bm25_topk", "dense_topk", "feature_counts", "adaptive_weights", "calibrated_rerank", "align_claims", "critique", "gate_report", "gate_prune", "gate_enforce", "unanchored", "trace_stream", "health", "lexical_signal", "parse_objections", "filter_valid", "parse_verdicts", "tool_trace", "final_answers", "unit_convert", "deltas", "route_queries", "calculator", "tool_answers", "memory_recall", "memory_forget", "memory_stats", "benchmark_cases", "read_text"]
+NAMES = ["token_stats", "hard_windows", "sentences", "claims", "bm25_topk", "dense_topk", "feature_counts", "adaptive_weights", "calibrated_rerank", "align_claims", "critique", "gate_report", "gate_prune", "gate_enforce", "unanchored", "trace_stream", "health", "lexical_signal", "parse_objections", "filter_valid", "parse_verdicts", "tool_trace", "final_answers", "unit_convert", "deltas", "route_queries", "calculator", "tool_answers", "memory_recall", "memory_forget", "memory_stats", "hash_vectors", "hash_dense_topk", "retrieve", "answer_relevancy", "json_sink", "benchmark_cases", "read_text"]
 
 
 def plain(v):

@@ -25,6 +25,10 @@ def test_alignment_and_gate(spark):
     assert report[1].ratio == 0.5 and not report[1].passed
     assert evidence.gate_apply(evidence.align(claims, hits)).count() == 1
     assert {r.query_id for r in evidence.gate_enforce(evidence.align(claims, hits)).collect()} == {1, 2}
+    with pytest.raises(evidence.GateError, match="2 queries fail the gate; query 2 has 1.0"):
+        evidence.require_gate(evidence.align(claims, hits))
+    good = evidence.require_gate(evidence.align(claims.filter("query_id = 1 and claim_ix = 0"), hits))
+    assert [r.claim for r in good.collect()] == ["the battery lasts ten hours"]
 
 
 def test_parsers(spark):

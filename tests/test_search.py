@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarn.config import Debate, Rerank, Settings
 from tarn.functions import vector as V
-from tarn.operators import debate, fusion, rerank, search
+from tarn.operators import chunking, debate, fusion, rerank, search
 from tests.test_text import tokens
 
 TEXTS = {1: "fast battery charging", 2: "battery life is long and battery is fine", 3: "the screen is bright", 4: "", 5: "屏幕 很 亮 battery"}
@@ -80,6 +80,28 @@ def test_dense_search_is_exact(spark):
         assert [r.span_id for r in got if r.query_id == q] == want
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**9])
+def test_dense_search_takes_ids_of_texts(spark, monkeypatch, broadcast):
+    """Blocks that are broadcast, or meet in partitions; ties go to the lesser id; no vector, no hit."""
+    monkeypatch.setattr(search, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(search, "ROW_BLOCK", 3)
+    rows = [(f"s{i:02d}", [1.0, float(i % 3)]) for i in range(20)] + [("none", None)]
+    v = spark.createDataFrame(rows, "span_id string, v array<double>").repartition(4)
+    found = search.dense_search(v, spark.createDataFrame([("q", [2.0, 2.0]), ("zero", [0.0, 0.0])], "query_id string, v array<double>"), 5).orderBy("query_id", "rk").collect()
+    assert [(r.span_id, r.score) for r in found if r.query_id == "q"] == [(f"s{i:02d}", 1.0) for i in (1, 4, 7, 10, 13)]
+    assert [(r.span_id, r.score) for r in found if r.query_id == "zero"] == [(f"s{i:02d}", 0.0) for i in range(5)]
+    assert search.dense_search(v.limit(0), v.withColumnRenamed("span_id", "query_id"), 5).isEmpty()
+
+
+def test_chunks_can_be_searched(spark, queries):
+    docs = spark.createDataFrame([(1, "fast battery charging\n\nthe screen is bright"), (2, "battery life is long"), (3, None)], "doc_id long, text string")
+    corpus = debate.build(chunking.chunk(docs).select("span_id", "text"))
+    hits, _ = debate.retrieve(corpus, queries)
+    assert {r.query_id: r.span_id for r in hits.filter("rk = 1").collect()}[11] == "span::chk_1_00001"
+    claims = debate.run(corpus, queries)["claims"].collect()
+    assert claims and all(r.evidence.startswith("span::chk_") for r in claims)
+
+
 def test_rrf_and_weights(spark):
     d = spark.createDataFrame([(1, 7, 0.9, 1), (1, 8, 0.5, 2)], "query_id long, span_id long, score double, rk int")
     s = spark.createDataFrame([(1, 8, 3.0, 1), (1, 9, 1.0, 2)], "query_id long, span_id long, score double, rk int")
