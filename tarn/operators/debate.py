@@ -35,7 +35,7 @@ def build(spans: DataFrame, settings: Settings = Settings()) -> Corpus:
     if spans.isEmpty():
         raise ValueError("empty corpus")
     bm25, dense = search.build_bm25(spans), search.build_hash_index(spans, settings.retrieval.dim)
-    bm25 = search.BM25(stored(bm25.postings), stored(bm25.terms), stored(bm25.stats))
+    bm25 = search.BM25(bm25.postings, stored(bm25.terms), stored(bm25.stats))
     return Corpus(spans, bm25, search.HashIndex(stored(dense.vectors), stored(dense.idf), stored(dense.n), dense.dim))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -10,6 +10,12 @@ from ..functions import text as T
 MARGIN_SCALE = 0.20
 
 
+def six_places(x: Column) -> Column:
+    """Six places of a number of 0 or more by its product with a million: sums of such numbers are often
+    halves, which a rounding of their printed digits would put up or down as noise in the last bits has it."""
+    return F.floor(x * 1e6 + 0.5) / 1e6
+
+
 def entropy(ranked: DataFrame) -> DataFrame:
     """query_id, entropy: Shannon entropy of the positive scores over its maximum; 0 for one or none."""
     v = F.when(F.col("score") > 0, F.col("score"))
@@ -43,7 +49,7 @@ def adaptive_weights(queries: DataFrame, dense: DataFrame, sparse: DataFrame, sp
         return queries.select("query_id").withColumns(zero | {"w_dense": F.lit(0.5), "w_sparse": F.lit(0.5)})
     joined = lexical(queries, dense, spans).join(entropy(sparse), "query_id", "left").join(margin(dense), "query_id", "left").fillna(0.0)
     raw = 0.5 + 0.25 * F.col("lexical") - 0.20 * F.col("entropy") - 0.15 * F.col("margin")
-    w = F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.9), raw)), 6)
+    w = six_places(F.greatest(F.lit(0.1), F.least(F.lit(0.9), raw)))
     return joined.select("query_id", "entropy", "margin", "lexical", F.round(1 - w, 6).alias("w_dense"), w.alias("w_sparse"))
 
 
@@ -57,6 +63,6 @@ def weighted_rrf(dense: DataFrame, sparse: DataFrame, weights: DataFrame | None
     else:
         both = both.join(weights.select("query_id", "w_dense", "w_sparse"), "query_id")
     part = lambda w, r: F.coalesce(F.col(w) / (k + F.col(r)), F.lit(0.0))
-    scored = both.select("query_id", "span_id", F.round(part("w_dense", "rd") + part("w_sparse", "rs"), 6).alias("fused"))
+    scored = both.select("query_id", "span_id", six_places(part("w_dense", "rd") + part("w_sparse", "rs")).alias("fused"))
     order = Window.partitionBy("query_id").orderBy(F.desc("fused"), "span_id")
     return scored.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= top)

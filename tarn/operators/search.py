@@ -36,11 +36,13 @@ def top_k(scored: DataFrame, k: int, *, by: str = "query_id", score: str = "scor
 
 
 def build_bm25(spans: DataFrame) -> BM25:
-    """From span_id, text. Postings carry their span's length, so scoring needs no join for it."""
-    words = stored(spans.select("span_id", T.tokens(F.col("text")).alias("words")))  # tokens once
-    lengths = words.select("span_id", F.size("words").cast("long").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    counted = words.select("span_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).groupBy("span_id", "term", "dl").agg(F.count("*").alias("tf"))
+    """From span_id, text. Postings carry their span's length, so scoring needs no join for it; they
+    are stored, since weights and lengths are counted from them."""
+    words = spans.select("span_id", T.tokens(F.col("text")).alias("words"))
+    listed = words.select("span_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    counted = stored(listed.groupBy("span_id", "term", "dl").agg(F.count("*").alias("tf")))
+    total = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = spans.agg(F.count("*").alias("n")).crossJoin(total).select("n", (F.col("total") / F.nullif("n", F.lit(0))).alias("avgdl"))  # one row each
     df = counted.groupBy("term").agg(F.count("*").alias("df"))
     terms = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", V.idf(F.col("n"), F.col("df")).alias("idf"))  # one row
     return BM25(counted, terms, stats)
