@@ -39,11 +39,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+def byte_count(setting: str) -> int:
+    """Bytes that a setting names as Spark writes them: 1024, 64m, 1gb, 8000000b; -1 is no limit."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", setting.lower()).groups()
+    return int(number) << (10 * "_kmgtp".index(unit or "_"))
+
+
 def bounded_batches(df: DataFrame) -> None:
-    """Keep the session's Arrow batches within BATCH_BYTES from now on; a lower setting stays."""
+    """Keep the session's Arrow batches within BATCH_BYTES from now on; a lower setting stays.
+    (Plans are lazy, so the setting must outlive the call.)"""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(df.sparkSession.conf.get(key).removesuffix("b"))
-    if not 0 < now <= BATCH_BYTES:
+    if not 0 < byte_count(df.sparkSession.conf.get(key)) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, f"{BATCH_BYTES}b")
 
 

@@ -21,6 +21,7 @@ kept); an empty table gives no rows; other columns of the input are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -258,18 +259,19 @@ def _open_pairs(table: pa.Table, least: list[int]):
             yield x[first], y[first], matches[first]
 
 
-def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, least: list[int], docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
+def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, open_pairs: Callable[[pa.Table], Iterator], docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Links (a, b) between texts of one bucket and different components, at least one for
     every text outside a bucket's largest component and every component that it is linked with.
 
     A bucket's rows are dealt into blocks of about BLOCK; rows outside its largest component
     are also sent to every block, in blocks of their own. A task holds one pair of blocks.
-    Signatures come first; full sets go only to rows with a plausible partner, and pairs are
-    checked where they meet: none but confirmed links become rows."""
+    Signatures come first: open_pairs yields the plausible pairs of a table of group, label, minor,
+    key and sig (classes: node, sig) as rows and their likeness. Full sets go only to rows with a
+    plausible partner, and pairs are checked where they meet: none but confirmed links become rows."""
 
     def who(batches):
         def solve(table):
-            found = [np.unique(np.concatenate([x, y])) for x, y, _ in _open_pairs(table, least)]
+            found = [np.unique(np.concatenate([x, y])) for x, y, _ in open_pairs(table)]
             if found:
                 rows = pa.array(np.unique(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(rows) for c in ("group", "node")], ["group", "node"])
@@ -281,7 +283,7 @@ def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame,
             node, label = (table.column(c).to_numpy() for c in ("node", "label"))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
             linked, out = set(), []
-            for x, y, matches in _open_pairs(table, least):
+            for x, y, matches in open_pairs(table):
                 for k in np.argsort(-matches, kind="stable").tolist():
                     a, b = int(x[k]), int(y[k])
                     known = (int(node[a]), int(label[b]))
@@ -344,7 +346,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, miss: float = 1e-5, i
         first = ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
         links = stored(confirm(first, docs, percent, id_col, text_col))
         labels = stored(components(links))
-        new = between_components(shared.select("key", "node"), labels, classes, least, docs, percent, id_col, text_col)
+        new = between_components(shared.select("key", "node"), labels, classes, lambda table: _open_pairs(table, least), docs, percent, id_col, text_col)
         links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new)
         labels = stored(components(links), keep=True)
 
