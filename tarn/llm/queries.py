@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, line_dedup, near_dup, packing, phrase_prints, pii, sharding, telephony, token_counts, toxicity
+from . import bpe, line_dedup, near_dup, ngram_join, packing, phrase_prints, pii, sharding, telephony, token_counts, toxicity, whitening, word_runs
 from .common import table
 
 
@@ -59,8 +59,21 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.dedup_lines(docs))
 
 
+def op11_whiten_feast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.quantised(table(spark, sf_dir, "embeddings"))
+    return whitening.digests(whitening.whiten(vectors, whitening.fit(vectors, components=4)))
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digests(word_runs.word_runs(table(spark, sf_dir, "documents"), edit=word_runs.repeat_tail))
+
+
+def op13_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_texts(table(spark, sf_dir, "documents"), percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op5_toxicity_neighbours, op6_phrase_fingerprints, op7_bpe_speculative, op8_token_counts, op9_pii_weak_supervision, op10_line_winnowing)}
+    return {f.__name__: f for f in (op1_pack_binary, op2_shard_hilbert, op3_minhash_bayes, op4_telephony_audio, op5_toxicity_neighbours, op6_phrase_fingerprints, op7_bpe_speculative, op8_token_counts, op9_pii_weak_supervision, op10_line_winnowing, op11_whiten_feast, op12_word_runs, op13_partenum_join)}
 
 
 def oracle_sql() -> dict[str, str]:
