@@ -260,8 +260,8 @@ def _open_pairs(table: pa.Table, least: list[int]):
 
 
 def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame, open_pairs: Callable[[pa.Table], Iterator], docs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between texts of one bucket and different components, at least one for
-    every text outside a bucket's largest component and every component that it is linked with.
+    """Links (a, b) between texts of one bucket and different components: as many as it takes to join
+    the components that any pair of the bucket links, and at most one fewer than its components.
 
     A bucket's rows are dealt into blocks of about BLOCK; rows outside its largest component
     are also sent to every block, in blocks of their own. A task holds one pair of blocks.
@@ -282,13 +282,19 @@ def between_components(shared: DataFrame, labels: DataFrame, classes: DataFrame,
         def solve(table):
             node, label = (table.column(c).to_numpy() for c in ("node", "label"))
             sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-            linked, out = set(), []
+            root, out = {}, []  # labels that links of this table have joined: one row a step of joining
+
+            def find(x):
+                while x in root:
+                    x = root[x]
+                return x
+
             for x, y, matches in open_pairs(table):
                 for k in np.argsort(-matches, kind="stable").tolist():
                     a, b = int(x[k]), int(y[k])
-                    known = (int(node[a]), int(label[b]))
-                    if known not in linked and enough(sets[a], sets[b], percent):
-                        linked.add(known)
+                    one, two = find(int(label[a])), find(int(label[b]))
+                    if one != two and enough(sets[a], sets[b], percent):
+                        root[max(one, two)] = min(one, two)
                         out.append((int(node[a]), int(node[b])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])

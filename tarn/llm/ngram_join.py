@@ -61,22 +61,18 @@ def _bands(percent: int, largest: int) -> tuple[tuple[int, int, int, int, int],
 def signatures(shingle: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a set (sorted, distinct) in all instances that hold its size."""
     n, keys = len(shingle), []
-    content, cell = _mix(shingle * _GOLD + np.uint64(1)), (shingle & np.uint64(0xFFFFFFFF)) % np.uint64(3)
+    weight = (_mix(shingle * _GOLD + np.uint64(1)) >> np.uint64(12)).astype(np.float64)
+    high, cell = shingle >> np.uint64(32), (shingle & np.uint64(0xFFFFFFFF)) % np.uint64(3)
     for low, most, band, parts, out in _bands(percent, 1 << max(8, n.bit_length())):
         if not low <= n <= most:
             continue
-        part = ((shingle >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # rises with the hash
-        ends = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-        sums, counts = np.zeros((3, parts), np.uint64), np.zeros((3, parts), np.int64)
-        for j in range(3):
-            mine = cell == j
-            sums[j] = np.diff(np.concatenate([[np.uint64(0)], np.cumsum(np.where(mine, content, np.uint64(0)))])[ends])
-            counts[j] = np.diff(np.concatenate([[0], np.cumsum(mine)])[ends])
-        name = _mix(np.arange(parts * 3, dtype=np.uint64) + np.uint64(band << 40)).reshape(3, parts)
-        left, right = sums[[1, 0, 0]], sums[[2, 2, 1]]  # without cell 0, 1, 2
-        key = _mix(_mix(left + name) * _GOLD + right).ravel()
+        at = ((high * np.uint64(parts) >> np.uint64(32)) * np.uint64(3) + cell).view(np.int64)
+        # a cell's content: the sum over its elements, which come in one order, so that equal cells have equal sums
+        content = _mix(np.bincount(at, weight, 3 * parts).view(np.uint64) + np.arange(3 * parts, dtype=np.uint64) + np.uint64(band << 52)).reshape(parts, 3)
+        key = _mix(content[:, [1, 0, 0]] * _GOLD + content[:, [2, 2, 1]]).ravel()  # without cell 0, 1, 2
         if out:
-            order = (counts[[1, 0, 0]] + counts[[2, 2, 1]]).ravel() * (3 * parts) + np.arange(3 * parts)
+            count = np.bincount(at, minlength=3 * parts).reshape(parts, 3)
+            order = (count.sum(axis=1)[:, None] - count).ravel() * (3 * parts) + np.arange(3 * parts)
             key = key[np.argpartition(order, out - 1)[out:]]
         keys.append(key)
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -235,10 +231,7 @@ def similar_texts(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id",
         members = stored(members_of(rows, percent))
         spokes = members.filter("name <> centre").select(F.col("centre").alias("name_a"), F.col("name").alias("name_b")).distinct()
         likely = stored(prune(spokes, classes, percent))
-        # the best centre of each text first; the next step sees to the rest
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node"), F.struct("likeness", "a", "b").alias("p"))
-        first = ends.groupBy("node").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
-        links = stored(near_dup.confirm(first, rows, percent, "doc_id", "text"))
+        links = stored(near_dup.confirm(likely, rows, percent, "doc_id", "text"))
         labels = stored(near_dup.components(links))
         shared = stored(members.join(classes.select("name", "node"), "name").select("key", "node"))
         new = near_dup.between_components(shared, labels, classes.select("node", "sig"), lambda table: open_pairs(table, percent), rows, percent, "doc_id", "text")
