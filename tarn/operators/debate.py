@@ -27,35 +27,50 @@ class Corpus:
 
     spans: DataFrame
     bm25: search.BM25
-    dense: search.HashIndex
+    dense: search.HashIndex | search.VectorIndex
 
 
-def build(spans: DataFrame, settings: Settings = Settings()) -> Corpus:
+def build(spans: DataFrame, settings: Settings = Settings(), embed: search.Embedder | None = None) -> Corpus:
+    """Indexes of the spans; with `embed` the vectors are what it makes of texts, else hashed features."""
     spans = stored(spans)
     if spans.isEmpty():
         raise ValueError("empty corpus")
-    bm25, dense = search.build_bm25(spans), search.build_hash_index(spans, settings.retrieval.dim)
+    bm25 = search.build_bm25(spans)
     bm25 = search.BM25(bm25.postings, stored(bm25.terms), stored(bm25.stats))
+    if embed is not None:
+        return Corpus(spans, bm25, search.VectorIndex(stored(embed(spans)), embed))
+    dense = search.build_hash_index(spans, settings.retrieval.dim)
     return Corpus(spans, bm25, search.HashIndex(stored(dense.vectors), stored(dense.idf), stored(dense.n), dense.dim))
 
 
-def retrieve(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), top_k: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Hits (query_id, rk, span_id, score, fused, rerank_z, rerank_raw, text) and signals of query_id, text."""
+def retrieve(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), top_k: int = 0, scorer: Callable[[], rerank.ListScorer] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hits (query_id, rk, span_id, score, fused, rerank_z, rerank_raw, text) and signals of query_id, text.
+    `scorer` loads one that scores a query's list of candidates; without it the overlap of tokens counts."""
     r = settings.retrieval
     k = top_k or r.top_k
     pool = max(4 * k, r.candidate_pool)
     sparse = stored(search.bm25_search(corpus.bm25, queries, pool))
-    dense = stored(search.hash_search(corpus.dense, queries, pool))
-    signals = fusion.adaptive_weights(queries, dense, sparse, corpus.spans, r.adaptive)
+    dense = stored(search.vector_search(corpus.dense, queries, pool))
+    sets = stored(search.found_sets(corpus.spans, dense, sparse))
+    signals = fusion.adaptive_weights(queries, dense, sparse, sets, r.adaptive)
     fused = fusion.weighted_rrf(dense, sparse, signals, k=r.rrf_k, top=pool)
     if settings.rerank.enabled:
-        ranked = rerank.calibrated_rerank(rerank.overlap_scores(queries, fused, corpus.spans), settings.rerank)
+        raw = rerank.listwise_scores(queries, fused, corpus.spans, scorer) if scorer else rerank.overlap_scores(queries, fused, sets)
+        ranked = rerank.calibrated_rerank(raw, settings.rerank)
     else:
         ranked = fused.select("query_id", "span_id", F.col("fused").alias("score"), F.lit(0.0).alias("rerank_z"), F.lit(0.0).alias("rerank_raw"), "fused", "rk")
     hits = ranked.filter(F.col("rk") <= k).join(corpus.spans.select("span_id", "text"), "span_id")
     return hits.select("query_id", "rk", "span_id", "score", "fused", "rerank_z", "rerank_raw", "text"), signals
 
 
+Emitter = Callable[[DataFrame], None]
+
+
+def event_rows(event: str, rows: DataFrame, *payload: str) -> DataFrame:
+    """event, query_id, payload: one event a row."""
+    return rows.select(F.lit(event).alias("event"), "query_id", F.to_json(F.struct(*payload)).alias("payload"))
+
+
 Proposer = Callable[[DataFrame, DataFrame, Debate], DataFrame]
 Critic = Callable[[DataFrame, DataFrame, DataFrame, Debate], DataFrame]
 
@@ -69,16 +84,20 @@ def agreed(queries: DataFrame, lines: DataFrame, config: Debate, propose: Propos
     return roles.vote(stored(reduce(DataFrame.unionByName, samples))).select("query_id", F.col("text").alias("proposal"))
 
 
-def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), propose: Proposer = roles.propose, critic: Critic = roles.critique) -> dict[str, DataFrame]:
+def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), propose: Proposer = roles.propose, critic: Critic = roles.critique, events: Emitter | None = None, scorer: Callable[[], rerank.ListScorer] | None = None) -> dict[str, DataFrame]:
     """Tables of a debate on query_id, text: answers (answer, converged, metrics), rounds,
     claims (of the last round, gated), hits, objections.
 
     propose (queries, lines, config) gives query_id, proposal; critic (queries, proposals, lines,
     config) gives query_id, obj_ix, citation, excerpt, rel. An objection that cites no hit of its
-    query does not count."""
+    query does not count. `events` takes rows of event, query_id, payload (JSON) as they come about:
+    retrieval.done a query, debate.round a query and round, debate.done a query."""
     d = settings.debate
-    found, signals = retrieve(corpus, queries, settings)
+    found, signals = retrieve(corpus, queries, settings, scorer=scorer)
     hits, signals = stored(found.select("query_id", "rk", "span_id", "text")), stored(signals)
+    emit = events or (lambda rows: None)
+    n_hits = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("hits")), "query_id", "left").fillna(0, ["hits"])
+    emit(event_rows("retrieval.done", n_hits, "hits"))
     active = queries
     rounds, claims, raised = [], [], []
     before = None
@@ -104,6 +123,10 @@ def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), pro
         state = state.join(last, "query_id", "left") if last is not None else state.withColumn("last", F.lit(None).cast("array<string>"))
         state = stored(state.select("query_id", F.col("raised").isNull().alias("converged"), F.coalesce(F.col("raised") == F.col("last"), F.lit(False)).alias("stalled")))
         rounds.append(said.join(state, "query_id").withColumn("round", F.lit(index)))
+        if events:
+            checks = aligned.groupBy("query_id").agg(F.count("*").alias("claims"), F.count_if("anchored").alias("anchored"))
+            counts = state.join(checks, "query_id", "left").join(objections.groupBy("query_id").agg(F.count("*").alias("objections")), "query_id", "left").fillna(0, ["claims", "anchored", "objections"])
+            emit(event_rows("debate.round", counts.withColumn("round", F.lit(index)), "round", "claims", "anchored", "objections", "converged", "stalled"))
         claims.append(aligned)
         raised.append(objections)
         active = stored(active.join(state.filter("converged or stalled"), "query_id", "left_anti"))
@@ -113,23 +136,22 @@ def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), pro
         if d.gap_retrieval:
             gap = Window.partitionBy("query_id").orderBy("claim_ix")
             open_ = aligned.filter("not anchored").join(active.select("query_id"), "query_id", "left_semi").withColumn("n", F.row_number().over(gap)).filter("n <= 2")
-            asked = stored(open_.select((F.col("query_id") * 2 + F.col("n") - 1).alias("gap_id"), "query_id", F.col("claim").alias("text")))
+            asked = stored(open_.select(F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("n").cast("string")).alias("gap_id"), "query_id", "n", F.col("claim").alias("text")))
             if not asked.isEmpty():
                 more, _ = retrieve(corpus, asked.select(F.col("gap_id").alias("query_id"), "text"), settings)
-                more = more.select(F.col("query_id").alias("gap_id"), "rk", "span_id", "text").join(asked.select("gap_id", "query_id"), "gap_id")
-                once = F.row_number().over(Window.partitionBy("query_id", "span_id").orderBy("gap_id", "rk"))
+                more = more.select(F.col("query_id").alias("gap_id"), "rk", "span_id", "text").join(asked.select("gap_id", "query_id", "n"), "gap_id")
+                once = F.row_number().over(Window.partitionBy("query_id", "span_id").orderBy("n", "rk"))
                 new = more.withColumn("once", once).filter("once = 1").join(hits, ["query_id", "span_id"], "left_anti")
                 ends = hits.groupBy("query_id").agg(F.max("rk").alias("end"))
-                place = F.row_number().over(Window.partitionBy("query_id").orderBy("gap_id", "rk"))
+                place = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "rk"))
                 new = new.withColumn("place", place).join(ends, "query_id").select("query_id", (F.col("end") + F.col("place")).alias("rk"), "span_id", "text")
                 hits = stored(hits.unionByName(new))
     every = stored(reduce(DataFrame.unionByName, rounds))
     final = every.groupBy("query_id").agg(F.max("round").alias("round"), F.max_by("converged", "round").alias("converged"))
     last = reduce(DataFrame.unionByName, claims).join(final.select("query_id", "round"), ["query_id", "round"], "left_semi")
     kept = stored(evidence.gate_apply(last, settings.evidence))
-    spans = every.select(F.concat_ws("-", "query_id", "round").alias("span_id"), F.col("proposal").alias("text"), "query_id", "round")
-    vectors = search.as_arrays(search.hash_vectors(search.features(spans), corpus.dense.idf, corpus.dense.n, corpus.dense.dim), spans, corpus.dense.dim)
-    turns = roles.deltas(vectors.join(spans.select("span_id", "query_id", "round"), "span_id"), lambda a, b: 1 - V.cosine(a, b))
+    spans = every.select(F.concat_ws("\x1f", F.col("query_id").cast("string"), F.col("round").cast("string")).alias("span_id"), F.col("proposal").alias("text"), "query_id", "round")
+    turns = roles.deltas(corpus.dense.embed(spans).join(spans.select("span_id", "query_id", "round"), "span_id"), lambda a, b: 1 - V.cosine(a, b))
     report = evidence.gate_report(last, settings.evidence).select("query_id", "total", "anchored")
     answers = (
         final.join(roles.synthesize(kept), "query_id", "left").join(report, "query_id", "left").join(roles.stability(turns), "query_id", "left")
@@ -140,4 +162,6 @@ def run(corpus: Corpus, queries: DataFrame, settings: Settings = Settings(), pro
         "query_id", F.coalesce("answer", F.lit("")).alias("answer"), "converged", (F.col("round") + 1).alias("rounds"), "stability", F.coalesce("total", F.lit(0)).alias("claims_total"),
         F.coalesce("anchored", F.lit(0)).alias("claims_anchored"), faithful.alias("faithfulness"), F.coalesce("evidence_spans", F.lit(0)).alias("evidence_spans"), "entropy", "margin", "lexical", "w_dense", "w_sparse",
     )
+    answers = stored(answers)
+    emit(event_rows("debate.done", answers, "rounds", "converged", "claims_total", "claims_anchored", "faithfulness", "evidence_spans"))
     return {"answers": answers, "rounds": every, "claims": kept, "hits": hits, "objections": reduce(DataFrame.unionByName, raised)}

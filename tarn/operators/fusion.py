@@ -31,23 +31,23 @@ def margin(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id").agg(F.round(F.coalesce(F.least(F.lit(1.0), F.greatest(lead, F.lit(0.0))), F.lit(0.0)), 6).alias("margin"))
 
 
-def lexical(queries: DataFrame, ranked: DataFrame, spans: DataFrame) -> DataFrame:
-    """query_id, lexical: share of the query's tokens that occur in any of its ranked spans."""
-    wanted = queries.select("query_id", F.explode(T.token_set(F.col("text"))).alias("term"))
-    # joined first: only the spans that were found are tokenised
-    there = ranked.select("query_id", "span_id").join(spans.select("span_id", "text"), "span_id").select("query_id", F.explode(T.token_set(F.col("text"))).alias("term")).distinct()
-    found = wanted.join(there.withColumn("hit", F.lit(1)), ["query_id", "term"], "left")
-    share = found.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("x"))
-    return queries.select("query_id").join(share, "query_id", "left").select("query_id", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("lexical"))
+def lexical(queries: DataFrame, ranked: DataFrame, sets: DataFrame) -> DataFrame:
+    """query_id, lexical: share of the query's tokens that occur in any of its ranked spans. sets: span_id,
+    st (search.found_sets)."""
+    asked = queries.select("query_id", T.token_set(F.col("text")).alias("qt"))
+    pairs = ranked.select("query_id", "span_id").join(asked, "query_id").join(sets, "span_id")
+    there = pairs.select("query_id", F.explode(F.array_intersect("qt", "st")).alias("term")).distinct().groupBy("query_id").agg(F.count("*").alias("c"))
+    share = F.coalesce(F.col("c") / F.nullif(F.size("qt"), F.lit(0)), F.lit(0.0))
+    return asked.join(there, "query_id", "left").select("query_id", F.round(share, 6).alias("lexical"))
 
 
-def adaptive_weights(queries: DataFrame, dense: DataFrame, sparse: DataFrame, spans: DataFrame, adaptive: bool = True) -> DataFrame:
+def adaptive_weights(queries: DataFrame, dense: DataFrame, sparse: DataFrame, sets: DataFrame, adaptive: bool = True) -> DataFrame:
     """query_id, entropy, margin, lexical, w_dense, w_sparse. Entropy is that of the sparse
     scores, margin and the lexical share those of the dense list."""
     if not adaptive:
         zero = {k: F.lit(0.0) for k in ("entropy", "margin", "lexical")}
         return queries.select("query_id").withColumns(zero | {"w_dense": F.lit(0.5), "w_sparse": F.lit(0.5)})
-    joined = lexical(queries, dense, spans).join(entropy(sparse), "query_id", "left").join(margin(dense), "query_id", "left").fillna(0.0)
+    joined = lexical(queries, dense, sets).join(entropy(sparse), "query_id", "left").join(margin(dense), "query_id", "left").fillna(0.0)
     raw = 0.5 + 0.25 * F.col("lexical") - 0.20 * F.col("entropy") - 0.15 * F.col("margin")
     w = six_places(F.greatest(F.lit(0.1), F.least(F.lit(0.9), raw)))
     return joined.select("query_id", "entropy", "margin", "lexical", F.round(1 - w, 6).alias("w_dense"), w.alias("w_sparse"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +21,31 @@ def z_score(value: str, by: str) -> Column:
     return F.round(F.when(spread < 1e-12, 0.0).otherwise(F.coalesce(z, F.lit(0.0))), 9)
 
 
-def overlap_scores(queries: DataFrame, fused: DataFrame, spans: DataFrame) -> DataFrame:
-    """fused with raw: the set cosine of the query's and the span's tokens."""
+def overlap_scores(queries: DataFrame, fused: DataFrame, sets: DataFrame) -> DataFrame:
+    """fused with raw: the set cosine of the query's and the span's tokens. sets: span_id, st (search.found_sets)."""
     asked = queries.select("query_id", T.token_set(F.col("text")).alias("qt"))
-    # joined first: only the spans that were found are tokenised
-    joined = fused.join(asked, "query_id").join(spans.select("span_id", F.col("text").alias("span_text")), "span_id")
-    return joined.withColumn("raw", T.set_cosine(F.col("qt"), T.token_set(F.col("span_text")))).drop("qt", "span_text")
+    joined = fused.join(asked, "query_id").join(sets, "span_id")
+    return joined.withColumn("raw", T.set_cosine(F.col("qt"), F.col("st"))).drop("qt", "st")
+
+
+#: A query's text and the texts of its candidates, in fused order, to one score a candidate.
+ListScorer = Callable[[str, list[str]], Sequence[float]]
+
+
+def listwise_scores(queries: DataFrame, fused: DataFrame, spans: DataFrame, load: Callable[[], ListScorer]) -> DataFrame:
+    """fused with raw: what a scorer says that sees a query's whole list of candidates at once. A list is
+    as long as the candidate pool, never longer; `load` gives the scorer, once a list."""
+    asked = queries.select("query_id", F.col("text").alias("__query"))
+    listed = fused.join(asked, "query_id").join(spans.select("span_id", F.col("text").alias("__span")), "span_id")
+    columns = fused.columns
+
+    def score(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rk")
+        raw = load()(group.column("__query")[0].as_py() or "", [t or "" for t in group.column("__span").to_pylist()])
+        return group.select(columns).append_column("raw", pa.array([float(x) for x in raw], pa.float64()))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fused.schema)
+    return listed.select(*columns, "__query", "__span").groupBy("query_id").applyInArrow(score, f"{kinds}, raw double")
 
 
 def calibrated_rerank(scored: DataFrame, config: Rerank = Rerank()) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,18 +153,46 @@ def hash_vectors(counted: DataFrame, idf: DataFrame | None, unseen: DataFrame |
 
 def as_arrays(sparse: DataFrame, spans: DataFrame, dim: int) -> DataFrame:
     """span_id, v: dense arrays of all spans; a span without features is the zero vector."""
-    entries = sparse.groupBy("span_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "w"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return spans.select("span_id").join(entries, "span_id", "left").select("span_id", dense.alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            v = np.zeros((batch.num_rows, dim))
+            entries = batch.column("e")
+            rows = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(entries), 0).to_numpy(zero_copy_only=False))
+            flat = entries.flatten()
+            v[rows, flat.field("idx").to_numpy()] = flat.field("w").to_numpy()
+            arrays = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), dim).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("span_id"), arrays], ["span_id", "v"])
+
+    entries = sparse.groupBy("span_id").agg(F.collect_list(F.struct("idx", "w")).alias("e"))
+    listed = spans.select("span_id").join(entries, "span_id", "left").select("span_id", "e")
+    return listed.mapInArrow(run, f"span_id {_kind(listed, 'span_id')}, v array<double>")
+
+
+#: Rows of span_id, text to rows of span_id, v, all of one length; rows left out have no vector.
+Embedder = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
 class HashIndex:
+    """Hashed vectors, with the weights that queries are embedded by."""
+
     vectors: DataFrame
     idf: DataFrame
     n: DataFrame
     dim: int
 
+    def embed(self, rows: DataFrame) -> DataFrame:
+        return as_arrays(hash_vectors(features(rows), self.idf, self.n, self.dim), rows, self.dim)
+
+
+@dataclass
+class VectorIndex:
+    """Vectors of a given embedder, of any length."""
+
+    vectors: DataFrame
+    embed: Embedder
+
 
 def build_hash_index(spans: DataFrame, dim: int = 384) -> HashIndex:
     counted = stored(features(spans))  # read for the weights and for the vectors
@@ -170,16 +201,38 @@ def build_hash_index(spans: DataFrame, dim: int = 384) -> HashIndex:
     return HashIndex(as_arrays(hash_vectors(counted, idf, n, dim), spans, dim), idf, n, dim)
 
 
-def embed_queries(index: HashIndex, queries: DataFrame) -> DataFrame:
-    as_spans = queries.select(F.col("query_id").alias("span_id"), "text")
-    sparse = hash_vectors(features(as_spans), index.idf, index.n, index.dim)
-    return as_arrays(sparse, as_spans, index.dim).withColumnRenamed("span_id", "query_id")
+def text_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:
+    """An embedder from a model that maps a list of texts to a matrix. `load` runs once a task and gives the
+    model; texts reach it by Arrow batches (spark.sql.execution.arrow.maxRecordsPerBatch)."""
+
+    def embed(rows: DataFrame) -> DataFrame:
+        def run(batches):
+            model = None
+            for batch in batches:
+                if batch.num_rows:
+                    model = model or load()
+                    v = np.asarray(model([t or "" for t in batch.column("text").to_pylist()]), np.float64)
+                    yield pa.RecordBatch.from_arrays([batch.column("span_id"), pa.array(list(v), pa.list_(pa.float64()))], ["span_id", "v"])
+
+        return rows.select("span_id", "text").mapInArrow(run, f"span_id {_kind(rows, 'span_id')}, v array<double>")
 
+    return embed
 
-def hash_search(index: HashIndex, queries: DataFrame, k: int) -> DataFrame:
+
+def embed_queries(index: HashIndex | VectorIndex, queries: DataFrame) -> DataFrame:
+    return index.embed(queries.select(F.col("query_id").alias("span_id"), "text")).withColumnRenamed("span_id", "query_id")
+
+
+def vector_search(index: HashIndex | VectorIndex, queries: DataFrame, k: int) -> DataFrame:
     return dense_search(index.vectors, embed_queries(index, queries), k)
 
 
+def found_sets(spans: DataFrame, *ranked: DataFrame) -> DataFrame:
+    """span_id, st: the token set of every span that any of the ranked lists holds, made once for each."""
+    ids = reduce(DataFrame.unionByName, (r.select("span_id") for r in ranked)).distinct()
+    return spans.join(ids, "span_id", "left_semi").select("span_id", T.token_set(F.col("text")).alias("st"))
+
+
 def overlap_search(spans: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Top-k by set cosine of the token sets, over an inverted index: query_id, span_id, score, rk."""
     sets = spans.select("span_id", T.token_set(F.col("text")).alias("t"))

@@ -330,3 +330,4 @@ ORACLE: dict[str, str] = {
     "document_titles": "SELECT doc_id, coalesce(nullif(source, ''), 'untitled') AS title FROM documents WHERE coalesce(text, '') <> ''",
     "trace_stream": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS event, count(*) AS n FROM events GROUP BY ALL",
 }
+ORACLE |= {"working_memory_stream": ORACLE["working_memory"], "memory_forget_stream": ORACLE["memory_forget"]}

@@ -18,7 +18,8 @@ from ..functions import vector as V
 from ..operators import ask, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search
 from ..sources import corpora
 from ..sources.scratch import folder, spread, stored
-from ..streaming import trace
+from ..streaming import answers, events, sinks, trace
+from ..streaming import memory as live
 
 SETTINGS = Settings()
 POOL = SETTINGS.retrieval.candidate_pool
@@ -131,7 +132,7 @@ def hash_vectors(spark, sf_dir):
 
 def hash_dense_topk(spark, sf_dir):
     index = search.build_hash_index(spans(spark, sf_dir), SETTINGS.retrieval.dim)
-    return search.hash_search(index, asked(spark, sf_dir), POOL).select("query_id", "span_id", "score", "rk")
+    return search.vector_search(index, asked(spark, sf_dir), POOL).select("query_id", "span_id", "score", "rk")
 
 
 # --- fusion and rerank -----------------------------------------------------
@@ -146,15 +147,20 @@ def margin_signal(spark, sf_dir):
 
 
 def lexical_signal(spark, sf_dir):
-    return fusion.lexical(asked(spark, sf_dir), _overlap(spark, sf_dir), spans(spark, sf_dir))
+    near = stored(_overlap(spark, sf_dir))
+    return fusion.lexical(asked(spark, sf_dir), near, search.found_sets(spans(spark, sf_dir), near))
 
 
 def _pools(spark, sf_dir):
     return stored(_overlap(spark, sf_dir)), stored(_bm25(spark, sf_dir))
 
 
-def _weights(spark, sf_dir, near, sparse):
-    return fusion.adaptive_weights(asked(spark, sf_dir), near, sparse, spans(spark, sf_dir))
+def _sets(spark, sf_dir, near, sparse):
+    return stored(search.found_sets(spans(spark, sf_dir), near, sparse))
+
+
+def _weights(spark, sf_dir, near, sparse, sets=None):
+    return fusion.adaptive_weights(asked(spark, sf_dir), near, sparse, sets or _sets(spark, sf_dir, near, sparse))
 
 
 def adaptive_weights(spark, sf_dir):
@@ -171,7 +177,10 @@ def rrf_adaptive(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return rerank.overlap_scores(asked(spark, sf_dir), stored(rrf_adaptive(spark, sf_dir)), spans(spark, sf_dir))
+    near, sparse = _pools(spark, sf_dir)
+    sets = _sets(spark, sf_dir, near, sparse)
+    fused = stored(fusion.weighted_rrf(near, sparse, _weights(spark, sf_dir, near, sparse, sets), top=POOL))
+    return rerank.overlap_scores(asked(spark, sf_dir), fused, sets)
 
 
 def rerank_overlap(spark, sf_dir):
@@ -536,7 +545,7 @@ def answer_relevancy(spark, sf_dir):
     q, hits, answers = _case(spark, sf_dir)
     index = search.build_hash_index(spans(spark, sf_dir), SETTINGS.retrieval.dim)
     said = evaluate.answer_sentences(answers).select(F.concat_ws("-", "query_id", "ix").alias("span_id"), "query_id", F.col("sentence").alias("text"))
-    v = search.as_arrays(search.hash_vectors(search.features(said), index.idf, index.n, index.dim), said, index.dim).join(said.select("span_id", "query_id"), "span_id")
+    v = index.embed(said).join(said.select("span_id", "query_id"), "span_id")
     return evaluate.answer_relevancy(search.embed_queries(index, q), v, answers)
 
 
@@ -586,14 +595,60 @@ def document_titles(spark, sf_dir):
 
 
 def trace_stream(spark, sf_dir):
+    """Batches update the windows that they touch; the last value of a window counts."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    base = _files(spark, events, "parquet")
+    base = _files(spark, events.repartitionByRange(3, "ts"), "parquet")
     counts = trace.stream(spark, base, events.schema)
-    # all windows are rewritten by each batch, as files; the last batch has the final counts
-    live = counts.writeStream.outputMode("complete").foreachBatch(lambda rows, i: rows.write.parquet(f"{base}-out/{i:06d}")).trigger(availableNow=True)
-    query = live.option("checkpointLocation", f"{base}-state").start()
-    query.awaitTermination()
-    return spark.read.schema(counts.schema).parquet(f"{base}-out/{query.lastProgress.batchId:06d}")
+    sinks.run_available(counts, sinks.batches_to(f"{base}-out"), f"{base}-state")
+    found = sinks.read_batches(spark, f"{base}-out", counts.schema)
+    return found.groupBy("start", "event").agg(F.max_by("n", "batch").alias("n"))
+
+
+def working_memory_stream(spark, sf_dir):
+    """Turns arrive in two goes, the later turns first; the second go starts from the checkpoint of the first."""
+    turns, half = _turns(spark, sf_dir), F.pmod("seq", F.lit(2)) == 0
+    base = f"{folder(spark)}/turns-{uuid.uuid4().hex}"
+    live.with_state(spark)
+    for go in (~half, half):
+        turns.filter(go).write.mode("append").parquet(base)
+        windows = live.working_window(spark.readStream.schema(turns.schema).parquet(base))
+        sinks.run_available(windows, sinks.batches_to(f"{base}-out"), f"{base}-state")
+    found = live.latest(sinks.read_batches(spark, f"{base}-out", windows.schema))
+    return found.select("session_id", "slot", "seq", F.md5("text").alias("md5"))
+
+
+def memory_forget_stream(spark, sf_dir):
+    """What the state of the stream still holds at the last watermark. Sessions are users, events arrive in order of
+    time, in three batches."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("episode_id"), (F.col("value") / 100).alias("salience"), F.col("ts").cast("timestamp").alias("created"))
+    base = _files(spark, events.repartitionByRange(3, "created"), "parquet")
+    live.with_state(spark)
+    episodes = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(base)
+    sinks.run_available(live.forgetting(episodes), sinks.batches_to(f"{base}-out"), f"{base}-state")
+    now = events.agg(F.max("created").alias("now"))
+    return memory.forget(live.remembered_state(spark, f"{base}-state").crossJoin(F.broadcast(now)), F.col("now")).select("episode_id", "strength")  # one row
+
+
+def _answered(spark, sf_dir, files=3):
+    corpus, base = debate.build(spans(spark, sf_dir), SETTINGS), f"{folder(spark)}/asked-{uuid.uuid4().hex}"
+    asked(spark, sf_dir).repartition(files, "query_id").write.parquet(base)
+    queries = spark.readStream.schema("query_id long, text string").option("maxFilesPerTrigger", 1).parquet(base)
+    answers.answer_stream(corpus, queries, f"{base}-out", f"{base}-state", SETTINGS)
+    return spark.read.schema("query_id long, seq int, kind string, payload string, batch long").parquet(f"{base}-out")
+
+
+def answer_stream(spark, sf_dir):
+    """Messages of all queries, which arrive in files, a batch each."""
+    return _answered(spark, sf_dir).select("query_id", "seq", "kind", F.md5("payload").alias("md5"))
+
+
+def debate_events(spark, sf_dir):
+    """Events of a debate over all queries, by name, as an observer has counted them."""
+    log = events.EventLog(f"{folder(spark)}/events-{uuid.uuid4().hex}")
+    debate.run(debate.build(spans(spark, sf_dir), SETTINGS), asked(spark, sf_dir), SETTINGS, events=log)
+    count = sinks.batches_to(f"{log.path}-out", lambda rows: rows.groupBy("event").agg(F.count("*").alias("n")))
+    events.observe(log.stream(spark), {"*": count}, f"{log.path}-ledger", f"{log.path}-state")
+    return spark.read.schema("event string, n long, batch long").parquet(f"{log.path}-out").groupBy("event").agg(F.sum("n").alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -605,6 +660,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         critique, revise, synthesize, parse_objections, filter_valid, parse_verdicts, stalled_rounds, deltas, delta_stability, self_consistency_vote, debate_full, ask_all, health, route_queries,
         calculator, unit_convert, tool_answers, tool_trace, final_answers, working_memory, memory_recall, memory_forget, memory_distill, semantic_recall, memory_stats, faithfulness, context_precision,
         context_recall, keyword_recall, answer_relevancy, benchmark_cases, benchmark_report, trace_tail, trace_by_event, json_sink, read_text, read_jsonl, read_json,
-        document_titles, trace_stream,
+        document_titles, trace_stream, working_memory_stream, memory_forget_stream, answer_stream, debate_events,
     )
 }

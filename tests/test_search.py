@@ -60,7 +60,7 @@ def test_hash_search(spans, queries):
     df = Counter(f for t in TEXTS.values() for f in set(tokens(t)) | {f"{a}#{b}" for a, b in zip(tokens(t), tokens(t)[1:], strict=False)})
     idf = {f: math.log(1 + (len(TEXTS) - d + 0.5) / (d + 0.5)) for f, d in df.items()}
     index = search.build_hash_index(spans, 64)
-    got = {(r.query_id, r.span_id): r.score for r in search.hash_search(index, queries, 5).collect()}
+    got = {(r.query_id, r.span_id): r.score for r in search.vector_search(index, queries, 5).collect()}
     want = {(q, s): float(embed(a, idf, len(TEXTS), 64) @ embed(b, idf, len(TEXTS), 64)) for q, a in QUERIES.items() for s, b in TEXTS.items()}
     assert got == pytest.approx(want, abs=2e-6)
     assert all(abs(r.n - 1) < 1e-9 or r.n == 0 for r in index.vectors.select(V.norm("v").alias("n")).collect())
