@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -48,6 +49,20 @@ def listwise_scores(queries: DataFrame, fused: DataFrame, spans: DataFrame, load
     return listed.select(*columns, "__query", "__span").groupBy("query_id").applyInArrow(score, f"{kinds}, raw double")
 
 
+def by_scarcity() -> ListScorer:
+    """A list-wise scorer: the share of the query's words that a text holds, a word counting the more the
+    fewer of the candidates hold it. Words are runs of letters and digits (T.ASCII_WORD)."""
+
+    def score(query: str, texts: list[str]) -> list[float]:
+        word = re.compile(T.ASCII_WORD)
+        asked, held = set(word.findall(query.lower())), [set(word.findall(t.lower())) for t in texts]
+        weight = {w: 1 / n for w in asked if (n := sum(w in h for h in held))}
+        whole = sum(weight[w] for w in sorted(weight))
+        return [round(sum(weight[w] for w in sorted(weight) if w in h) / whole, 9) if whole else 0.0 for h in held]
+
+    return score
+
+
 def calibrated_rerank(scored: DataFrame, config: Rerank = Rerank()) -> DataFrame:
     """From query_id, span_id, fused, rk, raw: query_id, span_id, score, rerank_z, rerank_raw, rk.
 

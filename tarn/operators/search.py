@@ -9,7 +9,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -55,7 +55,11 @@ def bm25_scores(index: BM25, queries: DataFrame) -> DataFrame:
     """query_id, span_id, score (6 places) for every span that shares a term with the query."""
     wanted = queries.select("query_id", F.explode(T.token_set(F.col("text"))).alias("term"))
     weighted = wanted.join(index.terms, "term")
-    joined = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    return bm25_sum(index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats.select("avgdl"))))  # one row
+
+
+def bm25_sum(joined: DataFrame) -> DataFrame:
+    """query_id, span_id, score (6 places) from a row a shared term: query_id, span_id, idf, tf, dl, avgdl."""
     avg = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
     dl = F.greatest(F.col("dl"), F.lit(1))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * dl / avg))
@@ -66,31 +70,42 @@ def bm25_search(index: BM25, queries: DataFrame, k: int) -> DataFrame:
     return top_k(bm25_scores(index, queries).filter("score > 0"), k)
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
+def _blocks(rows: DataFrame, size: int, by: str | None = None) -> DataFrame:
     """Rows of (id, v) packed into blocks of at most `size`: the ids, and a matrix of float64 with
-    rows of length 1. Rows without a vector go."""
+    rows of length 1. Rows without a vector go. With `by` a block holds rows of one value of it."""
+
+    def cuts(batch):
+        ends = {*range(0, batch.num_rows, size), batch.num_rows}
+        if by:
+            values = batch.column(by)
+            ends |= {i for i in range(1, len(values)) if values[i] != values[i - 1]}
+        ends = sorted(ends)
+        return zip(ends[:-1], ends[1:], strict=True)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            for at, end in cuts(batch):
+                part = batch.slice(at, end - at)
                 v = part.column("v")
                 m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
                 n = np.sqrt((m * m).sum(axis=1, keepdims=True))
                 m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
                 ids = part.column("id")
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([m.tobytes()], pa.binary())], ["ids", "m"])
+                arrays = [pa.ListArray.from_arrays([0, len(ids)], ids), pa.array([m.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays + ([part.column(by)[:1]] if by else []), ["ids", "m"] + ([by] if by else []))
 
-    return rows.filter("v is not null").mapInArrow(run, f"ids array<{_kind(rows, 'id')}>, m binary")
+    own = rows.filter("v is not null")
+    own = own.sortWithinPartitions(by) if by else own
+    return own.mapInArrow(run, f"ids array<{_kind(rows, 'id')}>, m binary" + (f", {by} {_kind(rows, by)}" if by else ""))
 
 
 def _kind(rows: DataFrame, column: str) -> str:
     return rows.schema[column].dataType.simpleString()
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, *, places: int = 6) -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int, *, places: int = 6, by: str | None = None) -> DataFrame:
     """Exact cosine top-k: query_id, span_id, score, rk. vectors: span_id, v; queries: query_id, v.
-    Ids are of any type with an order.
+    Ids are of any type with an order. With `by`, a column of both, a query meets only vectors of its own value.
 
     The stated queries meet all vectors block by block; a block pair yields at most k rows a
     query, so nothing but blocks and candidates moves. The query blocks are broadcast up to
@@ -111,11 +126,12 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, *, places: int
                 q, r = q[first], r[first]
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(r)), pa.array(c[q, r])], ["query_id", "span_id", "score"])
 
-    rows = _blocks(vectors.select(F.col("span_id").alias("id"), "v"), ROW_BLOCK).toDF("ri", "rm")
-    asked = stored(_blocks(queries.select(F.col("query_id").alias("id"), "v"), QUERY_BLOCK).toDF("qi", "qm"))
+    also = [by] if by else []
+    rows = _blocks(vectors.select(F.col("span_id").alias("id"), "v", *also), ROW_BLOCK, by).toDF("ri", "rm", *also)
+    asked = stored(_blocks(queries.select(F.col("query_id").alias("id"), "v", *also), QUERY_BLOCK, by).toDF("qi", "qm", *also))
     size = asked.agg(F.sum(F.length("qm"))).first()[0] or 0
     # blocks, not rows
-    pairs = rows.crossJoin(F.broadcast(asked)) if size <= BROADCAST_BYTES else stored(rows).hint("shuffle_replicate_nl").crossJoin(asked)
+    pairs = rows.join(asked, by) if by else rows.crossJoin(F.broadcast(asked)) if size <= BROADCAST_BYTES else stored(rows).hint("shuffle_replicate_nl").crossJoin(asked)
     return top_k(pairs.mapInArrow(run, f"query_id {_kind(queries, 'query_id')}, span_id {_kind(vectors, 'span_id')}, score double"), k)
 
 
@@ -133,6 +149,11 @@ def feature_idf(counted: DataFrame, spans: DataFrame) -> DataFrame:
     return df.select("feature", V.idf(F.col("n"), F.col("df")).alias("idf"))
 
 
+def unseen_weight() -> Column:
+    """Weight of a feature that none of n spans has."""
+    return F.log(1 + (F.col("n") + 0.5) / 0.5)
+
+
 def hash_vectors(counted: DataFrame, idf: DataFrame | None, unseen: DataFrame | None, dim: int) -> DataFrame:
     """span_id, idx, w: signed feature hashing, length 1 (sparse form).
 
@@ -141,8 +162,12 @@ def hash_vectors(counted: DataFrame, idf: DataFrame | None, unseen: DataFrame |
     if idf is None:
         weighted = counted.withColumn("idf", F.lit(1.0))
     else:
-        blank = F.log(1 + (F.col("n") + 0.5) / 0.5)
-        weighted = counted.join(idf, "feature", "left").crossJoin(F.broadcast(unseen)).withColumn("idf", F.coalesce("idf", blank))
+        weighted = counted.join(idf, "feature", "left").crossJoin(F.broadcast(unseen)).withColumn("idf", F.coalesce("idf", unseen_weight()))
+    return hashed(weighted, dim)
+
+
+def hashed(weighted: DataFrame, dim: int) -> DataFrame:
+    """span_id, idx, w: unit vectors (sparse form) of span_id, feature, tf, idf."""
     feature = F.col("feature").cast("binary")
     sign = F.when(F.crc32(F.concat(F.col("feature"), F.lit("|s")).cast("binary")) % 2 == 0, 1.0).otherwise(-1.0)
     hashed = weighted.select("span_id", (F.crc32(feature) % dim).cast("int").alias("idx"), (sign * F.col("idf") * (1 + F.log(F.col("tf").cast("double")))).alias("w"))

@@ -330,4 +330,52 @@ ORACLE: dict[str, str] = {
     "document_titles": "SELECT doc_id, coalesce(nullif(source, ''), 'untitled') AS title FROM documents WHERE coalesce(text, '') <> ''",
     "trace_stream": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS event, count(*) AS n FROM events GROUP BY ALL",
 }
-ORACLE |= {"working_memory_stream": ORACLE["working_memory"], "memory_forget_stream": ORACLE["memory_forget"]}
+
+#: Cosine of the given vectors, by id, in place of the overlap.
+GIVEN_NEAR = f"""sets AS (SELECT span_id, {tset('text')} AS st FROM spans), qsets AS (SELECT query_id, {tset('text')} AS qt FROM asked), {VECTORS},
+cosines AS (SELECT query_id, span_id, round(list_cosine_similarity(q.e, s.e), 6) + 0.0 AS score FROM asked JOIN v q ON q.vec_id = query_id, spans JOIN v s ON s.vec_id = span_id),
+near AS MATERIALIZED (SELECT query_id, span_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, span_id) AS rk FROM cosines QUALIFY rk <= 40)"""
+GIVEN = f"{SPARSE}, {GIVEN_NEAR}, {SIGNALS}, {rrf('w_dense', 'w_sparse', 'JOIN weights USING (query_id)')}"
+#: Words of a query by how few candidates hold them.
+SCARCE = f"""heldwords AS (SELECT query_id, span_id, unnest(list_intersect(qt, st)) AS w FROM fused JOIN qsets USING (query_id) JOIN sets USING (span_id)),
+scarce AS (SELECT query_id, w, 1 / count(*) AS x FROM heldwords GROUP BY ALL), whole AS (SELECT query_id, sum(x) AS total FROM scarce GROUP BY query_id),
+shares AS (SELECT query_id, span_id, round(sum(x) / any_value(total), 9) AS raw FROM heldwords JOIN scarce USING (query_id, w) JOIN whole USING (query_id) GROUP BY ALL),
+scored AS (SELECT f.*, coalesce(raw, 0) AS raw FROM fused f LEFT JOIN shares USING (query_id, span_id)),
+{RERANKED[RERANKED.index("zs AS ("):]}"""
+
+#: Conversations as cases of their own: counts and weights by case.
+def case_hashed(name: str) -> str:
+    return f"""{name}_k AS (SELECT id, feature, tf, case_id FROM {name}_c JOIN {name}_of USING (id)),
+{name}_f AS (SELECT feature, {crc('feature')} % 384 AS idx, CASE WHEN {crc("feature || '|s'")} % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (SELECT DISTINCT feature FROM {name}_c)),
+{name}_s AS (SELECT id, idx::INT AS idx, sum(sign * coalesce(idf, ln(1 + (n + 0.5) / 0.5), 1) * (1 + ln(tf))) AS w FROM {name}_k JOIN {name}_f USING (feature) LEFT JOIN weight USING (case_id, feature) LEFT JOIN stats USING (case_id) GROUP BY ALL),
+{name}_v AS MATERIALIZED (SELECT id, idx, coalesce(w / nullif(sqrt(sum(w * w) OVER (PARTITION BY id)), 0), w) AS w FROM {name}_s)"""
+
+
+CASE_RANKED = f"""spans AS (SELECT conv_id AS case_id, conv_id * 1000 + turn AS span_id, coalesce(text, '') AS text FROM conversations WHERE turn > 0),
+asked AS (SELECT conv_id AS case_id, conv_id AS query_id, coalesce(text, '') AS text FROM conversations WHERE turn = 0),
+words AS (SELECT case_id, span_id, {tok('text')} AS t FROM spans),
+stats AS (SELECT case_id, count(*) AS n, avg(len(t)) AS avgdl FROM words GROUP BY case_id),
+post AS (SELECT case_id, span_id, dl, term, count(*) AS tf FROM (SELECT case_id, span_id, len(t) AS dl, unnest(t) AS term FROM words) GROUP BY ALL),
+terms AS (SELECT case_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT case_id, term, count(*) AS df FROM post GROUP BY ALL) JOIN stats USING (case_id)),
+qterms AS (SELECT case_id, query_id, unnest({tset('text')}) AS term FROM asked),
+bm AS (SELECT query_id, span_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / avgdl))), 6) AS score
+       FROM qterms JOIN terms USING (case_id, term) JOIN post USING (case_id, term) JOIN stats USING (case_id) GROUP BY ALL),
+sparse AS (SELECT query_id, span_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, span_id) AS rk FROM bm WHERE score > 0 QUALIFY rk <= 40),
+sets AS (SELECT span_id, {tset('text')} AS st FROM spans), qsets AS (SELECT query_id, {tset('text')} AS qt FROM asked),
+span_of AS (SELECT span_id AS id, case_id FROM spans), ask_of AS (SELECT query_id AS id, case_id FROM asked),
+{counted('span', 'SELECT span_id AS id, text FROM spans')}, {counted('ask', 'SELECT query_id AS id, text FROM asked')},
+weight AS (SELECT case_id, feature, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT case_id, feature, count(*) AS df FROM span_c JOIN span_of USING (id) GROUP BY ALL) JOIN stats USING (case_id)),
+{case_hashed('span')}, {case_hashed('ask')},
+dots AS (SELECT a.id AS query_id, s.id AS span_id, sum(a.w * s.w) AS x FROM ask_v a JOIN span_v s USING (idx) GROUP BY ALL),
+cosines AS (SELECT query_id, span_id, round(coalesce(x, 0), 6) + 0.0 AS score FROM (SELECT query_id, span_id FROM asked JOIN spans USING (case_id)) LEFT JOIN dots USING (query_id, span_id)),
+near AS MATERIALIZED (SELECT query_id, span_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, span_id) AS rk FROM cosines QUALIFY rk <= 40),
+{SIGNALS}, {rrf('w_dense', 'w_sparse', 'JOIN weights USING (query_id)')}, {RERANKED}"""
+
+ORACLE |= {
+    "working_memory_stream": ORACLE["working_memory"],
+    "memory_forget_stream": ORACLE["memory_forget"],
+    "retrieve_given_vectors": f"WITH {GIVEN}, {RERANKED} SELECT query_id, rk::INT AS rk, span_id, score, fused, rerank_z, rerank_raw FROM ranked",
+    "retrieve_listwise": f"WITH {GIVEN}, {SCARCE} SELECT query_id, rk::INT AS rk, span_id, score, fused, rerank_z, rerank_raw FROM ranked",
+    "retrieve_isolated": f"WITH {CASE_RANKED} SELECT query_id // 1 AS case_id, query_id, rk::INT AS rk, span_id, score, fused, rerank_z, rerank_raw FROM ranked",
+    "benchmark_isolated": f"WITH {CASES.replace(RANKED, CASE_RANKED)} SELECT query_id, faithfulness, context_precision, context_recall, keyword_recall, passed FROM cases",
+}

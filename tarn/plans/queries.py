@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Memory, Settings
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import ask, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search
+from ..operators import ask, cases, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search
 from ..sources import corpora
 from ..sources.scratch import folder, spread, stored
 from ..streaming import answers, events, sinks, trace
@@ -207,6 +207,40 @@ def retrieve(spark, sf_dir):
     return hits.drop("text")
 
 
+def _given(spark, sf_dir):
+    """An embedder that looks the given vectors up by id; what has none has no vector."""
+    return lambda rows: rows.select("span_id").join(_vectors(spark, sf_dir), "span_id")
+
+
+def retrieve_given_vectors(spark, sf_dir):
+    corpus = debate.build(spans(spark, sf_dir), SETTINGS, embed=_given(spark, sf_dir))
+    return debate.retrieve(corpus, asked(spark, sf_dir), SETTINGS)[0].drop("text")
+
+
+def retrieve_listwise(spark, sf_dir):
+    """The given vectors again, reranked by a scorer that sees a query's whole list."""
+    corpus = debate.build(spans(spark, sf_dir), SETTINGS, embed=_given(spark, sf_dir))
+    return debate.retrieve(corpus, asked(spark, sf_dir), SETTINGS, scorer=rerank.by_scarcity)[0].drop("text")
+
+
+def _isolated(spark, sf_dir):
+    """Each conversation is a case: what is said after its first turn is the corpus, the first turn is asked."""
+    talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("case_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    queries = talk.filter("turn = 0").select("case_id", F.col("case_id").alias("query_id"), "text")
+    own = talk.filter("turn > 0").select("case_id", (F.col("case_id") * 1000 + F.col("turn")).alias("span_id"), "text")
+    return queries, cases.retrieve(cases.build(spread(own), SETTINGS), queries, SETTINGS)
+
+
+def retrieve_isolated(spark, sf_dir):
+    return _isolated(spark, sf_dir)[1].drop("text")
+
+
+def benchmark_isolated(spark, sf_dir):
+    queries, hits = _isolated(spark, sf_dir)
+    queries, hits = queries.drop("case_id"), stored(hits.select("query_id", "rk", "span_id", "text"))
+    return evaluate.cases(_measured(queries, hits, _answers(queries, hits)))
+
+
 # --- evidence and roles ----------------------------------------------------
 
 
@@ -492,11 +526,16 @@ def memory_stats(spark, sf_dir):
 
 
 def _case(spark, sf_dir):
-    hits, lines, said = _first_round(spark, sf_dir)
+    q, hits = asked(spark, sf_dir), stored(_hits(spark, sf_dir).select("query_id", "rk", "span_id", "text"))
+    return q, hits, _answers(q, hits)
+
+
+def _answers(q, hits):
+    """query_id, answer of one round over the hits."""
+    said = stored(roles.propose(q, stored(roles.bodies(hits)), SETTINGS.debate))
     aligned = evidence.align(evidence.extract_claims(said.withColumnRenamed("proposal", "text")), hits, SETTINGS.evidence)
-    q = asked(spark, sf_dir)
-    answers = q.select("query_id").join(roles.synthesize(evidence.gate_apply(aligned)), "query_id", "left").select("query_id", F.coalesce("answer", F.lit("")).alias("answer"))
-    return q, hits, stored(answers)
+    answers = q.select("query_id").join(roles.synthesize(evidence.gate_apply(aligned)), "query_id", "left")
+    return stored(answers.select("query_id", F.coalesce("answer", F.lit("")).alias("answer")))
 
 
 def _gold(q):
@@ -528,7 +567,10 @@ def keyword_recall(spark, sf_dir):
 
 
 def _metrics(spark, sf_dir):
-    q, hits, answers = _case(spark, sf_dir)
+    return _measured(*_case(spark, sf_dir))
+
+
+def _measured(q, hits, answers):
     m = evaluate.faithfulness(answers, hits).join(evaluate.context_precision(hits, _gold(q)), "query_id")
     return stored(m.join(evaluate.context_recall(hits, _gold(q), q), "query_id").join(evaluate.keyword_recall(answers, _keywords(q)), "query_id"))
 
@@ -660,6 +702,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         critique, revise, synthesize, parse_objections, filter_valid, parse_verdicts, stalled_rounds, deltas, delta_stability, self_consistency_vote, debate_full, ask_all, health, route_queries,
         calculator, unit_convert, tool_answers, tool_trace, final_answers, working_memory, memory_recall, memory_forget, memory_distill, semantic_recall, memory_stats, faithfulness, context_precision,
         context_recall, keyword_recall, answer_relevancy, benchmark_cases, benchmark_report, trace_tail, trace_by_event, json_sink, read_text, read_jsonl, read_json,
-        document_titles, trace_stream, working_memory_stream, memory_forget_stream, answer_stream, debate_events,
+        retrieve_given_vectors, retrieve_listwise, retrieve_isolated, benchmark_isolated, document_titles, trace_stream, working_memory_stream, memory_forget_stream, answer_stream, debate_events,
     )
 }
