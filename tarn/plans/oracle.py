@@ -168,7 +168,7 @@ aligned AS MATERIALIZED (SELECT c.query_id, c.claim_ix, c.claim, CASE WHEN coale
 ALIGNED = f"{CLAIMS}, {BEST}"
 #: What assistants claim against what users of the same conversation say.
 TALK = f"""told AS (SELECT conv_id AS query_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-hits AS (SELECT conv_id AS query_id, turn AS rk, turn AS span_id, {tset('text')} AS st FROM conversations WHERE role = 'user'),
+hits AS (SELECT conv_id AS query_id, turn AS rk, turn AS span_id, {tset('text')} AS st FROM conversations WHERE role = 'user' OR conv_id % 2 = 0),
 claim_lists AS (SELECT query_id, list_filter({sents('text')}, lambda s: {is_claim('s')}) AS cs FROM told),
 claims AS MATERIALIZED (SELECT query_id, unnest(cs) AS claim, generate_subscripts(cs, 1) - 1 AS claim_ix FROM claim_lists), {BEST}"""
 CRITIC = f"""{CLAIMS},

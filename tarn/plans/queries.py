@@ -283,10 +283,11 @@ def align_claims(spark, sf_dir):
 
 
 def _talk_aligned(spark, sf_dir):
-    """What assistants claim, against what users of the same conversation say."""
+    """What assistants claim, against what users of the same conversation say; in every other conversation
+    the assistant's own turns count as evidence too, so that some gates pass and some do not."""
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), "turn", "role", "text")
     told = c.filter("role = 'assistant'").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    hits = c.filter("role = 'user'").select("query_id", F.col("turn").alias("rk"), F.col("turn").alias("span_id"), "text")
+    hits = c.filter("role = 'user' or query_id % 2 = 0").select("query_id", F.col("turn").alias("rk"), F.col("turn").alias("span_id"), "text")
     return evidence.align(evidence.extract_claims(told.select("query_id", F.array_join("x.text", "\n").alias("text"))), hits, SETTINGS.evidence)
 
 
