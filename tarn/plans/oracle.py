@@ -374,6 +374,10 @@ near AS MATERIALIZED (SELECT query_id, span_id, score, row_number() OVER (PARTIT
 ORACLE |= {
     "working_memory_stream": ORACLE["working_memory"],
     "memory_forget_stream": ORACLE["memory_forget"],
+    "bm25_blockmax": ORACLE["bm25_topk"],
+    "bm25_two_batches": ORACLE["bm25_topk"],
+    "retrieve_two_batches": ORACLE["retrieve"],
+    "catalog_lookup": "SELECT doc_id AS span_id, md5(coalesce(text, '')) AS md5 FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
     "retrieve_given_vectors": f"WITH {GIVEN}, {RERANKED} SELECT query_id, rk::INT AS rk, span_id, score, fused, rerank_z, rerank_raw FROM ranked",
     "retrieve_listwise": f"WITH {GIVEN}, {SCARCE} SELECT query_id, rk::INT AS rk, span_id, score, fused, rerank_z, rerank_raw FROM ranked",
     "retrieve_isolated": f"WITH {CASE_RANKED} SELECT query_id // 1 AS case_id, query_id, rk::INT AS rk, span_id, score, fused, rerank_z, rerank_raw FROM ranked",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Memory, Settings
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import ask, cases, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search
+from ..operators import ask, blockmax, cases, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search, segments
 from ..sources import corpora
 from ..sources.scratch import folder, spread, stored
 from ..streaming import answers, events, sinks, trace
@@ -100,6 +100,33 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir).select("query_id", "span_id", "score", "rk")
 
 
+def bm25_blockmax(spark, sf_dir):
+    index = search.build_bm25(spans(spark, sf_dir))
+    return blockmax.search_blocks(blockmax.build(index), asked(spark, sf_dir), POOL)[0].select("query_id", "span_id", "score", "rk")
+
+
+def _segments(spark, sf_dir):
+    """The corpus in two batches."""
+    index, rows = segments.Segments(spark, f"{folder(spark)}/segments-{uuid.uuid4().hex}"), spans(spark, sf_dir)
+    for part in (0, 1):
+        index.append(rows.filter(F.pmod("span_id", F.lit(2)) == part))
+    return index
+
+
+def bm25_two_batches(spark, sf_dir):
+    return search.bm25_search(_segments(spark, sf_dir).bm25(), asked(spark, sf_dir), POOL).select("query_id", "span_id", "score", "rk")
+
+
+def retrieve_two_batches(spark, sf_dir):
+    return debate.retrieve(_segments(spark, sf_dir).open(SETTINGS), asked(spark, sf_dir), SETTINGS)[0].drop("text")
+
+
+def catalog_lookup(spark, sf_dir):
+    """Spans by id: those that the queries of the batch name by number."""
+    found = _segments(spark, sf_dir).find(asked(spark, sf_dir).select(F.col("query_id").alias("span_id")))
+    return found.select("span_id", F.md5("text").alias("md5"))
+
+
 def overlap_topk(spark, sf_dir):
     return _overlap(spark, sf_dir).select("query_id", "span_id", "score", "rk")
 
@@ -703,6 +730,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         critique, revise, synthesize, parse_objections, filter_valid, parse_verdicts, stalled_rounds, deltas, delta_stability, self_consistency_vote, debate_full, ask_all, health, route_queries,
         calculator, unit_convert, tool_answers, tool_trace, final_answers, working_memory, memory_recall, memory_forget, memory_distill, semantic_recall, memory_stats, faithfulness, context_precision,
         context_recall, keyword_recall, answer_relevancy, benchmark_cases, benchmark_report, trace_tail, trace_by_event, json_sink, read_text, read_jsonl, read_json,
-        retrieve_given_vectors, retrieve_listwise, retrieve_isolated, benchmark_isolated, document_titles, trace_stream, working_memory_stream, memory_forget_stream, answer_stream, debate_events,
+        bm25_blockmax, bm25_two_batches, retrieve_two_batches, catalog_lookup, retrieve_given_vectors, retrieve_listwise, retrieve_isolated, benchmark_isolated, document_titles, trace_stream, working_memory_stream, memory_forget_stream, answer_stream, debate_events,
     )
 }
