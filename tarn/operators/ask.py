@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..sources.scratch import stored
-from . import debate, reason
+from . import debate, memory, reason
 
 
 def ask(corpus: debate.Corpus, queries: DataFrame, now: Column, settings: Settings = Settings()) -> dict[str, DataFrame]:
@@ -28,8 +28,30 @@ def ask(corpus: debate.Corpus, queries: DataFrame, now: Column, settings: Settin
     return {"answers": answers, "turns": turns}
 
 
-def health(corpus: debate.Corpus, settings: Settings = Settings()) -> DataFrame:
-    """One row: the state of a corpus and the settings that results depend on."""
+def remember(turns: DataFrame, path: str, session: str = "0") -> DataFrame:
+    """Append turns (query_id, text) of ask() to the memory under `path` and return all that it holds: session_id,
+    seq, text, created, salience. seq goes on from the last turn of the session, in order of query_id."""
+    spark, schema = turns.sparkSession, "session_id string, seq long, text string, created timestamp, salience double"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = spark.read.schema(schema).parquet(path) if at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(at) else spark.createDataFrame([], schema)
+    last = held.filter(F.col("session_id") == session).agg(F.max("seq")).first()[0]
+    seq = F.row_number().over(Window.orderBy("query_id")) + F.lit(-1 if last is None else last)  # one batch of queries
+    new = memory.remembered(turns.select("query_id", "text")).select(F.lit(session).alias("session_id"), seq.cast("long").alias("seq"), "text", F.current_timestamp().alias("created"), F.lit(1.0).alias("salience"))
+    stored(new).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def health(corpus: debate.Corpus, settings: Settings = Settings(), memories: DataFrame | None = None) -> DataFrame:
+    """One row: the state of a corpus and the settings that results depend on; with `memories` (session_id, working, episodic,
+    semantic: memory.stats) also the sizes of the memory."""
+    state = _state(corpus, settings)
+    if memories is None:
+        return state
+    sizes = [F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_memory") for c in ("working", "episodic", "semantic")]
+    return state.crossJoin(memories.agg(*sizes))  # one row each
+
+
+def _state(corpus: debate.Corpus, settings: Settings) -> DataFrame:
     return corpus.spans.agg(F.count("*").alias("spans")).crossJoin(corpus.bm25.terms.agg(F.count("*").alias("terms"))).select(  # one row each
         F.lit("ok").alias("status"), "spans", "terms", F.lit(settings.retrieval.dim).alias("dim"), F.lit(settings.rerank.enabled).alias("rerank"), F.lit(settings.debate.max_rounds).alias("max_rounds")
     )

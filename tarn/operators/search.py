@@ -103,13 +103,8 @@ def _kind(rows: DataFrame, column: str) -> str:
     return rows.schema[column].dataType.simpleString()
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int, *, places: int = 6, by: str | None = None) -> DataFrame:
-    """Exact cosine top-k: query_id, span_id, score, rk. vectors: span_id, v; queries: query_id, v.
-    Ids are of any type with an order. With `by`, a column of both, a query meets only vectors of its own value.
-
-    The stated queries meet all vectors block by block; a block pair yields at most k rows a
-    query, so nothing but blocks and candidates moves. The query blocks are broadcast up to
-    BROADCAST_BYTES; beyond, partitions of both sides meet in tasks of their own."""
+def _best_of_pairs(k: int, places: int):
+    """For pairs of blocks (qi, qm, ri, rm): the k best rows of each query, query_id, span_id, score."""
 
     def run(batches):
         for batch in batches:
@@ -126,13 +121,24 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, *, places: int
                 q, r = q[first], r[first]
                 yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(r)), pa.array(c[q, r])], ["query_id", "span_id", "score"])
 
+    return run
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int, *, places: int = 6, by: str | None = None) -> DataFrame:
+    """Exact cosine top-k: query_id, span_id, score, rk. vectors: span_id, v; queries: query_id, v.
+    Ids are of any type with an order. With `by`, a column of both, a query meets only vectors of its own value.
+
+    The stated queries meet all vectors block by block; a block pair yields at most k rows a
+    query, so nothing but blocks and candidates moves. The query blocks are broadcast up to
+    BROADCAST_BYTES; beyond, partitions of both sides meet in tasks of their own."""
+
     also = [by] if by else []
     rows = _blocks(vectors.select(F.col("span_id").alias("id"), "v", *also), ROW_BLOCK, by).toDF("ri", "rm", *also)
     asked = stored(_blocks(queries.select(F.col("query_id").alias("id"), "v", *also), QUERY_BLOCK, by).toDF("qi", "qm", *also))
     size = asked.agg(F.sum(F.length("qm"))).first()[0] or 0
     # blocks, not rows
     pairs = rows.join(asked, by) if by else rows.crossJoin(F.broadcast(asked)) if size <= BROADCAST_BYTES else stored(rows).hint("shuffle_replicate_nl").crossJoin(asked)
-    return top_k(pairs.mapInArrow(run, f"query_id {_kind(queries, 'query_id')}, span_id {_kind(vectors, 'span_id')}, score double"), k)
+    return top_k(pairs.mapInArrow(_best_of_pairs(k, places), f"query_id {_kind(queries, 'query_id')}, span_id {_kind(vectors, 'span_id')}, score double"), k)
 
 
 def features(spans: DataFrame) -> DataFrame:

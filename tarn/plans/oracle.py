@@ -374,6 +374,13 @@ near AS MATERIALIZED (SELECT query_id, span_id, score, row_number() OVER (PARTIT
 ORACLE |= {
     "working_memory_stream": ORACLE["working_memory"],
     "memory_forget_stream": ORACLE["memory_forget"],
+    "dense_bounded": ORACLE["dense_topk"],
+    "claim_records": f"""WITH {TALK} SELECT query_id, claim_ix::INT AS claim_ix, '{{"query_id":' || query_id || ',"claim_ix":' || claim_ix || ',"claim":' || to_json(claim)::VARCHAR || ',"verdict":"' || verdict || '","evidence":' || coalesce(evidence::VARCHAR, 'null') || ',"anchored":' || anchored || '}}' AS json FROM aligned""",
+    "hit_records": f"""WITH {SPANS}, {NEAR} SELECT query_id, rk::INT AS rk, '{{"query_id":' || query_id || ',"rk":' || rk || ',"span_id":' || span_id || '}}' AS json FROM near""",
+    "cjk_tokens": f"""WITH t AS (SELECT p_partkey, {Q.CJK_MIXED} AS x FROM part), r AS (SELECT p_partkey, lower(x) AS x, regexp_extract_all(x, '[一-鿿㐀-䶿]+') AS runs FROM t),
+      c AS (SELECT p_partkey, x, flatten(list_transform(runs, lambda s: flatten(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN i < length(s) THEN [s[i], s[i:i + 1]] ELSE [s[i]] END)))) AS g FROM r)
+      SELECT p_partkey, array_to_string(list_concat(regexp_extract_all(x, '{W}'), g), '|') AS tokens, array_to_string(regexp_extract_all(x, '[a-z0-9]+|[一-鿿]'), '|') AS plain FROM c""",
+    "health_memory": f"SELECT * FROM ({ORACLE['health']}), (SELECT coalesce(sum(working), 0)::BIGINT AS working_memory, coalesce(sum(episodic), 0)::BIGINT AS episodic_memory, coalesce(sum(semantic), 0)::BIGINT AS semantic_memory FROM ({ORACLE['memory_stats']}))",
     "bm25_blockmax": ORACLE["bm25_topk"],
     "bm25_two_batches": ORACLE["bm25_topk"],
     "retrieve_two_batches": ORACLE["retrieve"],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import Memory, Settings
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import ask, blockmax, cases, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search, segments
+from ..operators import ask, blockmax, bounds, cases, chunking, debate, evaluate, evidence, fusion, memory, reason, rerank, roles, search, segments
 from ..sources import corpora
 from ..sources.scratch import folder, spread, stored
 from ..streaming import answers, events, sinks, trace
@@ -141,6 +141,12 @@ def dense_topk(spark, sf_dir):
     return search.dense_search(v, v.filter("span_id % 100 = 0").withColumnRenamed("span_id", "query_id"), 10).select("query_id", "span_id", "score", "rk")
 
 
+def dense_bounded(spark, sf_dir):
+    """dense_topk by blocks that bounds leave open."""
+    v = _vectors(spark, sf_dir)
+    return bounds.search_bounded(v, v.filter("span_id % 100 = 0").withColumnRenamed("span_id", "query_id"), 10)[0].select("query_id", "span_id", "score", "rk")
+
+
 def vector_norms(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return v.select(F.col("span_id").alias("vec_id"), F.round(V.norm(F.col("v")), 6).alias("norm"), F.round(V.norm(V.l2_normalize(F.col("v"))), 6).alias("unit"))
@@ -641,6 +647,28 @@ def _files(spark, rows, how, **options):
     return path
 
 
+def claim_records(spark, sf_dir):
+    return corpora.records(_talk_aligned(spark, sf_dir).drop("support"), "claim")
+
+
+def hit_records(spark, sf_dir):
+    return corpora.records(_overlap(spark, sf_dir).select("query_id", "span_id", "rk"), "hit")
+
+
+#: A text of words and CJK runs (Ext-A and symbols between), as an SQL expression that both engines read.
+CJK_MIXED = "concat(p_name, '电池续航', p_size, '小时。屏幕㐀亮 x', p_brand, '的')"
+
+
+def cjk_tokens(spark, sf_dir):
+    """Tokens of mixed text: words first, then each CJK run as characters and pairs of characters."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(CJK_MIXED).alias("x"))
+    return p.select("p_partkey", F.array_join(T.tokens(F.col("x")), "|").alias("tokens"), F.array_join(T.plain_tokens(F.col("x")), "|").alias("plain"))
+
+
+def health_memory(spark, sf_dir):
+    return ask.health(debate.build(spans(spark, sf_dir), SETTINGS), SETTINGS, memory_stats(spark, sf_dir))
+
+
 def read_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text is not null")
     path = _files(spark, docs.select(F.concat(F.col("text"), F.lit("\n\n")).alias("value")), "text")
@@ -730,6 +758,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         critique, revise, synthesize, parse_objections, filter_valid, parse_verdicts, stalled_rounds, deltas, delta_stability, self_consistency_vote, debate_full, ask_all, health, route_queries,
         calculator, unit_convert, tool_answers, tool_trace, final_answers, working_memory, memory_recall, memory_forget, memory_distill, semantic_recall, memory_stats, faithfulness, context_precision,
         context_recall, keyword_recall, answer_relevancy, benchmark_cases, benchmark_report, trace_tail, trace_by_event, json_sink, read_text, read_jsonl, read_json,
-        bm25_blockmax, bm25_two_batches, retrieve_two_batches, catalog_lookup, retrieve_given_vectors, retrieve_listwise, retrieve_isolated, benchmark_isolated, document_titles, trace_stream, working_memory_stream, memory_forget_stream, answer_stream, debate_events,
+        dense_bounded, claim_records, hit_records, cjk_tokens, health_memory, bm25_blockmax, bm25_two_batches, retrieve_two_batches, catalog_lookup, retrieve_given_vectors, retrieve_listwise, retrieve_isolated, benchmark_isolated, document_titles, trace_stream, working_memory_stream, memory_forget_stream, answer_stream, debate_events,
     )
 }

@@ -42,3 +42,20 @@ def as_json(rows: DataFrame, *keep: str) -> DataFrame:
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
+
+
+#: Fields of the records of a debate, by kind, with the columns that name a row.
+RECORDS = {
+    "claim": (("query_id", "claim_ix"), ("claim", "verdict", "evidence", "support", "anchored")),
+    "hit": (("query_id", "rk"), ("span_id", "score", "fused", "rerank_z", "rerank_raw", "text")),
+    "round": (("query_id", "round"), ("proposal", "converged", "stalled")),
+    "answer": (("query_id",), ("answer", "converged", "rounds", "faithfulness")),
+}
+
+
+def records(rows: DataFrame, kind: str) -> DataFrame:
+    """The columns that name a row, and json: one record a row of that kind, with the fields that the rows have. Fields without a
+    value are null in the record, not left out."""
+    keys, fields = RECORDS[kind]
+    own = [c for c in (*keys, *fields) if c in rows.columns]
+    return rows.select(*keys, F.to_json(F.struct(*own), {"ignoreNullFields": "false"}).alias("json"))

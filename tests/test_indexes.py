@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.config import Memory, Settings
-from tarn.operators import blockmax, cases, debate, memory, rerank, search, segments
+from tarn.operators import ask, blockmax, bounds, cases, debate, memory, rerank, search, segments
 
 SPANS = [(1, "fast battery charging"), (2, "battery life is long and battery is fine"), (3, "the screen is bright"), (4, ""), (5, "屏幕 很 亮 battery"), (6, "bright and long life"), (7, "nothing of it is bright")]
 QUERIES = [(1, "battery life"), (2, "bright screen"), (3, "nothing zzz")]
@@ -140,3 +140,35 @@ def test_distill_in_rounds(spark, block):
     episodes = spark.createDataFrame(rows, "session_id long, seq long, text string, v array<double>").repartition(3)
     assert rows_of(memory.distill(episodes, config=config, block=block)) == sorted(want, key=str) and len(want) > 5
     assert memory.distill(episodes.filter("false"), config=config, block=block).isEmpty()
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random", "few"])
+def test_bounded_search_is_exact(spark, kind):
+    """The rows of the plain search, with ties, zero and missing vectors; clustered vectors leave most pairs of blocks unread."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8))
+    n = {"clustered": 3000, "random": 700, "few": 3}[kind]
+    vs = centres[rng.integers(12, size=n)] + 0.02 * rng.normal(size=(n, 8)) if kind == "clustered" else rng.normal(size=(n, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vs)] + [(n, vs[0].tolist()), (n + 1, [0.0] * 8), (n + 2, None)]
+    v = spark.createDataFrame(rows, "span_id long, v array<double>").repartition(4)
+    q = v.filter("span_id % 50 = 0").withColumnRenamed("span_id", "query_id").unionByName(spark.createDataFrame([(-1, [0.0] * 8), (-2, None)], "query_id long, v array<double>"))
+    for k in (1, 7):
+        found, report = bounds.search_bounded(v, q, k, pivots=16)
+        assert rows_of(found.select("query_id", "span_id", "score", "rk")) == rows_of(search.dense_search(v, q, k).select("query_id", "span_id", "score", "rk"))
+        count = report.first()
+        assert 0 < count.scored <= count.pairs and (kind != "clustered" or count.scored < 0.5 * count.pairs)
+    assert bounds.search_bounded(v.filter("false"), q, 3)[0].isEmpty()
+
+
+def test_answers_are_remembered(spark, tmp_path):
+    """Turns are appended in order, blank ones are not, and the state tells how many there are."""
+    path = str(tmp_path / "memory")
+    first = spark.createDataFrame([(2, "Q: b\nA: y"), (1, "Q: a\nA: x"), (3, "  ")], "query_id long, text string")
+    ask.remember(first, path)
+    held = ask.remember(spark.createDataFrame([(1, "Q: a\nA: x")], "query_id long, text string"), path)
+    assert [(r.seq, r.text) for r in held.orderBy("seq").collect()] == [(0, "Q: a\nA: x"), (1, "Q: b\nA: y"), (2, "Q: a\nA: x")]
+    facts = memory.stats(held, held.groupBy("session_id", "text").count().filter("count >= 2"))
+    corpus = debate.build(spark.createDataFrame(SPANS, "span_id long, text string"))
+    state = ask.health(corpus, memories=facts).first()
+    assert (state.working_memory, state.episodic_memory, state.semantic_memory, state.spans) == (3, 3, 1, len(SPANS))
+    assert "working_memory" not in ask.health(corpus).columns

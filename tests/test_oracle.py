@@ -6,13 +6,14 @@ import datetime as dt
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tarn.plans.oracle import ORACLE
 from tarn.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["token_stats", "hard_windows", "sentences", "claims", "bm25_topk", "dense_topk", "feature_counts", "adaptive_weights", "calibrated_rerank", "align_claims", "critique", "gate_report", "gate_prune", "gate_enforce", "unanchored", "trace_stream", "health", "lexical_signal", "parse_objections", "filter_valid", "parse_verdicts", "tool_trace", "final_answers", "unit_convert", "deltas", "route_queries", "calculator", "tool_answers", "memory_recall", "memory_forget", "memory_stats", "hash_vectors", "hash_dense_topk", "retrieve", "answer_relevancy", "json_sink", "benchmark_cases", "read_text"]
+NAMES = ["token_stats", "hard_windows", "sentences", "claims", "bm25_topk", "dense_topk", "feature_counts", "adaptive_weights", "calibrated_rerank", "align_claims", "critique", "gate_report", "gate_prune", "gate_enforce", "unanchored", "trace_stream", "health", "lexical_signal", "parse_objections", "filter_valid", "parse_verdicts", "tool_trace", "final_answers", "unit_convert", "deltas", "route_queries", "calculator", "tool_answers", "memory_recall", "memory_forget", "memory_stats", "hash_vectors", "hash_dense_topk", "retrieve", "answer_relevancy", "json_sink", "benchmark_cases", "read_text", "working_memory_stream", "memory_forget_stream", "bm25_blockmax", "bm25_two_batches", "catalog_lookup", "dense_bounded", "retrieve_given_vectors", "retrieve_listwise", "retrieve_isolated", "benchmark_isolated", "claim_records", "hit_records", "cjk_tokens", "health_memory"]
 
 
 def plain(v):
@@ -43,6 +44,28 @@ def test_same_as_sql(spark, name):
     assert got
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_distillation_and_recall_of_all_rows(spark):
+    """Every session folded in order; every query's nearest facts."""
+    rows = sorted((r.label, r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect())
+    clusters = []
+    for label, i, v in rows:
+        v = v / (np.linalg.norm(v) or 1)
+        home = next((c for c in clusters if c[0] == label and round(float(c[2] @ v), 9) >= 0.3), None)
+        if home:
+            home[3] += 1
+        else:
+            clusters.append([label, i, v, 1])
+    facts = [c for c in clusters if c[3] >= 2]
+    assert sorted(map(tuple, QUERIES["memory_distill"](spark, SF).collect())) == sorted((c[0], c[1], c[3]) for c in facts) and facts
+    want = []
+    for _, q, v in rows:
+        if q % 100 == 0:
+            near = sorted((-round(float(c[2] @ v) / np.linalg.norm(v), 6), c[1]) for c in facts)[:3]
+            want += [(q, i, n + 1) for n, (_, i) in enumerate(near)]
+    assert sorted((r.query_id, r.span_id, r.rk) for r in QUERIES["semantic_recall"](spark, SF).collect()) == sorted(want)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_ask_splits_by_route(spark):
     """Tools answer what is routed to them, with fixed metrics; every query has one answer."""
