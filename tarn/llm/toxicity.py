@@ -31,11 +31,13 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import array_slices, bounded_batches, release, text_slices, tidy
+from .common import array_slices, bounded_batches, release, stored, text_slices, tidy
 
 MAX_EXAMPLES = 4096
+#: Bytes of their distinct words and counts at most.
+MAX_BYTES = 64_000_000
 NEIGHBOURS, EVIDENCE = 8, 5
 #: Examples in a block, and texts that are looked up together.
 BLOCK, BATCH = 64, 64
@@ -181,15 +183,16 @@ class Index:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least-squares rising steps through (x, y), as points for interpolation."""
-    order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([b, 1.0, a])
+    """Least-squares rising steps through (x, y), as points for interpolation. Equal x are one point of their
+    mean y, so the order of rows does not count."""
+    at, place = np.unique(x, return_inverse=True)
+    pools: list[list[float]] = []  # sum of y, number, mean x
+    for n, total, a in zip(np.bincount(place).tolist(), np.bincount(place, y).tolist(), at.tolist(), strict=True):
+        pools.append([total, float(n), a])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-            s, n, at = pools.pop()
+            s, n, right = pools.pop()
             m = pools[-1]
-            pools[-1] = [m[0] + s, m[1] + n, (m[2] * m[1] + at * n) / (m[1] + n)]
+            pools[-1] = [m[0] + s, m[1] + n, (m[2] * m[1] + right * n) / (m[1] + n)]
     return np.array([p[2] for p in pools]), np.array([p[0] / p[1] for p in pools])
 
 
@@ -255,8 +258,9 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Learn from the labelled rows that are not held out; `labels` has doc_id and toxic."""
+def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
+    """Learn from the labelled rows that are not held out; `labels` has doc_id and toxic. At most max_examples of
+    them are examples, of at most max_bytes of distinct words together."""
     bounded_batches(docs)
     spark, rows = docs.sparkSession, _numbered(docs, id_col, text_col)
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
@@ -279,7 +283,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = MAX_EXAMPLES,
                 )
 
     found = examples.mapInArrow(counted, "doc_id long, toxic int, words binary, counts binary")
-    # equal texts are one example; at most max_examples labelled ids come to the driver
+    # one version an id, and in order of hash no more than max_bytes of them: what reaches the driver is bounded in rows and bytes
+    found = stored(found.groupBy("doc_id").agg(F.min(F.struct("words", "counts", "toxic")).alias("x")).select("doc_id", "x.*"))
+    size = F.sum(F.length("words") + F.length("counts")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # max_examples rows of two numbers
+    fits = found.select("doc_id", size.alias("size")).filter(F.col("size") <= max_bytes).select("doc_id")
+    found = found.join(fits, "doc_id", "left_semi")
+    # equal texts are one example
     found = found.groupBy("words", "counts").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("toxic")).filter("length(words) > 0").orderBy("doc_id", "words").toArrow()
     ids, toxic = found.column("doc_id").to_numpy(), found.column("toxic").to_numpy()
     rows_of_words = [w.split() for w in found.column("words").to_pylist()]

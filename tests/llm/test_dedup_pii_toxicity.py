@@ -390,6 +390,35 @@ def test_scores_brute_force(labelled):
         assert [c for _, _, c in evidence] == pytest.approx([c for _, c in found[: toxicity.EVIDENCE]], abs=1e-5)
 
 
+def test_isotonic_pools_ties():
+    """Against the min-max formula of rising steps, with ties in every order."""
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 30):
+        for _ in range(40):
+            x, y = rng.integers(0, 6, n) / 5, rng.integers(0, 2, n).astype(float)
+            at = sorted(set(x.tolist()))
+            mean = lambda i, j: y[(x >= at[i]) & (x <= at[j])].mean()
+            value = [max(min(mean(i, k) for k in range(m, len(at))) for i in range(m + 1)) for m in range(len(at))]
+            pools = {}
+            for a, v in zip(at, value, strict=True):
+                pools.setdefault(round(v, 9), []).extend(x[x == a].tolist())
+            px, py = toxicity.isotonic(x, y)
+            assert py == pytest.approx(sorted(pools)) and px == pytest.approx([np.mean(pools[v]) for v in sorted(pools)])
+            mixed = rng.permutation(n)
+            again = toxicity.isotonic(x[mixed], y[mixed])
+            assert np.allclose(again[0], px) and np.allclose(again[1], py)
+
+
+def test_examples_are_bounded(spark, labelled):
+    """Versions of one id are one example, and bytes are bounded; the choice does not depend on the order of rows."""
+    docs, labels = labelled
+    many = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" zz"))))
+    one = toxicity.fit(docs, labels)
+    assert len(toxicity.fit(many, labels).ids) <= len(one.ids)
+    few = toxicity.fit(docs, labels, max_bytes=20_000)
+    assert 0 < len(few.ids) < len(one.ids) and set(few.ids.tolist()) == set(toxicity.fit(docs.repartition(7), labels, max_bytes=20_000).ids.tolist())
+
+
 def test_pipeline(spark, odd, small, empty):
     import corpus_pipeline
 
