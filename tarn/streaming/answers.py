@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Settings
 from ..operators import debate
-from ..sources.scratch import stored
+from ..sources.scratch import stored, temporary
 from .sinks import run_available
 
 
@@ -38,9 +38,10 @@ def answer_stream(corpus: debate.Corpus, queries: DataFrame, out: str, checkpoin
     twice in a batch is answered once."""
 
     def answer(rows: DataFrame, i: int) -> None:
-        asked = stored(rows.select("query_id", "text").dropDuplicates(["query_id"]))
-        if not asked.isEmpty():
-            said = messages(debate.run(corpus, asked, settings))
-            said.repartition("query_id").sortWithinPartitions("query_id", "seq").write.mode("overwrite").parquet(f"{out}/batch={i}")
+        with temporary(rows.sparkSession):  # the tables of a batch's rounds go with it
+            asked = stored(rows.select("query_id", "text").dropDuplicates(["query_id"]))
+            if not asked.isEmpty():
+                said = messages(debate.run(corpus, asked, settings))
+                said.repartition("query_id").sortWithinPartitions("query_id", "seq").write.mode("overwrite").parquet(f"{out}/batch={i}")
 
     return run_available(queries, answer, checkpoint, "append")

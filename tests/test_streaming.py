@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
 import time
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarn.config import Debate, Memory, Settings
 from tarn.operators import debate, memory
+from tarn.sources import scratch
 from tarn.streaming import answers, events, sinks
 from tarn.streaming import memory as live
 
@@ -137,3 +140,15 @@ def test_answers_as_a_stream(spark, corpus, tmp_path):
         n = kinds.count("evidence")
         assert kinds[:n] == ["evidence"] * n and kinds[-2:] == ["answer", "done"] and set(kinds[n:-2]) == {"round"}
         assert [s for s, _, _ in sorted(m)] == list(range(len(m)))
+
+
+def test_tables_of_a_block_go(spark):
+    """Tables stored in a block are removed with it, also after a failure; others stay, and so do those of other threads."""
+    rows = spark.range(3)
+    kept = scratch.stored(rows)
+    with ThreadPoolExecutor(1) as pool, pytest.raises(RuntimeError), scratch.temporary(spark):
+        gone, other = scratch.stored(rows), pool.submit(scratch.stored, rows).result()
+        assert gone.count() == 3
+        raise RuntimeError
+    assert kept.count() == other.count() == 3
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in gone.inputFiles())
