@@ -184,7 +184,9 @@ FAITH = f"""ss AS (SELECT query_id, unnest(list_transform(range(len(sl)), lambda
 fbest AS (SELECT s.query_id, u.i AS i, max(coalesce({align('lt', 'st')}, 0)) AS best FROM (SELECT query_id, u, {tset('u.s')} AS lt FROM ss) s LEFT JOIN hits h ON s.query_id = h.query_id GROUP BY ALL),
 faith AS (SELECT a.query_id, round(coalesce(avg((best >= 0.30)::INT), 0), 6) AS faithfulness FROM answers a LEFT JOIN fbest f ON a.query_id = f.query_id GROUP BY a.query_id)"""
 PRECISION = f"prec AS (SELECT q.query_id, round(coalesce(avg(({align('st', 'qt')} >= 0.30)::INT), 0), 6) AS context_precision FROM qsets q LEFT JOIN hits h ON q.query_id = h.query_id GROUP BY q.query_id)"
-RECALL = f"rec AS (SELECT q.query_id, round((max(coalesce({align('st', 'qt')}, 0)) >= 0.55)::INT::DOUBLE, 6) AS context_recall FROM qsets q LEFT JOIN hits h ON q.query_id = h.query_id GROUP BY q.query_id)"
+RECALL = f"""golds AS (SELECT query_id, 0 AS ix, qt FROM qsets UNION ALL SELECT a.query_id, 1, b.qt FROM qsets a JOIN qsets b ON b.query_id = a.query_id + 1),
+each AS (SELECT q.query_id, ix, max(coalesce({align('st', 'qt')}, 0)) >= 0.55 AS found FROM golds q LEFT JOIN hits h ON q.query_id = h.query_id GROUP BY ALL),
+rec AS (SELECT query_id, round(avg(found::INT), 6) AS context_recall FROM each GROUP BY query_id)"""
 #: All distinct tokens of a query.
 KEYWORDS = f"""kw AS (SELECT query_id, unnest({tset('text')}) AS keyword FROM asked),
 kwr AS (SELECT a.query_id, round(coalesce(avg((len(list_filter({tset('keyword')}, lambda k: NOT list_contains({tset('answer')}, k))) = 0 OR contains(answer, keyword))::INT), 1), 6) AS keyword_recall
@@ -292,7 +294,7 @@ ORACLE: dict[str, str] = {
     "parse_verdicts": f"""WITH {lines(Q.VERDICTS)}, found AS (SELECT query_id, line_no, try_cast(nullif(regexp_extract(p[1], '^\\S+\\s+([+-]?\\d+)(?:\\s|$)', 1), '') AS INT) AS claim_ix, upper(p[2]) AS verdict,
         CASE WHEN lower(p[3]) = 'none' THEN '' ELSE p[3] END AS span FROM cols WHERE starts_with(upper(l), 'CLAIM') AND len(p) >= 3)
       SELECT query_id, claim_ix, verdict, span FROM found WHERE claim_ix IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id, claim_ix ORDER BY line_no DESC) = 1""",
-    "stalled_rounds": """WITH s AS (SELECT conv_id AS query_id, turn AS round, string_agg(role || ':' || (length(text) // 400), ',' ORDER BY role || ':' || (length(text) // 400)) AS x FROM conversations GROUP BY ALL)
+    "stalled_rounds": """WITH s AS (SELECT conv_id AS query_id, turn AS round, string_agg(lower(substring(text, 1, 1)) || ':' || (length(text) // 400), ',' ORDER BY text) AS x FROM conversations GROUP BY ALL)
       SELECT query_id, round, coalesce(lag(round) OVER w = round - 1 AND lag(x) OVER w = x, false) AS stalled FROM s WINDOW w AS (PARTITION BY query_id ORDER BY round)""",
     "deltas": f"WITH {DELTAS} SELECT query_id, round, delta FROM dd",
     "delta_stability": f"WITH {DELTAS} SELECT query_id, round(1 - coalesce(avg(delta) FILTER (NOT first), 0), 6) AS stability FROM dd GROUP BY query_id",

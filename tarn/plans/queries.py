@@ -396,10 +396,10 @@ def parse_verdicts(spark, sf_dir):
 
 
 def stalled_rounds(spark, sf_dir):
-    """Rounds are the turns of conversations; what a turn raises is its role and length class."""
+    """Rounds are the turns of conversations; what a turn raises is the letter that its text begins with, citing its length class."""
     c = table(spark, sf_dir, "conversations")
-    text = F.concat_ws(":", "role", (F.floor(F.length("text") / 400)).cast("string"))
-    return roles.stalled(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("round"), text.alias("text"), F.array("role").alias("citations")))
+    cited = F.array(F.floor(F.length("text") / 400).cast("string"))
+    return roles.stalled(c.select(F.col("conv_id").alias("query_id"), F.col("turn").alias("round"), F.lower(F.substring("text", 1, 1)).alias("text"), cited.alias("citations")))
 
 
 def _turn_deltas(spark, sf_dir):
@@ -521,7 +521,7 @@ def _episodes(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     return v.select(
         F.col("label").cast("long").alias("session_id"), F.col("vec_id").alias("episode_id"), F.col("vec_id").alias("seq"), F.lit(1.0).alias("salience"),
-        F.timestamp_seconds(F.lit(1_700_000_000) - F.pmod("vec_id", F.lit(97)) * 3600).alias("created"), F.concat(F.lit("fact "), F.col("vec_id").cast("string")).alias("text"), F.col("embedding").alias("v"),
+        F.timestamp_seconds(F.lit(1_700_000_000) - F.pmod("vec_id", F.lit(97)) * 3600).alias("created"), F.concat(F.lit("fact "), F.pmod("vec_id", F.lit(40)).cast("string")).alias("text"), F.col("embedding").alias("v"),
     )
 
 
@@ -573,7 +573,9 @@ def _answers(q, hits):
 
 
 def _gold(q):
-    return q.select("query_id", F.lit(0).alias("ix"), "text", F.col("text").alias("answer"))
+    """Two spans that should be found for each query: its own text, and that of the next query, which need not be."""
+    own = q.select("query_id", F.lit(0).alias("ix"), "text", F.col("text").alias("answer"))
+    return own.unionByName(q.select((F.col("query_id") - 1).alias("query_id"), F.lit(1).alias("ix"), "text", F.col("text").alias("answer")).join(q.select("query_id"), "query_id", "left_semi"))
 
 
 def _keywords(q):
@@ -587,7 +589,7 @@ def faithfulness(spark, sf_dir):
 
 def context_precision(spark, sf_dir):
     q, hits, answers = _case(spark, sf_dir)
-    return evaluate.context_precision(hits, _gold(q))
+    return evaluate.context_precision(hits, _gold(q).filter("ix = 0"))
 
 
 def context_recall(spark, sf_dir):
@@ -605,7 +607,7 @@ def _metrics(spark, sf_dir):
 
 
 def _measured(q, hits, answers):
-    m = evaluate.faithfulness(answers, hits).join(evaluate.context_precision(hits, _gold(q)), "query_id")
+    m = evaluate.faithfulness(answers, hits).join(evaluate.context_precision(hits, _gold(q).filter("ix = 0")), "query_id")
     return stored(m.join(evaluate.context_recall(hits, _gold(q), q), "query_id").join(evaluate.keyword_recall(answers, _keywords(q)), "query_id"))
 
 

@@ -56,7 +56,11 @@ def test_distillation_and_recall_of_all_rows(spark):
             home[3] += 1
         else:
             clusters.append([label, i, v, 1])
-    facts = [c for c in clusters if c[3] >= 2]
+    facts, told = [], set()
+    for c in clusters:  # one fact a session and text
+        if c[3] >= 2 and (c[0], c[1] % 40) not in told:
+            told.add((c[0], c[1] % 40))
+            facts.append(c)
     assert sorted(map(tuple, QUERIES["memory_distill"](spark, SF).collect())) == sorted((c[0], c[1], c[3]) for c in facts) and facts
     want = []
     for _, q, v in rows:
