@@ -1,13 +1,19 @@
-"""Removal of repeated passages by fingerprints of runs of lines.
+"""Removal of repeated passages by winnowing over line hashes.
 
-A line ends at a line break, after a sentence stop, or before a capitalised word, so a
-passage set into the middle of other text still consists of whole lines. The fingerprints of
-a document are the hashes of its shortest runs of lines of at least `min_words` words: from
-every line on, and up to every line. A line of so many words is a run of its own. Each line
-of a longer repeated run lies in such a run, so a line is deleted exactly if it is part of
-a run of at least `min_words` words that stands as a whole in one earlier place: in a
-document of lesser id, or before it (not overlapping) in its own. The first occurrence
-(least id, then position) stays.
+A line ends at a line break, after a sentence stop, before a capitalised word, after a word
+whose last three bytes hash to a mark, and `LINE_WORDS` words after the last of these. So a
+passage set into the middle of other text still consists of whole lines (but for its edges
+in text without stops and capitals), and no line is long.
+
+A window is a shortest run of lines of at least `min_words` words: from every line on, and
+up to every line. Each line of a longer repeated run lies in a window of it. The least hash
+of two neighbouring lines is the fingerprint of a window (of the shortest window from its
+first line on); windows of equal lines have equal ones, so a repeated run shares a
+fingerprint for certain, and most windows in a row share theirs. Fingerprints met in two documents are matched; a match is extended both ways to the
+windows that chose it, which are compared by 128 bits of all their lines. A line is deleted
+exactly if it is part of a run of at least `min_words` words that stands as a whole in one
+earlier place: in a document of lesser id, or before it (not overlapping) in its own. The
+first occurrence (least id, then position) stays.
 
 Defined results: null and empty texts and rows with a null id are returned as they are;
 repeated rows are the same document, so neither loses text to the other; a text may become
@@ -17,7 +23,6 @@ added (or the name given).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,31 +31,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import array_slices, bounded_batches, fresh_names, release, stored, text_slices, tidy
+from .ngram_join import BITMAP, bitmap_of
 
-#: Capital letters of the Latin, Greek and Cyrillic alphabets (fixed values).
-_CAPITALS = "A-ZÀ-ÖØ-ÞŒŸΑ-ΩА-Я"
-_LINES = re.compile(f"(?<=\\n)(?!\\n)|(?<=[.!?] )|(?<= )(?=[{_CAPITALS}])").split
-#: An odd factor and its inverse modulo 2 ** 64: hashes of runs are differences of sums of hash x factor ** place.
-_FACTOR = 0x9E3779B97F4A7C15
+#: Most words of a line.
+LINE_WORDS = 8
+#: Odd factors; hashes of runs are differences of sums of hash x factor ** place, modulo 2 ** 64.
+_FACTOR, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
+_SPACE, _BREAK = b" \n"
+_STOPS = np.isin(np.arange(256), list(b".!?"))
+#: Whether two bytes begin with a capital letter of the Latin, Greek and Cyrillic alphabets (fixed values).
+_CAPITAL = np.zeros(1 << 16, bool)
+for _first, _last in ("AZ", "ÀÖ", "ØÞ", "ŒŒ", "ŸŸ", "ΑΩ", "АЯ"):
+    for _letter in range(ord(_first), ord(_last) + 1):
+        _code = chr(_letter).encode()
+        _CAPITAL[int.from_bytes(_code.ljust(2, b"\0")) : int.from_bytes(_code.ljust(2, b"\xff")) + 1] = True
+
+
+def line_places(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts with a line break between them; of the lines in it: starts, ends (exclusive), ends without the
+    space after the last word, numbers of words, texts."""
+    data = b"\n".join(texts)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1
+    b = np.frombuffer(b"\n\n\n" + data + b"\n\n", np.uint8)
+    gap = (b == _SPACE) | (b == _BREAK)
+    at = np.flatnonzero(gap[3:-1])  # the last one is past the data
+    ends_word = ~gap[at + 2]
+    one = b[at + 2]
+    two = np.where(gap[at + 1], 0, b[at + 1]).astype(np.uint32)  # 0: not of this word
+    three = np.where(gap[at + 1], 0, b[at]).astype(np.uint32)
+    three[gap[at]] = 0
+    after = np.append(b[at[:-1] + 4], b"\0"[0]).astype(np.uint16)
+    mark = ((three << 16 | two << 8 | one) * np.uint32(0x9E3779B1)) >> np.uint32(29) == 0  # after one word of eight
+    mark &= ends_word
+    capital = np.append(_CAPITAL[after[:-1] << 8 | b[np.minimum(at[:-1] + 5, len(b) - 1)]], False)
+    cut = np.where(b[at + 3] == _BREAK, after != _BREAK, _STOPS[one] | capital | mark)
+    between = np.searchsorted(at, ends)
+    cut[between] = True
+    place = np.arange(len(at))
+    cut = np.flatnonzero((place - np.maximum.accumulate(np.where(cut, place, -1))) % LINE_WORDS == 0)
+    end = at[cut] + 1
+    end[np.searchsorted(cut, between)] -= 1
+    start = np.concatenate([[0], at[cut[:-1]] + 1])
+    bare = np.maximum(start, np.maximum.accumulate(np.where(ends_word, at, 0))[cut])
+    words = np.diff(np.cumsum(ends_word)[cut], prepend=0)
+    found = start < end
+    start = start[found]
+    return data, start, end[found], bare[found], words[found], np.searchsorted(ends, start, "right")
 
 
 def lines_of(text: str) -> list[str]:
     """The lines of a text; joined they are the text."""
-    return [x for x in _LINES(text) if x]
+    data, start, end, *_ = line_places([text.encode()])
+    return [data[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
 
 
-def runs_of(words: np.ndarray, sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (exclusive) of the shortest runs of at least min_words words from every
-    line on and up to every line, inside each text. `words`: of the lines of all texts; `sizes`: lines of each text."""
-    upto = np.concatenate([[0], np.cumsum(words)])
-    last = np.repeat(np.cumsum(sizes), sizes)
-    first = last - np.repeat(sizes, sizes)
+def hashed_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, 128 bits (two columns) and texts of all lines."""
+    import xxhash
+
+    data, start, _, bare, words, row = line_places([t.encode() for t in texts])
+    lines = [data[a:b] for a, b in zip(start.tolist(), bare.tolist(), strict=True)]
+    return words, np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), np.uint64).reshape(-1, 2), row
+
+
+def forward(upto: np.ndarray, row: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and ends (exclusive) of the windows from every line on. `upto`: words before each line, and of all."""
     end = np.searchsorted(upto, upto[:-1] + min_words)
-    start = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
-    on, to = np.flatnonzero(end <= last), np.flatnonzero(start >= first)
-    key = np.unique(np.concatenate([on * len(upto) + end[on], start[to] * len(upto) + to + 1]))
-    return key // len(upto), key % len(upto)
+    on = np.flatnonzero(end <= np.searchsorted(row, row, "right"))
+    return on, end[on]
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -59,56 +108,112 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(each)
 
 
+def least_between(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least of values[start:end] of each range (none empty), from minima of 1, 2, 4, ... neighbours."""
+    out = np.empty(len(start), values.dtype)
+    level = np.frexp(end - start)[1] - 1
+    for k in range(int(level.max()) + 1 if len(level) else 0):
+        own = level == k
+        out[own] = np.minimum(values[start[own]], values[end[own] - (1 << k)])
+        values = np.minimum(values[: -1 << k], values[1 << k :])
+    return out
+
+
+def chosen(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of the windows from lines `start` on."""
+    pair = (h[:-1, 0] ^ h[1:, 1] * np.uint64(_FACTOR)) * np.uint64(_MIX)
+    pair ^= pair >> np.uint64(32)
+    return least_between(pair, start, end - 1)
+
+
+def windows_of(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of the texts: text, first line (numbered in its text), number of lines, fingerprint,
+    and 128 bits of their lines (two columns). Windows of equal lines come in order of place."""
+    words, h, row = hashed_lines(texts)
+    upto = np.concatenate([[0], np.cumsum(words)])
+    start, end = forward(upto, row, min_words)
+    least = chosen(h, start, end)
+    # windows up to a line that are none from a line on
+    back = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    to = np.flatnonzero(back >= np.searchsorted(row, row))
+    same = np.searchsorted(start, back[to])
+    to, same = to[end[same] != to + 1], same[end[same] != to + 1]
+    start, end, least = np.concatenate([start, start[same]]), np.concatenate([end, to + 1]), np.concatenate([least, least[same]])
+    sums = np.concatenate([np.zeros((1, 2), np.uint64), np.cumsum(h * powers(_FACTOR, len(h))[: len(h), None], axis=0, dtype=np.uint64)])
+    run = (sums[end] - sums[start]) * powers(_INVERSE, len(h))[start, None]
+    return row[start], start - np.searchsorted(row, row[start]), end - start, least, run
+
+
+def again_in_text(row: np.ndarray, line: np.ndarray, n: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Which windows do not overlap the first window of the same lines in their text."""
+    key = run[:, 0] + row.astype(np.uint64) * np.uint64(_MIX)
+    by = np.argsort(key, kind="stable")
+    fresh = np.concatenate([[True], key[by][1:] != key[by][:-1]])[: len(by)]
+    first = np.empty_like(by)
+    first[by] = by[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    return (line >= line[first] + n[first]) & (run[:, 1] == run[first, 1]) & (row == row[first])
+
+
 def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc, version, line, n, fp of every run of runs_of(): its first line, its number of lines,
-    its hash; fp is null for runs that stand earlier in their document."""
+    """doc, key: the fingerprints of every text; neighbours that are equal once."""
 
     def run(batches):
-        import xxhash
+        release()
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                words, h, row = hashed_lines(texts)
+                start, end = forward(np.concatenate([[0], np.cumsum(words)]), row, min_words)
+                row, least = row[start], chosen(h, start, end)
+                # windows in a row mostly choose the same
+                new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])[: len(row)]
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row[new])), pa.array(least[new].view(np.int64))], ["doc", "key"])
+        tidy()
 
+    return docs.select("doc", "text").mapInArrow(run, "doc long, key long")
+
+
+def shared_keys(prints: DataFrame) -> DataFrame:
+    """key: fingerprints that two documents have."""
+    return prints.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("key")
+
+
+def extended(docs: DataFrame, min_words: int, bitmap: np.ndarray) -> DataFrame:
+    """doc, version, line, n, run, more: the windows around fingerprints that the bitmap may hold, and those that
+    stand earlier in their document (run null): first line, number of lines, 128 bits of them."""
+    held = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP / 8 bytes
+
+    def run(batches):
         release()
-        factor, inverse = powers(_FACTOR, 1024), powers(_INVERSE, 1024)
         for batch in batches:
             for part, texts in text_slices(batch):
-                lines = [lines_of(t) for t in texts]
-                sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-                flat = [x.strip() for own in lines for x in own]
-                start, end = runs_of(np.fromiter((x.count(" ") + 1 for x in flat), np.int64, len(flat)), sizes, min_words)
-                if not len(start):
-                    continue
-                if len(flat) >= len(factor):
-                    factor, inverse = powers(_FACTOR, 2 * len(flat)), powers(_INVERSE, 2 * len(flat))
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * factor[: len(h)])])
-                fp = (sums[end] - sums[start]) * inverse[start]
-                row = np.searchsorted(np.cumsum(sizes), start, "right")
-                # of equal runs of one text those that do not overlap its first one stand in an earlier place
-                by = np.lexsort((start, fp, row))
-                fresh = np.concatenate([[True], (fp[by][1:] != fp[by][:-1]) | (row[by][1:] != row[by][:-1])])
-                again = np.empty(len(fp), bool)
-                again[by] = start[by] >= end[by][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-                owner = pa.array(row)
+                row, line, n, least, run = windows_of(texts, min_words)
+                again = again_in_text(row, line, n, run)
+                bit = least & np.uint64(BITMAP - 1)
+                keep = np.flatnonzero(again | (held.value[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1) > 0))
+                owner, own = pa.array(row[keep]), run[keep].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc").take(owner),
                         part.column("version").take(owner),
-                        pa.array(start - (np.cumsum(sizes) - sizes)[row], pa.int32()),
-                        pa.array(end - start, pa.int32()),
-                        pa.array(fp.view(np.int64), mask=again),
+                        pa.array(line[keep], pa.int32()),
+                        pa.array(n[keep], pa.int32()),
+                        pa.array(own[:, 0].copy(), mask=again[keep]),
+                        pa.array(own[:, 1].copy()),
                     ],
-                    ["doc", "version", "line", "n", "fp"],
+                    ["doc", "version", "line", "n", "run", "more"],
                 )
         tidy()
 
-    return docs.mapInArrow(run, "doc long, version long, line int, n int, fp long")
+    return docs.mapInArrow(run, "doc long, version long, line int, n int, run long, more long")
 
 
-def repeated_runs(prints: DataFrame) -> DataFrame:
-    """doc, version, line, n of the runs that stand in an earlier place."""
-    # the small side is written first: a join that reads it plainly can split a hot fingerprint
-    firsts = prints.filter("fp is not null").groupBy("fp").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc <> last_doc")
-    across = prints.filter("fp is not null").join(stored(firsts.drop("last_doc")).hint("shuffle_hash"), "fp").filter("doc > first_doc")
-    return across.select("doc", "version", "line", "n").unionByName(prints.filter("fp is null").drop("fp"))
+def repeated_runs(windows: DataFrame) -> DataFrame:
+    """doc, version, line, n of the windows that stand in an earlier place."""
+    across = windows.filter("run is not null")
+    # the small side is written first: a join that reads it plainly can split a hot window
+    firsts = across.groupBy("run", "more").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter("first_doc <> last_doc")
+    across = across.join(stored(firsts.drop("last_doc")).hint("shuffle_hash"), ["run", "more"]).filter("doc > first_doc")
+    return across.select("doc", "version", "line", "n").unionByName(windows.filter("run is null").drop("run", "more"))
 
 
 def cut_lines(repeated: DataFrame) -> DataFrame:
@@ -130,11 +235,14 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id",
             yield pa.concat_arrays(out)
         tidy()
 
+    if min_words <= LINE_WORDS:
+        raise ValueError(f"min_words must exceed the {LINE_WORDS} words of a line")
     bounded_batches(docs)
     doc, version = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
     rows = docs.filter(doc.isNotNull() & F.col(text_col).isNotNull()).select(doc.alias("doc"), version.alias("version"), F.col(text_col).alias("text"))
     names = fresh_names(docs, "doc", "version", "cut")
-    cuts = stored(cut_lines(repeated_runs(stored(fingerprints(rows, min_words))))).toDF(*names)
+    shared = bitmap_of(shared_keys(fingerprints(rows, min_words)))
+    cuts = stored(cut_lines(repeated_runs(stored(extended(rows, min_words, shared))))).toDF(*names)
     kept = [docs[c] for c in docs.columns]
     joined = docs.join(cuts, (doc == F.col(names[0])) & (version == F.col(names[1])), "left")
     # only cut texts go to Python

@@ -188,6 +188,69 @@ def test_lines_of_many_sources_stay(spark):
     assert all(got[i] == t for i, t in rows[:46]) and got[200] == ""
 
 
+def test_lines_are_short(small):
+    """No line has more words than LINE_WORDS, and lines of texts together are those of each alone."""
+    texts = [r.text or "" for r in small.collect()] + ["", "\n", " a", "É", "x \n\n\n y", "\n", "a b c d e f g h i j k " * 40]
+    data, start, end, bare, words, row = line_dedup.line_places([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        lines = line_dedup.lines_of(t)
+        assert [data[a:b].decode() for a, b in zip(start[row == i], end[row == i], strict=True)] == lines
+        assert words[row == i].tolist() == [len(x.split()) for x in lines] and max(words[row == i], default=0) <= line_dedup.LINE_WORDS
+    assert [data[a:b].decode() for a, b in zip(start, bare, strict=True)] == [x.rstrip(" \n") for t in texts for x in line_dedup.lines_of(t)]
+
+
+def test_windows_share_fingerprints():
+    """Wherever a passage of 30 words in whole lines is set in, its windows have the same fingerprint, and are found."""
+    rng = np.random.default_rng(7)
+    sentence = made_up(rng)
+    for n in (30, 37, 64):
+        passage = sentence(n)
+        texts = [" ".join([*(sentence(9) for _ in range(i)), passage, sentence(9)]) for i in range(5)]
+        row, line, size, least, run = line_dedup.windows_of(texts, 30)
+        own = [{(a, *b) for a, b in zip(least[row == i].tolist(), run[row == i].tolist(), strict=True)} for i in range(5)]
+        shared = set.intersection(*own)
+        plain = [[x.strip() for x in line_dedup.lines_of(t)] for t in texts]
+        windows = [{tuple(plain[i][a : a + b]) for a, b in zip(line[row == i], size[row == i], strict=True)} for i in range(5)]
+        assert shared and len(shared) == len(set.intersection(*windows))
+        assert [len(o) for o in own] == [len(w) for w in windows]
+
+
+def test_passages_without_capitals_or_stops(spark):
+    """A passage within one long run of lower-case words goes, but for its edges; the words around it stay."""
+    rng = np.random.default_rng(8)
+    words = lambda n: ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(n)]
+    shared = words(120)
+    rows = [(i, " ".join([*words(40 + i), *shared, *words(50 - i)])) for i in range(20)]
+    got = cut(spark, rows)
+    assert got == cut_by_rule(rows) and got[0] == rows[0][1]
+    for i, text in rows[1:]:
+        own = [w for w in text.split() if w not in shared]
+        left = got[i].split()
+        assert [w for w in left if w not in shared] == own and len(left) - len(own) <= 70
+
+
+def test_random_partial_repeats(spark):
+    """Random stretches of earlier texts, own ones too, against the comparison of all runs."""
+    rng = np.random.default_rng(9)
+    sentence, texts = made_up(rng), []
+    for _ in range(60):
+        parts = [sentence(int(rng.integers(3, 14))) for _ in range(6)]
+        for _ in range(2):
+            source = (texts[int(rng.integers(len(texts)))] if texts and rng.random() < 0.8 else " ".join(parts)).split(" ")
+            a = int(rng.integers(max(1, len(source) - 20)))
+            parts.insert(int(rng.integers(len(parts))), " ".join(source[a : a + int(rng.integers(20, 60))]))
+        texts.append(" ".join(parts))
+    rows = list(enumerate(texts))
+    got = cut(spark, rows)
+    assert got == cut_by_rule(rows)
+    assert sum(got[i] != t for i, t in rows) > 20
+
+
+def test_lines_need_windows(odd):
+    with pytest.raises(ValueError, match="min_words"):
+        line_dedup.dedup_lines(odd, min_words=line_dedup.LINE_WORDS)
+
+
 def base_spans(text):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
