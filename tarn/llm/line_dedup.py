@@ -7,10 +7,10 @@ in text without stops and capitals), and no line is long.
 
 A window is a shortest run of lines of at least `min_words` words: from every line on, and
 up to every line. Each line of a longer repeated run lies in a window of it. The least hash
-of two neighbouring lines is the fingerprint of a window (of the shortest window from its
+of `GRAM` neighbouring lines is the fingerprint of a window (of the shortest window from its
 first line on); windows of equal lines have equal ones, so a repeated run shares a
 fingerprint for certain, and most windows in a row share theirs. Fingerprints met in two documents are matched; a match is extended both ways to the
-windows that chose it, which are compared by 128 bits of all their lines. A line is deleted
+windows that chose it, which are compared by 96 bits of all their lines. A line is deleted
 exactly if it is part of a run of at least `min_words` words that stands as a whole in one
 earlier place: in a document of lesser id, or before it (not overlapping) in its own. The
 first occurrence (least id, then position) stays.
@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import array_slices, bounded_batches, fresh_names, release, stored, text_slices, tidy
+from .common import array_slices, binary_array, bounded_batches, fresh_names, release, stored, text_slices, tidy
 from .ngram_join import BITMAP, bitmap_of
 
-#: Most words of a line.
-LINE_WORDS = 8
+#: Most words of a line, and lines of which a fingerprint is made: fewer are met by chance too often.
+LINE_WORDS, GRAM = 8, 3
 #: Odd factors; hashes of runs are differences of sums of hash x factor ** place, modulo 2 ** 64.
 _FACTOR, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -121,9 +121,11 @@ def least_between(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.
 
 def chosen(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Fingerprints of the windows from lines `start` on."""
-    pair = (h[:-1, 0] ^ h[1:, 1] * np.uint64(_FACTOR)) * np.uint64(_MIX)
-    pair ^= pair >> np.uint64(32)
-    return least_between(pair, start, end - 1)
+    gram = np.zeros(max(len(h) - GRAM + 1, 0), np.uint64)
+    for k in range(GRAM):
+        gram = gram * np.uint64(_FACTOR) + h[k : k + len(gram), 0]
+    gram = (gram ^ gram >> np.uint64(32)) * np.uint64(_MIX)
+    return least_between(gram ^ gram >> np.uint64(32), start, end - GRAM + 1)
 
 
 def windows_of(texts: list[str], min_words: int) -> tuple[np.ndarray, ...]:
@@ -179,7 +181,7 @@ def shared_keys(prints: DataFrame) -> DataFrame:
 
 def extended(docs: DataFrame, min_words: int, bitmap: np.ndarray) -> DataFrame:
     """doc, version, line, n, run, more: the windows around fingerprints that the bitmap may hold, and those that
-    stand earlier in their document (run null): first line, number of lines, 128 bits of them."""
+    stand earlier in their document (run null): first line, number of lines, 96 bits of them."""
     held = docs.sparkSession.sparkContext.broadcast(bitmap)  # BITMAP / 8 bytes
 
     def run(batches):
@@ -198,13 +200,13 @@ def extended(docs: DataFrame, min_words: int, bitmap: np.ndarray) -> DataFrame:
                         pa.array(line[keep], pa.int32()),
                         pa.array(n[keep], pa.int32()),
                         pa.array(own[:, 0].copy(), mask=again[keep]),
-                        pa.array(own[:, 1].copy()),
+                        pa.array((own[:, 1] >> 32).astype(np.int32)),
                     ],
                     ["doc", "version", "line", "n", "run", "more"],
                 )
         tidy()
 
-    return docs.mapInArrow(run, "doc long, version long, line int, n int, run long, more long")
+    return docs.mapInArrow(run, "doc long, version long, line int, n int, run long, more int")
 
 
 def repeated_runs(windows: DataFrame) -> DataFrame:
@@ -223,20 +225,31 @@ def cut_lines(repeated: DataFrame) -> DataFrame:
     return runs.select("doc", "version", F.array_distinct(F.flatten(lines)).alias("cut"))
 
 
+def without_lines(texts: list[str], cut: list[list[int]]) -> pa.Array:
+    """The texts without the lines of these numbers."""
+    data, start, end, _, _, row = line_places([t.encode() for t in texts])
+    first = np.searchsorted(row, np.arange(len(texts)))
+    kept = np.ones(len(start), bool)
+    kept[[first[i] + k for i, own in enumerate(cut) for k in own]] = False
+    step = np.zeros(len(data) + 1, np.int8)
+    step[start[kept]] += 1
+    step[end[kept]] -= 1
+    left = np.frombuffer(data, np.uint8)[np.cumsum(step[:-1], dtype=np.int8) > 0]
+    size = np.bincount(row[kept], (end - start)[kept], len(texts)).astype(np.int64)
+    return binary_array(left.tobytes(), np.concatenate([[0], np.cumsum(size)])).cast(pa.string())
+
+
 def dedup_lines(docs: DataFrame, *, min_words: int = 30, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_lines_cut") -> DataFrame:
     @F.arrow_udf("string")
     def without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         release()
         for text, cut in batches:
-            out = [pa.array([], pa.string())]
-            for part, texts in array_slices(text):
-                gone = map(set, cut.slice(part.start, len(part)).to_pylist())
-                out.append(pa.array(["".join(x for i, x in enumerate(lines_of(t)) if i not in g) for t, g in zip(texts, gone, strict=True)], pa.string()))
-            yield pa.concat_arrays(out)
+            parts = [without_lines(texts, cut.slice(part.start, len(part)).to_pylist()) for part, texts in array_slices(text)]
+            yield pa.concat_arrays([pa.array([], pa.string()), *parts])
         tidy()
 
-    if min_words <= LINE_WORDS:
-        raise ValueError(f"min_words must exceed the {LINE_WORDS} words of a line")
+    if min_words <= (GRAM - 1) * LINE_WORDS:
+        raise ValueError(f"min_words must exceed {(GRAM - 1) * LINE_WORDS}, so that each window has {GRAM} lines")
     bounded_batches(docs)
     doc, version = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))
     rows = docs.filter(doc.isNotNull() & F.col(text_col).isNotNull()).select(doc.alias("doc"), version.alias("version"), F.col(text_col).alias("text"))
