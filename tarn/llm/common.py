@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
@@ -19,8 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 #: executor and worker (a longer text is alone): both bound memory.
 SLICE_BYTES, BATCH_BYTES = 1_000_000, 8_000_000
 _HELD: dict[tuple, object] = {}
-#: Driver: paths of the tables made in each open temporary() block.
-_BLOCKS: list[list[str]] = []
+
+
+class _Blocks(threading.local):
+    """Driver: paths of the tables made in each temporary() block that a thread has open."""
+
+    def __init__(self):
+        self.paths: list[list[str]] = []
+
+
+_BLOCKS = _Blocks()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,19 +68,19 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tarn-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _BLOCKS[keep:]:
-        _BLOCKS[-1 - keep].append(path)
+    if _BLOCKS.paths[keep:]:
+        _BLOCKS.paths[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def temporary(spark: SparkSession):
     """Tables that are stored() inside are removed at the end; nothing may read them later."""
-    _BLOCKS.append([])
+    _BLOCKS.paths.append([])
     try:
         yield
     finally:
-        dropped(spark, _BLOCKS.pop())
+        dropped(spark, _BLOCKS.paths.pop())
 
 
 def dropped(spark: SparkSession, paths: Iterable[str]) -> None:

@@ -5,8 +5,9 @@ its pre-tokens (a run of space marks and what follows), one by one. Tier one is
 table of the lengths of the most frequent pre-tokens, found by a pass over all documents:
 each task keeps a bounded summary, and only these summaries are merged. It is broadcast;
 its size is bounded by `table_size` pre-tokens of at most `MAX_CHARS` characters. Tier two
-is a bounded cache in each worker, filled by the library in batches. No pre-token of a text
-is ever shuffled. The table and caches only save work: counts are exact without them.
+is a cache in each worker, bounded in bytes, filled by the library in batches; pre-tokens
+over `MAX_CHARS` characters pass it by. No pre-token of a text is ever shuffled. A model
+whose pieces hold the mark elsewhere is refused with a ValueError. The table and caches only save work: counts are exact without them.
 
 Defined results: a null or empty text has 0 tokens; repeated rows are counted once each; an
 empty table gives no rows; other columns of the input are not read.
@@ -22,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, held, release, text_slices
+from .common import bounded_batches, held, release, text_slices, tidy
 
 MARK = "▁"
 MAX_CHARS = 48
+#: Bytes of a worker's cache, and of what an entry takes beside its characters.
+CACHE_BYTES, ENTRY_BYTES = 64_000_000, 150
 _PRE_TOKENS = re.compile(f"[ {MARK}]+[^ {MARK}]*").findall
 
 
@@ -39,16 +42,19 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class PieceCounts:
-    def __init__(self, path: str, words: list[str] = (), lens=(), limit: int = 400_000):
+    def __init__(self, path: str, words: list[str] = (), lens=(), limit: int = CACHE_BYTES):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        wrong = re.compile(f"[^{MARK}]{MARK}").search
+        if any(wrong(self.library.id_to_piece(i)) for i in range(self.library.get_piece_size())):
+            raise ValueError(f"{path}: pieces hold the space mark after their start, so a text is not the sum of its pre-tokens")
         self.first = dict(zip(words, map(int, lens), strict=True))
         self.limit = limit
         self.reset()
 
     def reset(self) -> None:
-        self.cache = dict(self.first)
+        self.cache, self.size = dict(self.first), 0
         # a lone space mark; the library gives no token to an empty text
         self.cache[""] = len(self.library.encode("a ")) - len(self.library.encode("a"))
 
@@ -57,12 +63,18 @@ class PieceCounts:
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [pre_tokens(t) for t in texts]
-        if len(self.cache) > self.limit:
-            self.reset()
         new = list(set().union(*parts).difference(self.cache))
         self.cache.update(zip(new, self.lengths(new), strict=True))
         get = self.cache.__getitem__
-        return [sum(map(get, p)) for p in parts]
+        counts = [sum(map(get, p)) for p in parts]
+        for word in new:
+            if len(word) > MAX_CHARS:
+                del self.cache[word]
+            else:
+                self.size += 4 * len(word) + ENTRY_BYTES
+        if self.size > self.limit:
+            self.reset()
+        return counts
 
 
 def frequent(docs: DataFrame, size: int, *, per_task: int = 8192, text_col: str = "text") -> DataFrame:
@@ -105,6 +117,7 @@ def count_tokens(
                     [part.column("doc_id"), part.column("n_bytes"), pa.array(counter.count(texts), pa.int64())],
                     ["doc_id", "n_bytes", "n_tokens"],
                 )
+        tidy()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))

@@ -134,6 +134,17 @@ def test_counts_as_the_library(texts):
     assert counter.count(texts) == [len(counter.library.encode(t)) for t in texts]
 
 
+def test_count_cache_is_bounded_in_bytes():
+    """Few long or many short pre-tokens: the cache stays under its limit, long ones are never kept, counts stay exact."""
+    counter = token_counts.PieceCounts(PIECE, ["the", "of"], [1, 1], limit=50_000)
+    rng = random.Random(5)
+    for i in range(30):
+        texts = [" ".join(["the", "of", "x" * (10_000 + i), *("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))])]
+        assert counter.count(texts) == [len(counter.library.encode(t)) for t in texts]
+        assert counter.size <= 50_000 and max(map(len, counter.cache)) <= token_counts.MAX_CHARS
+    assert {"the", "of"} <= counter.cache.keys() and len(counter.cache) < 50_000 / token_counts.ENTRY_BYTES + 3
+
+
 def test_cache_keeps_frequent_chunks():
     """A cache over its limit drops rare chunks, keeps the frequent ones and stays exact."""
     encoder = packing.WordIds(WORD, limit=20_000)
