@@ -297,6 +297,37 @@ def test_added_spans(spark):
     assert got[5].n_secret == 1 and all(got[i].base_sha256 == hashlib.sha256(b"").hexdigest() for i in loose)
 
 
+def test_planted_spans_are_found(spark, small):
+    """Spans planted in running text, half of them after no telling word: recall by kind, and nothing where nothing was planted."""
+    rng = np.random.default_rng(21)
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    name = lambda: "".join(map(chr, rng.integers(97, 123, 7)))
+    makers = {
+        "email": lambda: f"{name()}.{name()}@{name()}.com",
+        "ip": lambda: ".".join(str(x) for x in rng.integers(1, 255, 4)),
+        "phone": lambda: f"+1 ({rng.integers(201, 989)}) 555-0{number(3)}",
+        "wide_email": lambda: f"jörg.{name()}@{name()}.de",
+        "spelled_email": lambda: f"{name()} [at] {name()} dot com".replace(" dot ", " [dot] "),
+        "ipv6": lambda: ":".join(f"{x:04x}" for x in rng.integers(0, 65536, 8)),
+        "wide_phone": lambda: f"({rng.integers(201, 989)}) 555-0{number(3)}",
+        "secret": lambda: hashlib.sha1(name().encode()).hexdigest(),
+    }
+    clean = [" ".join(name() for _ in range(40)) for _ in range(100)]
+    rows, planted = [(i, t) for i, t in enumerate(clean)], {}
+    for k, make in enumerate(makers):
+        for j in range(40):
+            before = " ".join(name() for _ in range(12)) + (" contact " if j % 2 and k < 7 else " token " if j % 2 else " ")
+            value = makers[make]()
+            doc = 1000 * (k + 1) + j
+            planted[doc] = (make, f"{pii.FINDERS[make][0]}:{len(before)}:{len(before) + len(value)}")
+            rows.append((doc, f"{before}{value} " + " ".join(name() for _ in range(12))))
+    got = {r.doc_id: r.spans.split(",") for r in pii.digests(pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(got[i] == [""] for i in range(100))
+    hits = Counter(make for doc, (make, span) in planted.items() if span in got[doc])
+    assert all(hits[k] == 40 for k in pii.KINDS if k in makers), hits
+    assert all(hits[k] >= 36 for k in makers), hits
+
+
 @pytest.mark.parametrize("limit", [500_000, 0])
 def test_redact_hot_text(spark, monkeypatch, limit):
     """Copies of one text, by broadcast and by the salted join."""
@@ -482,23 +513,49 @@ def test_examples_are_bounded(spark, labelled):
     assert 0 < len(few.ids) < len(one.ids) and set(few.ids.tolist()) == set(toxicity.fit(docs.repartition(7), labels, max_bytes=20_000).ids.tolist())
 
 
+def masked(text, spans):
+    """The text with each stretch of overlapping spans replaced by the kind of its first, longest one."""
+    out, at = "", 0
+    spans = sorted(spans, key=lambda x: (x["start"], -x["end"]))
+    while spans:
+        first, end = spans[0], spans[0]["end"]
+        while spans and spans[0]["start"] < end:
+            end = max(end, spans.pop(0)["end"])
+        out, at = f"{out}{text[at : first['start']]}[{first['kind'].upper()}]", end
+    return out + text[at:]
+
+
 def test_pipeline(spark, odd, small, empty):
+    """Each stage against a plain statement of its rule, over all that the stage before kept."""
     import corpus_pipeline
+    from tests.llm.test_tokens import WORD, plain
 
     sf = "/root/testdata/sf0.001"
     docs = small
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = near_dup.stored(stage(spark, docs, sf))
         assert out.columns == small.columns, name
-        kept, gone = {r.doc_id for r in out.collect()}, {r.doc_id for r in docs.collect()}
-        assert kept <= gone
+        before, after = ({r.doc_id: r.text for r in x.collect()} for x in (docs, out))
+        if name == "toxicity":
+            scorer = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+            want = {i: t for i, t in before.items() if next(iter(scorer.scores([t or ""])))[0] < toxicity.THRESHOLD}
+        if name == "line_dedup":
+            cut = cut_by_rule([(i, t or "") for i, t in before.items()])
+            want = {i: t for i, t in cut.items() if t == (before[i] or "") or t.strip()}
         if name == "near_dedup":
-            want = components(sets_of([(r.doc_id, r.text) for r in docs.collect()]))
-            assert kept == {i for i, c in want.items() if i == c}
+            classes = components(sets_of(before.items()))
+            want = {i: t for i, t in before.items() if classes[i] == i}
         if name == "pii":
-            assert not any(base_spans(r.text) for r in out.collect())
+            spans = {r.doc_id: r.spans for r in pii.detect(docs).collect()}
+            want = {i: masked(t, spans[i]) for i, t in before.items()}
+            assert not any(base_spans(t) for t in after.values())
+        assert after == want, name
         docs = out
-    assert corpus_pipeline.run(spark, sf).agg(F.countDistinct("doc_id")).first()[0] == docs.count()
+    library = plain(WORD)
+    ids = defaultdict(bytes)
+    for r in corpus_pipeline.run(spark, sf).orderBy("doc_id", "start").collect():
+        ids[r.doc_id] += bytes(r.ids)
+    assert ids == {i: np.array(library.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes() for i, t in after.items()}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
         assert stage(spark, odd, sf).count() > 0

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -34,6 +35,20 @@ def test_shards(odd, small, empty):
     assert sum(r.rows for r in b) == small.count() and all(r.min_size_bin <= r.max_size_bin for r in b)
 
 
+def test_bounds_prune(spark):
+    """Files whose bounds leave out a value hold no row of it, and few files are left for a value of any dimension."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shards = sharding.shard(docs, 64)
+    bins = ["lang_bin", "source_bin", "size_bin"]
+    rows = [tuple(r) for r in shards.select("shard", *bins).collect()]
+    bounds = {r.shard: r for r in sharding.bounds(shards).collect()}
+    for d, b in enumerate(bins, 1):
+        values = {r[d] for r in rows}
+        met = {v: {k for k, r in bounds.items() if r[f"min_{b}"] <= v <= r[f"max_{b}"]} for v in values}
+        assert all(r[0] in met[r[d]] for r in rows), b
+        assert np.mean([len(k) for k in met.values()]) <= 0.75 * len(bounds), b
+
+
 def scalar_adpcm(block):
     sample, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [sample]
@@ -127,19 +142,32 @@ def scalar_level(x):
     return out
 
 
+@cache
+def scalar_print(text):
+    """The fingerprint of one text by a plain parse."""
+    x, level, names = [int(phrase_prints._BYTES[b]) for b in text.encode()], 0, set()
+    while x:
+        x, level = scalar_level(x), level + 1
+        if level >= phrase_prints.FIRST_LEVEL:
+            names |= {int(phrase_prints._mix(np.array([(v + level) & ((1 << 64) - 1)], np.uint64))[0]) >> 32 for v in x}
+            if len(x) == 1:
+                break
+    return sorted(names)[: phrase_prints.LEAST]
+
+
+def scalar_likeness(a, b):
+    """Names that both texts have, of the least names of either."""
+    a, b = scalar_print(a), scalar_print(b)
+    least = sorted({*a, *b})[: phrase_prints.LEAST]
+    return sum(x in a and x in b for x in least) / len(least) if a and b else float(a == b)
+
+
 def test_prints_brute_force():
     """Fingerprints of texts among others against a plain parse of each."""
     rng = np.random.default_rng(12)
     texts = ["", "a", "aaaa" * 30, "ab", "naïve — 漢字 🙂", *("".join(map(chr, rng.integers(97, 101, int(rng.integers(1, 600))))) for _ in range(30))]
     for t, got in zip(texts, phrase_prints.fingerprints(texts), strict=True):
-        x, level, names = [int(phrase_prints._BYTES[b]) for b in t.encode()], 0, set()
-        while x:
-            x, level = scalar_level(x), level + 1
-            if level >= phrase_prints.FIRST_LEVEL:
-                names |= {int(phrase_prints._mix(np.array([(v + level) & ((1 << 64) - 1)], np.uint64))[0]) >> 32 for v in x}
-                if len(x) == 1:
-                    break
-        assert got.tolist() == sorted(names)[: phrase_prints.LEAST], t
+        assert got.tolist() == scalar_print(t), t
 
 
 @pytest.mark.parametrize("hot", [7, None])
@@ -158,10 +186,12 @@ def test_fingerprint_documents(odd, small, empty, monkeypatch):
     for docs in (odd.select("doc_id", "text"), small.select("doc_id", "text"), odd.select("doc_id", "text").filter("doc_id = 5")):
         rows = [((r.doc_id if r.doc_id is not None else -(1 << 63)), r.doc_id, r.text or "") for r in docs.collect()]
         rows.sort(key=lambda r: -r[0])
-        got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in phrase_prints.digests(phrase_prints.fingerprint_documents(docs)).collect())
+        got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in phrase_prints.digests(phrase_prints.fingerprint_documents(docs)).collect())
         want = Counter()
         for i, (_, doc, text) in enumerate(rows):
             following, half = rows[(i + 1) % len(rows)][2], len(text) // 2
-            want[doc, len(text), hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()] += 1
+            new = text[: len(text) - half] + following[:half]
+            name = b"".join(x.to_bytes(4, "big") for x in scalar_print(text)).hex()
+            want[doc, len(text), hashlib.sha256(new.encode()).hexdigest(), name, scalar_likeness(text, new), scalar_likeness(text, following)] += 1
         assert got == want
     assert phrase_prints.fingerprint_documents(empty).count() == 0
