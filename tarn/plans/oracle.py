@@ -166,11 +166,17 @@ aligned AS MATERIALIZED (SELECT c.query_id, c.claim_ix, c.claim, CASE WHEN coale
   CASE WHEN coalesce(best, 0) >= 0.30 THEN span_id END AS evidence, round(coalesce(best, 0), 6) AS support, (coalesce(best, 0) >= 0.30 AND span_id IS NOT NULL) AS anchored
   FROM claims c LEFT JOIN tops t ON c.query_id = t.query_id AND c.claim_ix = t.claim_ix)"""
 ALIGNED = f"{CLAIMS}, {BEST}"
-#: What assistants claim against what users of the same conversation say.
-TALK = f"""told AS (SELECT conv_id AS query_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-hits AS (SELECT conv_id AS query_id, turn AS rk, turn AS span_id, {tset('text')} AS st FROM conversations WHERE role = 'user' OR conv_id % 2 = 0),
+
+
+def talk(heard: str) -> str:
+    """What assistants claim against the turns of the same conversation that are evidence."""
+    return f"""told AS (SELECT conv_id AS query_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+hits AS (SELECT conv_id AS query_id, turn AS rk, turn AS span_id, {tset('text')} AS st FROM conversations WHERE {heard}),
 claim_lists AS (SELECT query_id, list_filter({sents('text')}, lambda s: {is_claim('s')}) AS cs FROM told),
 claims AS MATERIALIZED (SELECT query_id, unnest(cs) AS claim, generate_subscripts(cs, 1) - 1 AS claim_ix FROM claim_lists), {BEST}"""
+
+
+TALK = talk("role = 'user' OR conv_id % 2 = 0")
 CRITIC = f"""{CLAIMS},
 open_ AS (SELECT r.*, {pset('proposal')} AS pt, max(rel) OVER (PARTITION BY query_id) AS top FROM related r JOIN props USING (query_id)),
 raised AS MATERIALIZED (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) - 1 AS obj_ix, span_id AS citation, body, substring(body, 1, 40) AS excerpt, round(rel, 2) AS rel
@@ -276,7 +282,8 @@ ORACLE: dict[str, str] = {
     "gate_report": f"WITH {TALK} {GATE}",
     "gate_prune": f"WITH {TALK} SELECT query_id, claim_ix::INT AS claim_ix, evidence, support FROM aligned WHERE anchored",
     "gate_enforce": f"WITH {TALK}, g AS ({GATE}) SELECT query_id, ratio FROM g WHERE NOT passed",
-    "unanchored": f"WITH {TALK} SELECT query_id, claim_ix::INT AS claim_ix, support FROM aligned WHERE NOT anchored",
+    "unanchored": f"""SELECT 'proposer' AS said_by, * FROM (WITH {ALIGNED} SELECT query_id, claim_ix::INT AS claim_ix, support FROM aligned WHERE NOT anchored)
+      UNION ALL SELECT 'assistant', * FROM (WITH {talk("role = 'user'")} SELECT query_id, claim_ix::INT AS claim_ix, support FROM aligned WHERE NOT anchored)""",
     "factcheck": f"""WITH {CLAIMS}, fp AS (SELECT c.query_id, claim_ix, pos, span_id, {jac('ct', 'bt')} AS s FROM (SELECT *, {pset('claim')} AS ct FROM claims) c JOIN lines l ON c.query_id = l.query_id),
       ft AS (SELECT * FROM fp WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id, claim_ix ORDER BY s DESC, pos) = 1)
       SELECT c.query_id, c.claim_ix::INT AS claim_ix, CASE WHEN coalesce(s, 0) >= 0.30 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS checked, coalesce(span_id::VARCHAR, 'none') AS span, round(coalesce(s, 0), 2) AS overlap

@@ -81,3 +81,22 @@ def test_ask_splits_by_route(spark):
     asked = {r.item_id for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     assert {r.query_id for r in rows if r.query_id >= 0} == asked and len(rows) == len(asked) + len(want)
     assert sum(r.route == "rag" and r.rounds > 0 for r in rows) > len(asked) / 2
+
+
+def test_unanchored_claims_of_all_conversations_and_of_the_batch(spark, tmp_path):
+    """No conversation is left out by its id, an assistant's turn is no evidence of itself, and proposals without a hit count."""
+    said = "Solar panels convert sunlight into useful electricity."
+    talk = [(i, 0, "user", said if i > 5 else "Tell me about cooking pasta.") for i in (2, 3, 8, 9)] + [(i, 1, "assistant", said) for i in (2, 3, 8, 9)]
+    rows = {
+        "conversations": (talk, "conv_id long, turn long, role string, text string"),
+        "documents": ([(1, "Copper wires carry current over long distances."), (2, "Rivers carry sediment towards the sea.")], "doc_id long, text string"),
+        "benchmark": ([(0, "copper wires carry current"), (1, "zebra xylophone quartz")], "item_id long, text string"),
+    }
+    con = duckdb.connect()
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    columns = ["said_by", "query_id", "claim_ix", "support"]
+    got = sorted(map(tuple, QUERIES["unanchored"](spark, str(tmp_path)).select(columns).collect()))
+    assert got == sorted(con.execute(f"select {', '.join(columns)} from ({ORACLE['unanchored']})").fetchall())
+    assert [r[:2] for r in got] == [("assistant", 2), ("assistant", 3), ("proposer", 1)]
