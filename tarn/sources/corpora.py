@@ -24,9 +24,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, parsed: bool = False) -> DataFrame:
-    """text: the lines that are not blank, as they are; `parsed` takes the text field of JSON lines."""
-    lines = spark.read.text(path).filter(T.strip(F.col("value")) != "")
-    return lines.select((F.get_json_object("value", "$.text") if parsed else F.col("value")).alias("text"))
+    """text: the lines that are not blank, as they are; `parsed` takes the text field of JSON lines and drops blank texts."""
+    lines = spark.read.text(path).filter(T.filled(F.col("value")))
+    return lines.select(F.get_json_object("value", "$.text").alias("text")).filter(T.filled(F.col("text"))) if parsed else lines.select(F.col("value").alias("text"))
 
 
 def documents(rows: DataFrame) -> DataFrame:

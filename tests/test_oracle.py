@@ -100,3 +100,11 @@ def test_unanchored_claims_of_all_conversations_and_of_the_batch(spark, tmp_path
     got = sorted(map(tuple, QUERIES["unanchored"](spark, str(tmp_path)).select(columns).collect()))
     assert got == sorted(con.execute(f"select {', '.join(columns)} from ({ORACLE['unanchored']})").fetchall())
     assert [r[:2] for r in got] == [("assistant", 2), ("assistant", 3), ("proposer", 1)]
+
+
+def test_json_lines_of_odd_texts(spark, tmp_path):
+    """Blank texts are no texts; marks, controls and letters of any script come back as they were."""
+    odd = ["", " \t\n", "\u00a0\u3000", None, "a\r\nb\rc\nd", "\x00\x01\x1f\x7f\x85", "\\n \" \\u0041 / '", "😀 ñ 屏\u2028\u2029\ufeff", " kept ", "{}", "null", "12", "[1]", "\x0b"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r.md5 for r in QUERIES["read_jsonl"](spark, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in duckdb.sql(ORACLE["read_jsonl"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()) and len(got) == 9
