@@ -52,6 +52,6 @@ def health(corpus: debate.Corpus, settings: Settings = Settings(), memories: Dat
 
 
 def _state(corpus: debate.Corpus, settings: Settings) -> DataFrame:
-    return corpus.spans.agg(F.count("*").alias("spans")).crossJoin(corpus.bm25.terms.agg(F.count("*").alias("terms"))).select(  # one row each
+    return corpus.spans.agg(F.count("*").alias("spans")).crossJoin(corpus.n_terms).select(  # one row each
         F.lit("ok").alias("status"), "spans", "terms", F.lit(settings.retrieval.dim).alias("dim"), F.lit(settings.rerank.enabled).alias("rerank"), F.lit(settings.debate.max_rounds).alias("max_rounds")
     )

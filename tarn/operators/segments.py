@@ -1,9 +1,9 @@
 """An index that grows: each batch of spans is one segment, and counts of segments add up.
 
-A segment holds the spans, postings, term and feature counts of its batch and is never written again. Its entry
-in the manifest comes last, so a batch that failed half-way is not seen and may be written anew under
-the same number. Weights depend on the whole collection; they are derived from the added-up
-counts when the index is opened, so any number of batches equals one build, to the last digit.
+A segment holds the spans and the term counts of its batch and is never written again. Its entry in the manifest
+comes last, so a batch that failed half-way is not seen and may be written anew under the same number.
+Weights depend on the whole collection; they are derived from counts over all segments when the index
+is searched, so any number of batches equals one build, to the last digit.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import Settings
-from ..functions import text as T
-from ..functions import vector as V
-from ..sources.scratch import stored
 from . import debate, search
 
 MANIFEST = "segment long, n long, total long"
@@ -57,13 +54,8 @@ class Segments:
             return self.spark.read.schema(rows.schema).parquet(at)
 
         own = write(spans.select(F.col("span_id").cast(self.id_type).alias("span_id"), F.coalesce("text", F.lit("")).alias("text")), "spans")
-        words = own.select("span_id", T.tokens(F.col("text")).alias("words"))
-        listed = words.select("span_id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
-        postings = write(listed.groupBy("span_id", "term", "dl").agg(F.count("*").alias("tf")), "postings")
-        write(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
-        features = write(search.features(own), "features")
-        write(features.groupBy("feature").agg(F.count("*").alias("df")), "feature_df")
-        n, total = own.count(), postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        counts = write(search.term_counts(own), "terms")
+        n, total = own.count(), counts.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
         if n:
             self.spark.createDataFrame([(n, total)], "n long, total long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/segment={number}")
         return n
@@ -80,22 +72,14 @@ class Segments:
         """The spans of the ids, with their segment."""
         return self._table("spans", f"span_id {self.id_type}, text string").join(span_ids.select("span_id").distinct(), "span_id", "left_semi")
 
+    def terms(self) -> DataFrame:
+        """term, df, tf over all segments."""
+        return self._table("terms", "term string, df long, tf long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
     def bm25(self) -> search.BM25:
-        postings = self._table("postings", f"span_id {self.id_type}, term string, dl long, tf long").drop("segment")
-        df = self._table("terms", "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        terms = df.crossJoin(F.broadcast(self.stats().select("n"))).select("term", "df", V.idf(F.col("n"), F.col("df")).alias("idf"))  # one row
-        return search.BM25(postings, terms, self.stats())
-
-    def vectors(self, dim: int) -> search.HashIndex:
-        """Hashed vectors of all spans under the weights of the whole collection."""
-        counted = self._table("features", f"span_id {self.id_type}, feature string, tf long").drop("segment")
-        df = self._table("feature_df", "feature string, df long").groupBy("feature").agg(F.sum("df").alias("df"))
-        n = self.stats().select("n")
-        idf = stored(df.crossJoin(F.broadcast(n)).select("feature", V.idf(F.col("n"), F.col("df")).alias("idf")))  # one row
-        return search.HashIndex(search.as_arrays(search.hash_vectors(counted, idf, n, dim), self.spans(), dim), idf, n, dim)
+        spans, stats = self.spans(), self.stats()
+        return search.BM25(spans, search.keys.blocks(spans), search.weigh_terms(self.terms(), stats), stats)
 
     def open(self, settings: Settings = Settings()) -> debate.Corpus:
         """The corpus of all segments, for retrieve and run."""
-        bm25, dense = self.bm25(), self.vectors(settings.retrieval.dim)
-        bm25 = search.BM25(bm25.postings, stored(bm25.terms), stored(bm25.stats))
-        return debate.Corpus(self.spans(), bm25, search.HashIndex(stored(dense.vectors), dense.idf, dense.n, dense.dim))
+        return debate.Corpus(self.spans(), settings, terms=self.terms())
